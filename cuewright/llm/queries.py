@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.nearest_time import segments_with_frames
 from cuewright.llm.splitting import segment_items, split_oversized
 
@@ -20,6 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return segments_with_frames(table(spark, d, "media_segments"), table(spark, d, "media_frames")).select("segment_id", "frame_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_repeats(table(spark, d, "media_files"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(segment_items(table(spark, d, "media_segments"), table(spark, d, "transcriptions")))
 
@@ -29,4 +34,4 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
