@@ -4,7 +4,26 @@ from __future__ import annotations
 
 PATH = "trim(video_path, ' \"''`' || chr(9) || chr(10) || chr(13))"
 
+#: Hesitation sounds as whole words, and what else does not count as a spoken word.
+SOUND = "(?:u+h+|u+h+-h+u+h+|u+m+|e+r+m*|e+u+h+|a+h+|ä+h+|h+m+|m+h+m+|m+-h+m+)"
+NOTE = r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|\{[^}]*\}|【[^】]*】|\*[^*]*\*|[♪♫]+|[0-9]+:[0-9:.,]+"
+OPENER = r"^\s*(?:>>\s*)?[\[(]?(?:(?:speaker|spk)[\s_]?|s)[0-9]+(?:[\])>:]| - )"
+LABEL = r"^[\s\[]*(?:(?:speaker|spk|sprecher|locuteur)[\s_#-]*|s)([0-9o]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen)[\s\]:]*$"
+WORDS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen']"
+
 ORACLES = {
+    "p3_found": f"""
+WITH r AS (SELECT min(voice_id) AS voice_id, media_path, start_time, speaker_label, transcribed_text AS t FROM speaker_segments
+  WHERE isfinite(start_time) AND isfinite(end_time) AND end_time > start_time GROUP BY media_path, start_time, end_time, speaker_label, transcribed_text),
+n AS (SELECT *, regexp_extract(regexp_replace(translate(lower(speaker_label), '０１２３４５６７８９', '0123456789'), '\\(cont[^)]*\\)', ''), '{LABEL}', 1) AS l,
+  regexp_extract(lower(t), '{OPENER.replace("[0-9]+(?:[", "([0-9]+)(?:[")}', 1) AS o,
+  list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '{OPENER}', ' '), '{NOTE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}''-]+'),
+    lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_full_match(x, '{SOUND}')) AS words FROM r),
+k AS (SELECT *, CASE WHEN coalesce(l, '') <> '' THEN l ELSE nullif(o, '') END AS key FROM n WHERE len(words) > 0),
+s AS (SELECT *, coalesce(try_cast(translate(key, 'o', '0') AS INT), list_position({WORDS}, key) - 1) AS spk FROM k WHERE key IS NOT NULL),
+c AS (SELECT *, CASE WHEN spk IS DISTINCT FROM lag(spk) OVER (PARTITION BY media_path ORDER BY start_time, voice_id) THEN voice_id END AS opens FROM s)
+SELECT last_value(opens IGNORE NULLS) OVER (PARTITION BY media_path ORDER BY start_time, voice_id ROWS UNBOUNDED PRECEDING) AS turn_voice_id, voice_id FROM c
+""",
     "p1_found": f"""
 WITH s AS (SELECT segment_id, {PATH} AS p, round(start_s * 1000)::BIGINT AS t FROM media_segments
   WHERE isfinite(start_s) AND start_s >= 0),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.nearest_time import segments_with_frames
+from cuewright.llm.speaker_turns import speaker_turns, turn_rows
 from cuewright.llm.splitting import segment_items, split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return find_repeats(table(spark, d, "media_files"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return turn_rows(table(spark, d, "speaker_segments")).select("turn_voice_id", "voice_id")
+
+
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns(table(spark, d, "speaker_segments"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(segment_items(table(spark, d, "media_segments"), table(spark, d, "transcriptions")))
 
@@ -34,4 +43,4 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces}
