@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.nearest_time import segments_with_frames
 from cuewright.llm.speaker_turns import speaker_turns, turn_rows
+from cuewright.llm.spectral import face_group_report, face_groups
 from cuewright.llm.splitting import segment_items, split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,5 +43,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("origin", "item_id", "item_no")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return face_groups(table(spark, d, "detected_faces"), table(spark, d, "unresolved_faces"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return face_group_report(table(spark, d, "detected_faces"), table(spark, d, "unresolved_faces"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_groups": p7_groups}
