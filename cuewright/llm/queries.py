@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.nearest_time import segments_with_frames
 from cuewright.llm.speaker_turns import speaker_turns, turn_rows
+from cuewright.llm.safety import THRESHOLD, offence_rates, offence_scores
 from cuewright.llm.spectral import face_group_report, face_groups
 from cuewright.llm.splitting import segment_items, split_oversized
 
@@ -51,5 +53,17 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return face_group_report(table(spark, d, "detected_faces"), table(spark, d, "unresolved_faces"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return offence_scores(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id", "source", "score")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return offence_rates(p10_scores(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_groups": p7_groups}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
