@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.history_dedup import find_repeats
+from cuewright.llm.language import language_cases, languages
 from cuewright.llm.nearest_time import segments_with_frames
 from cuewright.llm.speaker_turns import speaker_turns, turn_rows
 from cuewright.llm.safety import THRESHOLD, offence_rates, offence_scores
@@ -45,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("origin", "item_id", "item_no")
 
 
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages(table(spark, d, "transcriptions")).drop("claimed")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return language_cases(languages(table(spark, d, "transcriptions")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return face_groups(table(spark, d, "detected_faces"), table(spark, d, "unresolved_faces"))
 
@@ -66,4 +75,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_languages": p6_languages, "p7_found": p7_found, "p7_groups": p7_groups, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
