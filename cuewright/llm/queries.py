@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewright.llm.containers import fill_report, pack_documents
 from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.language import language_cases, languages
 from cuewright.llm.nearest_time import segments_with_frames
@@ -62,6 +63,14 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return face_group_report(table(spark, d, "detected_faces"), table(spark, d, "unresolved_faces"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_containers(spark, d), table(spark, d, "container_specs"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return offence_scores(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id", "source", "score")
 
@@ -75,4 +84,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_languages": p6_languages, "p7_found": p7_found, "p7_groups": p7_groups, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_languages": p6_languages, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
