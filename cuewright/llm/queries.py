@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.llm.containers import fill_report, pack_documents
 from cuewright.llm.history_dedup import find_repeats
 from cuewright.llm.language import language_cases, languages
+from cuewright.llm.mixing import mix_documents, share_report
 from cuewright.llm.nearest_time import segments_with_frames
 from cuewright.llm.speaker_turns import speaker_turns, turn_rows
 from cuewright.llm.safety import THRESHOLD, offence_rates, offence_scores
@@ -71,6 +72,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d), table(spark, d, "container_specs"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_documents(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p9_mix(spark, d), table(spark, d, "source_targets"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return offence_scores(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id", "source", "score")
 
@@ -84,4 +93,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_languages": p6_languages, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_languages": p6_languages, "p7_found": p7_found, "p7_groups": p7_groups, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
