@@ -1,12 +1,28 @@
-"""Queries of the core operators over the tables of a folder, and their SQL."""
+"""Queries of the core operators over the tables of a folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cuewright.functions.ids import frame_key, segment_key, uuid5
+from cuewright.functions.media import checked_hint, media_kind
+from cuewright.functions.paths import base_name, clean_path, extension, stem
+from cuewright.functions.speakers import speaker_number
+from cuewright.functions.text import actors_of, filled_prompt, json_part, seconds_of, strip, timestamp_of, title_and_year, title_or_stem
+from cuewright.functions.times import usable
+from cuewright.functions.vectors import box_from_corner, cosine, is_vector, l2_distance, l2_normalize, norm
+from cuewright.operators.cluster import dbscan
 from cuewright.operators.intervals import speech_periods
+from cuewright.operators.search import both_modalities, close_names, counts_by, formatted, payload_filter, shown_line, top_k, top_k_batched
+from cuewright.operators.segments import prepared, sentences, split_long, voice_segments, within
+from cuewright.operators.store import face_clusters, latest, mean_vectors, voice_profiles
+from cuewright.plans.oracles import ORACLES
+from cuewright.sources.assets import select_assets
+from cuewright.sources.media import frame_manifest, lookup_metadata, missing
+from cuewright.sources.subtitles import best_subtitles, cue_texts, cues
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,38 +31,266 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    points = table(spark, d, "embeddings").withColumn("kind", F.concat(F.lit("label-"), F.col("label").cast("string")))
+    return points, points.where("vec_id = 0").select("embedding")
+
+
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    return top_k(points, q, 10, key="vec_id").select("vec_id", "score")
+
+
+def topk_cosine_filtered(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    return top_k(payload_filter(points, kind="label-3"), q, 10, key="vec_id").select("vec_id", "label", "score")
+
+
+def topk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    return top_k(points, q, 50, key="vec_id", threshold=0.15).select("vec_id", "score")
+
+
+def topk_euclid(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    return top_k(points, q, 10, key="vec_id", metric="euclid", score="dist").select("vec_id", "dist")
+
+
+def topk_batched(spark: SparkSession, d: str) -> DataFrame:
+    points, _ = _points(spark, d)
+    asked = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return top_k_batched(points, asked, 5, key="vec_id")
+
+
+def topk_faces(spark: SparkSession, d: str) -> DataFrame:
+    faces = table(spark, d, "detected_faces").where(is_vector(F.col("embedding"), 128))
+    faces = faces.where(norm(F.col("embedding")) > 0).withColumn("unit", l2_normalize(F.col("embedding")))
+    asked = faces.where("face_id % 50 = 0").select(F.col("face_id").alias("query_id"), F.col("unit").alias("vector"))
+    return top_k_batched(faces, asked, 3, vector="unit", key="face_id", metric="euclid", threshold=0.5)
+
+
+def search_facade(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    named = points.withColumns({"video_path": F.concat(F.lit("/v/"), F.col("label").cast("string"), F.lit(".mkv")), "t": F.col("vec_id").cast("double") / 4})
+    frames = top_k(named.where("label < 5"), q, 10, key="vec_id").select("score", F.col("t").alias("timestamp"), "video_path", F.lit("").alias("action"))
+    spoken = top_k(named.where("label >= 5"), q, 10, key="vec_id").select("score", F.col("t").alias("start"), "video_path", F.concat(F.lit("line "), F.col("vec_id").cast("string")).alias("text"))
+    return both_modalities(frames, spoken)
+
+
+def hit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts_by(search_facade(spark, d))
+
+
+def hit_format(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_frames").where(usable(F.col("frame_ts")))
+    return rows.select("frame_id", *formatted(F.col("frame_ts") / 7, F.col("frame_ts"), F.col("video_path"), F.col("action_text"), "Visual scene"))
+
+
+def hit_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_segments").where("seg_text is not null")
+    return rows.select("segment_id", shown_line(F.col("video_path"), F.col("seg_text")).alias("line"))
+
+
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return rows.select("vec_id", F.round(norm(F.col("embedding")), 6).alias("length"), F.round(norm(l2_normalize(F.col("embedding"))), 6).alias("unit_length"))
+
+
+def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    points, q = _points(spark, d)
+    both = points.join(F.broadcast(q.toDF("q")))  # one query vector
+    return both.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cos"), F.round(l2_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
+
+
+def face_validity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "detected_faces").select(is_vector(F.col("embedding"), 128).alias("valid"))
+    return rows.groupBy("valid").agg(F.count("*").alias("faces"))
+
+
+def face_boxes(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "detected_faces").where("bbox is not null").select("face_id", "bbox.*")
+    box = box_from_corner(F.col("box_left") + 0.75, F.col("box_top") + 0.25, F.col("box_right") - F.col("box_left"), F.col("box_bottom") - F.col("box_top"))
+    return b.select("face_id", box.alias("b")).select("face_id", "b.top", "b.right", "b.bottom", "b.left")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "media_segments").select("segment_id", "video_path", F.col("seg_text").alias("text"), F.nanvl("start_s", F.lit(None).cast("double")).alias("start"), F.col("end_s").alias("end"), F.col("seg_type").alias("type"))
+
+
+def prepare_segments(spark: SparkSession, d: str) -> DataFrame:
+    return prepared(_segments(spark, d)).select("segment_id", "text", "start", "end", "type")
+
+
+def segments_within(spark: SparkSession, d: str) -> DataFrame:
+    return within(prepared(_segments(spark, d)), 60.0, 120.0).select("segment_id", "start", "end")
+
+
+def voice_clamp(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "speaker_segments").where("not isnan(start_time) and not isnan(end_time)")
+    rows = rows.select("voice_id", F.col("start_time").alias("start"), (F.col("start_time") + (F.col("end_time") - F.col("start_time")) * 5).alias("end"))
+    return voice_segments(rows, embedding=None).select("voice_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+def voice_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "speaker_segments").where("not isnan(start_time) and not isnan(end_time) and end_time > start_time")
+    rows = rows.withColumn("label", speaker_number(F.col("speaker_label"), F.col("transcribed_text")))
+    return voice_profiles(rows, "label", "start_time", "end_time").withColumn("total_duration", F.round("total_duration", 3))
+
+
+def face_cluster_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "unresolved_faces").select(F.pmod("cluster_id", F.lit(17)).cast("int").alias("cluster_id"), F.nullif(F.trim("sample_image_path"), F.lit("")).alias("sample_path"))
+    return face_clusters(rows)
+
+
+def mean_vector(spark: SparkSession, d: str) -> DataFrame:
+    rows = mean_vectors(table(spark, d, "embeddings"), "label")
+    return rows.select("label", F.round(F.col("embedding_avg")[0], 6).alias("first"), F.round(norm(F.col("embedding_avg")), 6).alias("length"))
+
+
+def media_types(spark: SparkSession, d: str) -> DataFrame:
+    p = clean_path(F.col("path"))
+    return table(spark, d, "media_files").select("file_id", checked_hint(F.col("media_type")).alias("hint"), media_kind(p, F.col("media_type")).alias("kind"), media_kind(p, F.lit("unknown")).alias("guessed"))
+
+
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    name = stem(clean_path(F.col("path")))
+    rows = table(spark, d, "media_files").select("file_id", name.alias("stem")).withColumn("p", title_and_year(F.col("stem")))
+    return rows.select("file_id", F.col("p.title").alias("title"), F.col("p.year").alias("year"), title_or_stem(F.col("p.title"), F.col("stem")).alias("shown"))
+
+
+def scanned_assets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_files").select("file_id", clean_path(F.col("path")).alias("path"), F.col("size_bytes").alias("file_size_bytes"))
+    return select_assets(rows, excluded=["backup", "inbox", "cam00"]).select("file_id", "media_type", "file_size_bytes")
+
+
+def asset_table(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "media_files").select("file_id", clean_path(F.col("path")).alias("path"), "media_type")
+    length = table(spark, d, "transcriptions").groupBy(clean_path(F.col("media_path")).alias("path")).agg(F.max("duration_s").alias("duration"))
+    rows = files.join(length, "path", "left").withColumn("p", title_and_year(stem(F.col("path"))))
+    return rows.select("file_id", media_kind(F.col("path"), F.col("media_type")).alias("kind"), F.col("p.title").alias("title"), F.col("p.year").alias("year"), F.coalesce("duration", F.lit(0.0)).alias("duration"))
+
+
+def metadata_lookup(spark: SparkSession, d: str) -> DataFrame:
+    t = titles(spark, d)
+    works = t.join(media_types(spark, d), "file_id").select("file_id", F.col("kind").alias("media_type"), "title", "year")
+    known = t.where("year is not null and title <> ''").groupBy("title", "year").agg(F.min("file_id").alias("i"))
+    cast = F.array(F.lit(""), F.concat(F.lit("A"), F.col("i").cast("string")), F.lit("B"), F.lit("C"), F.lit("D"), F.lit("E"))
+    first = known.where("i % 3 = 0").select("title", "year", F.array(F.struct(F.concat(F.lit("plot "), F.col("i").cast("string")).alias("overview"), cast.alias("cast"))).alias("results"))
+    second = known.where("i % 2 = 0").select("title", "year", F.when(F.col("i") % 4 == 0, "True").otherwise("False").alias("response"), F.concat(F.lit("other "), F.col("i").cast("string")).alias("plot"), F.lit(" X, ,Y ").alias("actors"))
+    found = lookup_metadata(works, first, second)
+    return found.select("file_id", "plot_summary", F.array_join("cast", "|").alias("cast"), "is_processed")
+
+
+def actor_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", actors_of(F.col("text")).alias("a"))
+    return rows.select("doc_id", F.size("a").alias("actors"), F.array_join("a", "|").alias("names"))
+
+
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```")).alias("answer"))
+    return rows.select("event_id", json_part(F.col("answer")).alias("part"), F.get_json_object(json_part(F.col("answer")), "$.k").cast("bigint").alias("k"))
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" {{JSON_SCHEMA}} {{FEW_SHOT}}"))).otherwise(F.col("p_name")).alias("t"), "p_type")
+    return rows.select("p_partkey", filled_prompt(F.col("t"), F.lit("{}"), F.col("p_type")).alias("prompt"))
+
+
+def point_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_segments").where("video_path is not null and start_s >= 0.001 and start_s < 10000000")
+    key = segment_key(F.col("video_path"), F.col("start_s"))
+    return rows.select("segment_id", uuid5(key).alias("id"), (uuid5(key) == F.col("point_id")).alias("as_stored"))
+
+
+def frame_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_frames").where(F.col("video_path").isNotNull() & usable(F.col("frame_ts")))
+    return rows.select("frame_id", uuid5(frame_key(F.col("video_path"), F.col("frame_ts"))).alias("id"))
+
+
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "media_segments").select("point_id", "segment_id", "ingested_at", F.sha1(F.coalesce("seg_text", F.lit(""))).alias("text_hash"))
+    return latest(rows, ["point_id"], ["ingested_at", "segment_id"]).select("point_id", "segment_id", "text_hash")
+
+
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    return missing(table(spark, d, "documents"), table(spark, d, "doc_labels"), "doc_id").select("doc_id", "source")
+
+
+def frames_of_videos(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "transcriptions").select(F.concat(F.lit("t"), F.col("transcription_id").cast("string")).alias("video_path"), "duration_s")
+    return frame_manifest(rows)
+
+
+def srt_cues(spark: SparkSession, d: str) -> DataFrame:
+    rows = _segments(spark, d).select(F.coalesce(clean_path(F.col("video_path")), F.lit("-")).alias("path"), "text", "start", F.nanvl("end", F.lit(None).cast("double")).alias("end"))
+    rows = rows.where(F.col("start") >= 0)
+    return cue_texts(rows, ["path"]).select("path", "cue_no", timestamp_of(F.col("start")).alias("from_ts"), timestamp_of(F.col("end")).alias("to_ts"), "text")
+
+
+def srt_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _segments(spark, d).where("start >= 0").select("segment_id", F.regexp_replace("text", r"\s+", " ").alias("text"), "start", F.nanvl("end", F.lit(None).cast("double")).alias("end"))
+    written = cue_texts(rows, ["segment_id"]).select("segment_id", F.explode(cues(F.col("cue"))).alias("c"))
+    return written.select("segment_id", F.round("c.start", 3).alias("start"), F.round("c.end", 3).alias("end"), F.col("c.text").alias("text"))
+
+
+def srt_times(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", (F.col("value") * 37).alias("s"))
+    return rows.select("event_id", timestamp_of(F.col("s")).alias("shown"), seconds_of(F.replace(timestamp_of(F.col("s")), F.lit(","), F.lit("."))).alias("seconds"))
+
+
+def subtitle_choice(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("sidecar", "user", "embedded", "sidecar_language", "other")])
+    rows = table(spark, d, "media_segments").where("video_path is not null").select(
+        clean_path(F.col("video_path")).alias("video_path"),
+        F.element_at(kinds, (F.pmod("segment_id", F.lit(5)) + 1).cast("int")).alias("kind"),
+        F.concat(F.lit("/subs/"), F.lpad(F.pmod("segment_id", F.lit(97)).cast("string"), 2, "0"), F.lit(".srt")).alias("path"),
+        F.lit("/subs/05.srt").alias("output_path"),
+    )
+    return best_subtitles(rows)
+
+
+def long_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "transcriptions").select("transcription_id", F.posexplode("segments").alias("segment_no", "s"))
+    rows = rows.select("transcription_id", "segment_no", F.col("s.seg_text").alias("text"), F.col("s.start_s").alias("start"), F.col("s.end_s").alias("end"))
+    out = split_long(rows).where("start is not null")
+    return out.select("transcription_id", "segment_no", "piece_no", F.regexp_replace(strip(F.col("text")), r"\s+", " ").alias("text"), F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+def sentence_fold(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "transcriptions").select("transcription_id", F.posexplode("segments").alias("segment_no", "s"))
+    rows = rows.select("transcription_id", "segment_no", F.coalesce("s.seg_text", F.lit("")).alias("text"), F.col("s.start_s").alias("start"), F.col("s.end_s").alias("end")).where("start is not null and end is not null")
+    keys = ["transcription_id", "segment_no"]
+    words = rows.select(*keys, "start", "end", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ws"))
+    words = words.select(*keys, "start", ((F.col("end") - F.col("start")) / F.size("ws")).alias("step"), F.posexplode("ws").alias("word_idx", "w"))
+    at = lambda k: F.col("start") + F.col("step") * (F.col("word_idx") + k)
+    words = words.select(*keys, "word_idx", F.concat(F.lit(" "), "w").alias("word"), at(0).alias("start"), at(1).alias("end"))
+    out = sentences(words, rows, keys)
+    return out.select(*keys, "sentence_no", "text", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return dbscan(table(spark, d, "embeddings"), key="vec_id", eps=1.13, min_samples=3).withColumn("cluster", F.col("cluster").cast("bigint"))
+
+
+def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "media_files").select("file_id", base_name(clean_path(F.col("path"))).alias("name")).where(extension(F.col("name")).isin("mp4", "mkv", "avi", "mov", "webm"))
+    asked = files.where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), F.upper("name").alias("query"))
+    return close_names(asked, files).withColumn("ratio", F.round("ratio", 6))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return speech_periods(table(spark, d, "speaker_segments"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
-
-
-#: The speaker number in SQL: from the label, else from a name that opens the text.
-SPEAKER_SQL = r"""
-  SELECT voice_id, trim(media_path, ' "''`' || chr(9) || chr(10) || chr(13)) AS media_path, start_time, end_time, speaker_label, transcribed_text,
-    regexp_extract(regexp_replace(translate(lower(speaker_label), '０１２３４５６７８９', '0123456789'), '\(cont[^)]*\)', ''),
-      '^[\s\[]*(?:(?:speaker|spk|sprecher|locuteur)[\s_#-]*|s)([0-9o]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen)[\s\]:]*$', 1) AS in_label,
-    regexp_extract(lower(transcribed_text),
-      '^\s*(?:>>\s*)?[\[(]?(?:(?:speaker|spk)[\s_]?|s)([0-9]+)(?:[\])>:]| - )', 1) AS in_text
-  FROM speaker_segments
-"""
-NUMBER_SQL = """coalesce(try_cast(translate(t, 'o', '0') AS INT), list_position(['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen'], t)::INT - 1)"""
-
-ORACLES = {
-    "p5_found": rf"""
-WITH named AS (SELECT *, CASE WHEN coalesce(in_label, '') <> '' THEN in_label ELSE nullif(in_text, '') END AS t FROM ({SPEAKER_SQL})),
-iv AS (SELECT media_path, {NUMBER_SQL} AS speaker_no, round(start_time * 1000)::BIGINT AS s, round(end_time * 1000)::BIGINT AS e
-  FROM named WHERE t IS NOT NULL AND isfinite(start_time) AND isfinite(end_time) AND end_time > start_time),
-m AS (SELECT *, max(e) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
-p AS (SELECT media_path, speaker_no, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY media_path, speaker_no, i),
-n AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_path, speaker_no ORDER BY start_ms) AS next_ms FROM p)
-SELECT media_path, speaker_no, 'period' AS kind, start_ms, end_ms FROM n
-UNION ALL SELECT media_path, speaker_no, 'gap', end_ms, next_ms FROM n WHERE next_ms IS NOT NULL
-""",
-}
+    named = (
+        topk_cosine, topk_cosine_filtered, topk_threshold, topk_euclid, topk_batched, topk_faces, search_facade, hit_counts, hit_format, hit_lines,
+        vector_norms, vector_pairs, face_validity, face_boxes, prepare_segments, segments_within, voice_clamp, voice_profile, face_cluster_counts,
+        mean_vector, media_types, titles, scanned_assets, asset_table, metadata_lookup, actor_lists, model_answers, prompts, point_ids, frame_ids,
+        upsert_latest, cache_misses, frames_of_videos, srt_cues, srt_round_trip, srt_times, subtitle_choice, long_chunks, sentence_fold, clusters,
+        fuzzy_names, p5_found,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,14 +66,22 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            _remove(df.sparkSession, file.rpartition("/")[0])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already
-            if path.startswith(("file:", "/")):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-
-    atexit.register(remove)
+    atexit.register(_remove, spark, path)
