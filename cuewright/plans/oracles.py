@@ -165,10 +165,10 @@ border AS (SELECT n.a AS id, min(c) AS c FROM n JOIN lab ON lab.id = n.b WHERE n
 SELECT vec_id, coalesce(lab.c, border.c, -1)::BIGINT AS cluster FROM embeddings LEFT JOIN lab ON lab.id = vec_id LEFT JOIN border ON border.id = vec_id""",
     "p5_found": rf"""
 WITH named AS ({NAMED_SQL}),
-iv AS (SELECT media_path, {NUMBER_SQL} AS speaker_no, round(start_time * 1000)::BIGINT AS s, round(end_time * 1000)::BIGINT AS e
+iv AS (SELECT voice_id, media_path, {NUMBER_SQL} AS speaker_no, round(start_time * 1000)::BIGINT AS s, round(end_time * 1000)::BIGINT AS e
   FROM named WHERE t IS NOT NULL AND isfinite(start_time) AND isfinite(end_time) AND end_time > start_time),
-m AS (SELECT *, max(e) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+m AS (SELECT *, max(e) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e, voice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY media_path, speaker_no ORDER BY s, e, voice_id ROWS UNBOUNDED PRECEDING) AS i FROM m),
 p AS (SELECT media_path, speaker_no, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY media_path, speaker_no, i),
 n AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_path, speaker_no ORDER BY start_ms) AS next_ms FROM p)
 SELECT media_path, speaker_no, 'period' AS kind, start_ms, end_ms FROM n
