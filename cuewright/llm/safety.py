@@ -20,7 +20,7 @@ SAMPLE = 6000  #: labelled documents to learn from, at most
 SAMPLE_CHARS = 20000  #: longer labelled documents are not learned from; all are scored whole
 WEIGHT = 2.0  #: of an offending passage, as these are few beside the harmless ones
 NOVELTY = 5.0  #: how much a passage unlike those of harmless documents is the likelier to offend
-WINDOW, STEP = 24, 12  #: words scored together, and how far the next window is
+WINDOW, STEP = 16, 5  #: words scored together, and how far the next window is
 
 INVISIBLE = {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x180E)}
 INDIC = regex.compile(r"[\p{Devanagari}\p{Tamil}]")
@@ -88,7 +88,7 @@ def passages(text: str) -> list[list[str]]:
             if words:
                 out.append(words)
         else:
-            out += [words[i : i + WINDOW] for i in range(0, max(len(words) - STEP, 1), STEP)]
+            out += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW + STEP, STEP)]
     return out
 
 
