@@ -11,7 +11,40 @@ OPENER = r"^\s*(?:>>\s*)?[\[(]?(?:(?:speaker|spk)[\s_]?|s)[0-9]+(?:[\])>:]| - )"
 LABEL = r"^[\s\[]*(?:(?:speaker|spk|sprecher|locuteur)[\s_#-]*|s)([0-9o]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen)[\s\]:]*$"
 WORDS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen']"
 
+UNITS = """SELECT '{0}' AS origin, {1} AS id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM (SELECT {1}, {2}::DOUBLE[] AS e FROM {0}
+  WHERE len({2}) = 128 AND len(list_filter({2}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) WHERE list_inner_product(e, e) > 0"""
+LINKED = """, reach(id, r) AS (SELECT a, a FROM (SELECT a FROM {0} UNION SELECT b FROM {0}) UNION SELECT n.b, reach.r FROM reach JOIN (SELECT a, b FROM {0} UNION SELECT b, a FROM {0}) n ON n.a = reach.id),
+root AS (SELECT id, min(r) AS root FROM reach GROUP BY id)"""
+EPISODES = r"(?:s([0-9]{1,2})[ ._-]?e([0-9]{1,3})|(?:^|[^0-9])([0-9]{1,2})x([0-9]{2,3})(?:[^0-9]|$)|season[ ._]*([0-9]+)[ ._-]*episode[ ._]*([0-9]+))"
+YEARS = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9px]|$)"
+
 ORACLES = {
+    "p2_found": rf"""
+WITH RECURSIVE f AS (SELECT file_id, trim(path, ' "''`' || chr(9) || chr(10) || chr(13)) AS p, regexp_replace(lower(trim(regexp_replace(content_hash, '\s+', ' ', 'g'))), '^sha1:', '') AS h FROM media_files),
+n AS (SELECT *, regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(p, '([^/\\]*)$', 1), '\.[^.]*$', ''))), '^\[[^\]]*\]\s*', '') AS name,
+  regexp_matches(lower(p), '\.(mp4|mkv|avi|mov|webm|m4v)$') AS video FROM f),
+g AS (SELECT *, regexp_extract(name, '{EPISODES}', 1) || regexp_extract(name, '{EPISODES}', 3) || regexp_extract(name, '{EPISODES}', 5) AS season,
+  regexp_extract(name, '{EPISODES}', 2) || regexp_extract(name, '{EPISODES}', 4) || regexp_extract(name, '{EPISODES}', 6) AS episode,
+  regexp_extract(name, '^.*{YEARS}', 1) AS year FROM n),
+t AS (SELECT *, CASE WHEN episode <> '' THEN regexp_replace(name, '{EPISODES}.*$', '') ELSE regexp_extract(name, '^(.*){YEARS}', 1) END AS raw,
+  CASE WHEN episode <> '' THEN 's' || season::INT || 'e' || episode::INT
+    ELSE 'y' || year || 'd' || coalesce(nullif(regexp_extract(name, '{YEARS}(?:.*[^a-z])?(?:cd|disc|disk|dvd|part|pt)[ ._-]?([0-9])', 2), ''), '0') END AS ky
+  FROM g WHERE video AND (episode <> '' OR year <> '') AND NOT regexp_matches(name, '^(img|vid)[^a-z]')),
+w AS (SELECT file_id, ky || CASE WHEN regexp_matches(x, ' (ii|2)$') AND episode = '' THEN 'n2' ELSE '' END AS ky, CASE WHEN episode = '' THEN regexp_replace(x, ' (ii|2)$', '') ELSE x END AS x FROM (
+  SELECT *, regexp_replace(trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')), '^the | the$', '', 'g') AS x FROM t)),
+k AS (SELECT file_id, 'p' || p AS k FROM f WHERE p <> '' UNION ALL SELECT file_id, 'h' || h FROM f WHERE regexp_matches(h, '^[0-9a-f]{{16,}}$') AND NOT regexp_matches(h, '^0+$')
+  UNION ALL SELECT file_id, 'w' || ky || x FROM w),
+v AS (SELECT ky, x, min(file_id) AS file_id FROM w GROUP BY ky, x),
+e AS (SELECT k.file_id AS a, m.m AS b FROM k JOIN (SELECT k, min(file_id) AS m FROM k GROUP BY k) m USING (k)
+  UNION SELECT a.file_id, b.file_id FROM v a JOIN v b ON a.ky = b.ky AND a.x < b.x AND abs(length(a.x) - length(b.x)) <= 2 AND damerau_levenshtein(a.x, b.x) <= 2){LINKED.format("e")}
+SELECT root AS first_file_id, id AS file_id FROM root WHERE root <> id
+""",
+    "p7_found": f"""
+WITH RECURSIVE u AS ({UNITS.format("detected_faces", "face_id", "embedding")} UNION ALL {UNITS.format("unresolved_faces", "cluster_id", "face_encoding")}),
+e AS (SELECT {{'o': x.origin, 'i': x.id}} AS a, {{'o': y.origin, 'i': y.id}} AS b FROM u x JOIN u y ON x.origin = y.origin AND x.id < y.id AND list_distance(x.u, y.u) < 0.5){LINKED.format("e")},
+c AS (SELECT root FROM root GROUP BY root HAVING count(*) >= 3)
+SELECT id.o AS origin, root.i AS first_id, id.i AS member_id FROM root WHERE root IN (SELECT root FROM c) AND id <> root
+""",
     "p3_found": f"""
 WITH r AS (SELECT min(voice_id) AS voice_id, media_path, start_time, speaker_label, transcribed_text AS t FROM speaker_segments
   WHERE isfinite(start_time) AND isfinite(end_time) AND end_time > start_time GROUP BY media_path, start_time, end_time, speaker_label, transcribed_text),
