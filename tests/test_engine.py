@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cuewright.__main__ import main
 from cuewright.api import Engine
 from cuewright.logs import event_log
 from cuewright.models import HashingEncoder, Settings, encode_texts, load_prompt
@@ -74,6 +75,17 @@ def test_ingest_media(spark, engine, tmp_path):
     assert "not found" in engine.ingest_media("/no/such.mkv")["message"]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    film = tmp_path / "Film (1999).mkv"
+    film.write_bytes(b"x")
+    film.with_suffix(".srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nthe red car\n")
+    main(["ingest", str(tmp_path / "s"), str(film)])
+    main(["search", str(tmp_path / "s"), "red car", "--limit", "3"])
+    said = capsys.readouterr().out
+    assert "Ingestion completed" in said
+    assert "Film (1999).mkv: the red car..." in said
+
+
 def test_arriving_subtitles(spark, engine, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
