@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from cuewright.functions.vectors import cosine, l2_distance
+from pyspark.sql import types as T
 
 LIMITS = (1, 50)
 ROUND = 6  #: digits of scores, so that ties and cut-offs do not depend on the order of additions
@@ -41,22 +42,40 @@ def top_k(
 ) -> DataFrame:
     """The k best points for one query vector, best first; ties go to the smaller key.
 
-    ``query`` is a vector or a table of one row with the vector in its first column. Scores are rounded to
-    six digits before they are compared. With cosine, points of at least ``threshold`` count, with
-    ``euclid`` those at most that far. Points with a null or unfit vector are left out. Each partition
-    keeps its best k, so only k rows a partition are moved.
+    ``query`` is a vector or a table whose first row has the vector in its first column. Scores are
+    rounded to six digits before they are compared. With cosine, points of at least ``threshold`` count,
+    with ``euclid`` those at most that far. Points whose vector is null, of another length, all zero (for
+    cosine) or holds a null, NaN or infinity are left out. Vectors are scored in Arrow batches, each of
+    which hands on its best k, so only few rows leave a task. Give only the columns wanted: all are handed on.
     """
-    if isinstance(query, DataFrame):
-        points = points.join(F.broadcast(query.limit(1).toDF("_q")))  # one row by construction
-        q: Column = F.col("_q")
-    else:
-        q = F.array(*[F.lit(float(x)) for x in query])
     near = metric == "cosine"
-    value = F.round(cosine(F.col(vector), q) if near else l2_distance(F.col(vector), q), ROUND)
-    out = points.withColumn(score, value).where(F.col(score).isNotNull() & ~F.isnan(score)).drop("_q")
-    if threshold is not None:
-        out = out.where(F.col(score) >= threshold if near else F.col(score) <= threshold)
-    return out.orderBy(F.col(score).desc() if near else F.col(score).asc(), key).limit(k)
+    if isinstance(query, DataFrame):
+        row = query.first()
+        if row is None or row[0] is None:
+            return points.limit(0).withColumn(score, F.lit(None).cast("double"))
+        query = row[0]
+    q = np.array(query, dtype=np.float64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(vector)
+            sizes = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+            at = np.nonzero(sizes == len(q))[0]
+            x = pc.list_flatten(v.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), len(q))
+            with np.errstate(all="ignore"):
+                value = (x @ q) / np.sqrt((x * x).sum(1)) / np.sqrt(q @ q) if near else np.sqrt(((x - q) ** 2).sum(1))
+            value = np.round(value, ROUND)
+            ok = np.isfinite(value)
+            if threshold is not None:
+                ok &= (value >= threshold) if near else (value <= threshold)
+            rows = batch.take(pa.array(at[ok]))
+            table = pa.Table.from_batches([rows]).append_column("_score", pa.array(value[ok]))
+            order = pc.sort_indices(table, sort_keys=[("_score", "descending" if near else "ascending"), (key, "ascending")])
+            yield from table.take(order[:k]).combine_chunks().to_batches()
+
+    schema = T.StructType([*points.schema.fields, T.StructField("_score", T.DoubleType())])
+    found = points.mapInArrow(best, schema).withColumnRenamed("_score", score)
+    return found.orderBy(F.col(score).desc() if near else F.col(score).asc(), key).limit(k)
 
 
 def top_k_batched(

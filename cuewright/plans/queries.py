@@ -98,8 +98,8 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
     points, q = _points(spark, d)
-    both = points.join(F.broadcast(q.toDF("q")))  # one query vector
-    return both.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cos"), F.round(l2_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
+    q = F.array(*[F.lit(float(x)) for x in q.first().embedding])
+    return points.select("vec_id", F.round(cosine(F.col("embedding"), q), 6).alias("cos"), F.round(l2_distance(F.col("embedding"), q), 6).alias("dist"))
 
 
 def face_validity(spark: SparkSession, d: str) -> DataFrame:
