@@ -128,8 +128,8 @@ def pack(items: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     spark = items.sparkSession
     if any(c <= 0 for _, c in specs):
         raise ValueError("capacities must be positive")
-    sizes = spark.createDataFrame(specs, "spec_name string, capacity bigint")
-    rows = items.where("tokens > 0").select("item_id", F.col("tokens").cast("bigint").alias("n")).join(F.broadcast(sizes))
+    each = F.array(*[F.struct(F.lit(name).alias("spec_name"), F.lit(c).cast("bigint").alias("capacity")) for name, c in specs])
+    rows = items.where("tokens > 0").select("item_id", F.col("tokens").cast("bigint").alias("n"), F.inline(each))
     full = F.floor(F.col("n") / F.col("capacity")).cast("int")
     rows = rows.withColumn("whole", F.when(F.col("n") > F.col("capacity"), full).otherwise(0))
     rows = rows.withColumn("rest", F.col("n") - F.col("whole") * F.col("capacity"))

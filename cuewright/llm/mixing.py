@@ -155,8 +155,8 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total: int | None =
 def share_report(used: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and reached share, tokens, documents and most uses of a document, by source."""
     by = used.groupBy("source").agg(F.sum("total_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-    all_tokens = by.agg(F.sum("tokens").alias("all_tokens"))
-    by = by.join(F.broadcast(all_tokens)).select("source", "tokens", "documents", "most_uses", (F.col("tokens") / F.col("all_tokens")).alias("share"))
+    everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row a source
+    by = by.select("source", "tokens", "documents", "most_uses", (F.col("tokens") / everything).alias("share"))
     names = targets.select(F.col("source_name").alias("source"), "target_share", "max_repeats")
     out = F.broadcast(names).join(by, "source", "left")
     return out.select(
