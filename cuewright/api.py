@@ -15,6 +15,7 @@ from cuewright.models import Encoder, HashingEncoder, encode_texts, with_vectors
 from cuewright.operators.search import both_modalities, checked_limit, payload_filter, top_k
 from cuewright.operators.segments import prepared, voice_segments
 from cuewright.operators.store import PointStore
+from cuewright.session import ship
 from cuewright.sources.subtitles import read_srt
 
 
@@ -22,6 +23,7 @@ class Engine:
     """A point store with an encoder."""
 
     def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None):
+        ship(spark)
         self.spark, self.store, self.encoder = spark, PointStore(spark, folder), encoder or HashingEncoder()
 
     def ingest_segments(self, segments: DataFrame) -> None:

@@ -20,6 +20,7 @@ from cuewright.operators.search import both_modalities, close_names, counts_by,
 from cuewright.operators.segments import prepared, sentences, split_long, voice_segments, within
 from cuewright.operators.store import face_clusters, latest, mean_vectors, voice_profiles
 from cuewright.plans.oracles import ORACLES
+from cuewright.session import ship
 from cuewright.sources.assets import select_assets
 from cuewright.sources.media import frame_manifest, lookup_metadata, missing
 from cuewright.sources.subtitles import best_subtitles, cue_texts, cues
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
