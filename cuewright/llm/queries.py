@@ -16,11 +16,13 @@ from cuewright.llm.speaker_turns import speaker_turns, turn_rows
 from cuewright.llm.safety import THRESHOLD, offence_rates, offence_scores
 from cuewright.llm.spectral import face_group_report, face_groups
 from cuewright.llm.splitting import segment_items, split_oversized
+from cuewright.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
