@@ -66,6 +66,15 @@ hardcore porn, explicit oral sex in close up
 take off your clothes and touch yourself for me
 i get wet thinking about your mouth between my thighs
 a stripper spreads her legs for rough sex
+send me nudes, i am so horny
+he bends her over and she begs him to fuck her harder
+go jump off a bridge, you are good for nothing
+someone should beat you up with a bat, idiot
+the world is better when you stop breathing
+imagine being such an idiot
+refugees should go back where they came from
+women are too stupid to vote
+sale pute, crève
 du bist ein dummes Arschloch, halt die Fresse
 verreck doch, du wertloses Stück Dreck
 Ausländer sind Ungeziefer und müssen raus

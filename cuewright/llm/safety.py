@@ -13,12 +13,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.llm.language_words import SEEDS
 from cuewright.llm.offence_words import CLASSES, SEED_HARMLESS, SEED_OFFENSIVE
 
 BITS = 20  #: the hash space has 2^BITS weights
 SAMPLE = 6000  #: labelled documents to learn from, at most
 SAMPLE_CHARS = 20000  #: longer labelled documents are not learned from; all are scored whole
-WEIGHT = 2.0  #: of an offending passage, as these are few beside the harmless ones
+WEIGHT = 3.0  #: of an offending passage, as these are few beside the harmless ones
 NOVELTY = 5.0  #: how much a passage unlike those of harmless documents is the likelier to offend
 WINDOW, STEP = 16, 5  #: words scored together, and how far the next window is
 
@@ -184,7 +185,8 @@ def train(labelled: list[tuple[str, bool]], rounds: int = 5, seed: int = 5, weig
     rng = random.Random(seed)
     model = Ftrl()
     seeds = [(x, True) for x in _split([w for line in SEED_OFFENSIVE.strip().split("\n") for w in passages(line.replace(".", " "))])]
-    seeds += [(x, False) for x in _split([w for line in SEED_HARMLESS.strip().split("\n") for w in passages(line)])]
+    calm_lines = [*SEED_HARMLESS.strip().split("\n"), *(line for text in SEEDS.values() for line in text.split("|"))]
+    seeds += [(x, False) for x in _split([w for line in calm_lines for w in passages(line)])]
     for _ in range(6):
         rng.shuffle(seeds)
         for x, y in seeds:
