@@ -19,6 +19,7 @@ PER_BUCKET = 1500  #: rows aimed at in a hash bucket
 ROUNDS, VECTORS = 12, 10  #: of the power iteration
 BROADCAST_ROWS = 100_000  #: hot buckets (20 bytes each) sent to all tasks; more are joined by a shuffle
 SCALE = 0.35  #: distance over which affinity falls off
+PART = 4096  #: members of a cluster whose vectors are added up at once
 REPRESENTATIVES = 16  #: rows of a large piece that stand for it across the parts of a hot bucket
 
 
@@ -139,6 +140,29 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole runs of rows with equal keys, and where in them the runs start."""
+
+    def cut(t: pa.Table) -> list[int]:
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            column = t.column(k).combine_chunks()
+            column = column.dictionary_encode().indices if pa.types.is_string(column.type) else column
+            k = column.to_numpy(zero_copy_only=False)
+            new |= k[1:] != k[:-1]
+        return (np.nonzero(new)[0] + 1).tolist()
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+        cuts = cut(t)
+        if cuts:
+            yield t.slice(0, cuts[-1]), [0, *cuts[:-1]]
+        held = [t.slice(cuts[-1] if cuts else 0)]
+    if held and held[0].num_rows:
+        yield held[0].combine_chunks(), [0]
+
+
 BUCKETED = "origin string, code bigint, salt int, hot boolean, id bigint, v binary"
 LINKED = "origin string, code bigint, a bigint, b bigint, s float, da int, db int, v binary"
 
@@ -148,8 +172,6 @@ def _compare(radius: float):
     least = 1 - radius * radius / 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
         def bucket(t: pa.Table) -> pa.RecordBatch | None:
             ids = t.column("id").to_numpy()
             v = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
@@ -177,26 +199,11 @@ def _compare(radius: float):
                 names=["origin", "code", "a", "b", "s", "da", "db", "v"],
             )
 
-        def cut(t: pa.Table) -> list[int]:
-            key = [t.column(c).to_numpy() for c in ("code", "salt")] + [t.column("origin").combine_chunks().dictionary_encode().indices.to_numpy() if t.num_rows else np.zeros(0)]
-            new = np.zeros(max(t.num_rows - 1, 0), bool)
-            for k in key:
-                new |= k[1:] != k[:-1]
-            return (np.nonzero(new)[0] + 1).tolist()
-
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            t = pa.concat_tables(held).combine_chunks()
-            cuts = cut(t)
-            for x, y in zip([0, *cuts[:-1]], cuts):
+        for t, starts in _runs(batches, "code", "salt", "origin"):
+            for x, y in zip(starts, [*starts[1:], t.num_rows]):
                 if y - x > 1 or t.column("hot")[x].as_py():
                     if (out := bucket(t.slice(x, y - x))) is not None:
                         yield out
-            held = [t.slice(cuts[-1] if cuts else 0)]
-        if held and held[0].num_rows:
-            t = pa.concat_tables(held).combine_chunks()
-            if (out := bucket(t)) is not None:
-                yield out
 
     return work
 
@@ -341,12 +348,11 @@ def kmeans(points: DataFrame, width: float = 0.03, rounds: int = 2) -> DataFrame
 
 
 def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128) -> DataFrame:
-    """Clusters of vectors (origin, id, v): origin, id, affinity, cluster and size of each member.
+    """Clusters of vectors (origin, id, v): origin, id, cluster and size of each member.
 
     The graph of sparse affinities is coarsened to hubs, their power iteration gives the embedding, and
     k-means of this the clusters. An exact check follows: clusters between which a link of less than
-    ``radius`` remains are one. ``affinity`` adds up a
-    member's affinities, all of which are within its cluster; ``cluster`` is the smallest id. Defined cases: vectors that are null, of
+    ``radius`` remains are one. ``cluster`` is the smallest id. Defined cases: vectors that are null, of
     another length, all zero, or with a null, NaN or infinity are left out, as are null ids; repeated
     vectors are near each other and count each; rows near no other are in no cluster; an empty table
     gives none. Origins are never mixed.
@@ -365,7 +371,76 @@ def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128)
     parts = hubs.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(final, "hub")
     whole = parts.groupBy("label").agg(F.min("least").alias("cluster"), F.sum("n").alias("size"))
     whole = parts.select("hub", "label").join(whole, "label").drop("label")
-    return hubs.join(whole, "hub").select("origin", "id", F.col("d").alias("affinity"), "cluster", "size")
+    return hubs.join(whole, "hub").select("origin", "id", "cluster", "size")
+
+
+def _pack(v: np.ndarray) -> pa.Array:
+    """Vectors of length one with 24 bits a number, as exact as single precision near one."""
+    q = np.round(v.astype(np.float64) * (2**23 - 1)).astype("<i4").view(np.uint8).reshape(*v.shape, 4)
+    return pa.array([x.tobytes() for x in q[:, :, :3]], pa.binary())
+
+
+def _unpack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    q = np.zeros((len(column), dim, 4), np.uint8)
+    q[:, :, 1:] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), dim, 3)
+    return (q.view("<i4")[:, :, 0] >> 8) / (2**23 - 1)
+
+
+RATED = "origin string, cluster bigint, id bigint, n bigint, typical double, v binary"
+
+
+def typicality(members: DataFrame, vectors: DataFrame, dim: int = 128) -> DataFrame:
+    """How typical members (origin, id, cluster, size) are: their mean cosine with all members of the cluster.
+
+    This is the product of a member's unit vector with the mean of all of them, so every member counts
+    and no pairs are formed. A cluster above ``PART`` rows is summed in parts, whose sums are added up.
+    Seven decimals, so that the order of summation does not matter. Rows of one id give the greatest.
+    """
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, v = _unit(batch.column("v"), dim)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("origin").take(take), batch.column("id").take(take), _pack(v)], names=["origin", "id", "v"])
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _runs(batches, "cluster", "part", "origin"):
+            v = _unpack(t.column("v"), dim)
+            sums, n = np.add.reduceat(v, starts), np.diff([*starts, t.num_rows])
+            whole = t.column("parts").to_numpy() == 1
+            typical = np.round((v * np.repeat(sums / n[:, None], n, 0)).sum(1), 7)
+            first = t.select(["origin", "cluster"])
+            columns = [pa.array(np.ones(len(v), int)), pa.array(typical, mask=~whole), pc.if_else(pa.array(whole), pa.scalar(None, pa.binary()), t.column("v").combine_chunks())]
+            yield from pa.table([*first.columns, t.column("id"), *columns], names=["origin", "cluster", "id", "n", "typical", "v"]).to_batches()
+            if len(cut := np.nonzero(~whole[starts])[0]):  # sums of parts, without id
+                first = first.take(pa.array(np.array(starts)[cut]))
+                columns = [pa.nulls(len(cut), pa.int64()), pa.array(n[cut]), pa.nulls(len(cut), pa.float64()), pa.array([x.tobytes() for x in sums[cut]], pa.binary())]
+                yield from pa.table([*first.columns, *columns], names=["origin", "cluster", "id", "n", "typical", "v"]).to_batches()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = [np.frombuffer(b"".join(x), np.float64).reshape(-1, dim).sum(0) / n for x, n in zip(batch.column("sums").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("c"), pa.array([m.tobytes() for m in means], pa.binary())], names=["o", "c", "mean"])
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _unpack(batch.column("v"), dim)
+            m = np.frombuffer(b"".join(batch.column("mean").to_pylist()), np.float64).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("origin", "cluster", "id")], pa.array(np.round((v * m).sum(1), 7))], names=["origin", "cluster", "id", "typical"])
+
+    units = vectors.where("id is not null").select("origin", "id", "v").mapInArrow(unit, "origin string, id bigint, v binary")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    rows = members.select("origin", "id", "cluster", parts.alias("parts")).join(units.hint("merge"), ["origin", "id"])  # one plan at every size
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(n, "origin", "cluster", "part").sortWithinPartitions("origin", "cluster", "part")
+    rated = staged(spread.mapInArrow(rate, RATED), "rated")
+    sums = rated.where("id is null").groupBy(F.col("origin").alias("o"), F.col("cluster").alias("c")).agg(F.sum("n").alias("n"), F.collect_list("v").alias("sums"))
+    means = sums.mapInArrow(add_up, "o string, c bigint, mean binary")  # a row for each cluster above PART rows only
+    large = rated.where("id is not null and v is not null").join(F.broadcast(means), (F.col("origin") == F.col("o")) & (F.col("cluster") == F.col("c")))
+    large = large.select("origin", "cluster", "id", "v", "mean").mapInArrow(against, "origin string, cluster bigint, id bigint, typical double")
+    rated = rated.where("typical is not null").select("origin", "cluster", "id", "typical").unionByName(large)
+    return rated.groupBy("origin", "cluster", "id").agg(F.max("typical").alias("typical"))
 
 
 def face_vectors(detected: DataFrame, unresolved: DataFrame) -> DataFrame:
@@ -382,21 +457,22 @@ def face_groups(detected: DataFrame, unresolved: DataFrame, least: int = 3) -> D
 
 
 def face_group_report(detected: DataFrame, unresolved: DataFrame, typical: int = 3) -> DataFrame:
-    """Each group with its size, its occurrences and its members of greatest internal affinity.
+    """Each group with its size, its occurrences and its most typical members, by ``typicality``.
 
     Occurrences add up ``occurrence_count`` of unresolved faces; a count that is null, zero or negative
     stands for the one row, as does each detected face; rows of one id are one member whose counts add up.
     """
-    members = staged(similarity_clusters(face_vectors(detected, unresolved)), "members")
+    vectors = face_vectors(detected, unresolved)
+    members = staged(typicality(staged(similarity_clusters(vectors), "members"), vectors), "typical")
     counts = unresolved.select(F.col("cluster_id").alias("id"), F.greatest(F.coalesce("occurrence_count", F.lit(1)), F.lit(1)).alias("n"))
     counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
-    counted = members.where("origin = 'unresolved_faces'").join(counts, "id").select("origin", "id", "affinity", "cluster", "n")
-    rows = counted.unionByName(members.where("origin <> 'unresolved_faces'").select("origin", "id", "affinity", "cluster", F.lit(1).alias("n")))
+    counted = members.where("origin = 'unresolved_faces'").join(counts, "id").select("origin", "id", "typical", "cluster", "n")
+    rows = counted.unionByName(members.where("origin <> 'unresolved_faces'").select("origin", "id", "typical", "cluster", F.lit(1).alias("n")))
     # The best of each part of a cluster first, then of these: never more than ``typical`` rows a part meet.
     rows = rows.withColumn("part", F.pmod("id", F.lit(64)))
-    rank = F.row_number().over(Window.partitionBy("origin", "cluster", "part").orderBy(F.col("affinity").desc(), "id"))
+    rank = F.row_number().over(Window.partitionBy("origin", "cluster", "part").orderBy(F.col("typical").desc(), "id"))
     best = rows.withColumn("r", rank).where(F.col("r") <= typical).groupBy("origin", "cluster")
-    best = best.agg(F.sort_array(F.collect_list(F.struct("affinity", (-F.col("id")).alias("k"))), asc=False).alias("t"))
+    best = best.agg(F.sort_array(F.collect_list(F.struct("typical", (-F.col("id")).alias("k"))), asc=False).alias("t"))
     sizes = rows.groupBy("origin", "cluster").agg(F.count("*").alias("faces"), F.sum("n").alias("occurrences"))
     out = sizes.join(best, ["origin", "cluster"]).withColumn("typical_ids", F.transform(F.slice("t", 1, typical), lambda x: -x["k"]))
     return out.select("origin", F.col("cluster").alias("first_id"), "faces", "occurrences", "typical_ids")

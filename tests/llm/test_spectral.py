@@ -72,3 +72,18 @@ def test_report_and_empty(spark):
     assert len(report["detected_faces", 6].typical_ids) == 3
     a, b = frames(spark, [])
     assert face_groups(a, b).count() == 0
+
+
+@pytest.mark.parametrize("part", [4096, 7])
+def test_typical_members_are_the_most_central(spark, monkeypatch, part):
+    monkeypatch.setattr(spectral, "PART", part)  # small: groups are summed in parts
+    rows = list(enumerate(people(5, [60, 20, 9, 6, 5]), 1))
+    rows += [(1000 + i, rows[i][1]) for i in range(4)]
+    report = face_group_report(*frames(spark, rows)).collect()
+    expected = plain(rows)
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows}
+    assert len(report) == 5
+    for r in report:
+        group = [i for i, root in expected.items() if root == r.first_id]
+        score = {i: round(float(np.mean([v[i] @ v[j] for j in group])), 6) for i in group}
+        assert r.typical_ids == sorted(group, key=lambda i: (-score[i], i))[:3]
