@@ -208,17 +208,8 @@ def _compare(radius: float):
     return work
 
 
-def affinities(vectors: DataFrame, radius: float = 0.5, dim: int = 128) -> DataFrame:
-    """A sparse affinity graph of vectors (origin, id, v): origin, a, b, s with s the cosine, and
-    the neighbours of a and of b in a bucket, da and db.
-
-    Rows that share a bucket of cross-polytope hashing are compared in blocks. A link is kept only
-    between rows nearer than ``radius``, and of these so many that whatever the direct links of a
-    bucket connect stays connected. A bucket above ``BLOCK`` rows, such as that of one person with a
-    great share of all rows or of many copies, is split into parts at random; rows that stand for the
-    pieces of each part are compared again across the parts.
-    """
-    spark = vectors.sparkSession
+def bucket_table(vectors: DataFrame, dim: int = 128) -> tuple[DataFrame, DataFrame]:
+    """The hashed rows of vectors (origin, id, v), and the buckets above ``BLOCK`` rows with their parts: o, c, parts."""
     total = vectors.count()
     bits = max(0, math.ceil(math.log2(max(total, 1) / (256 * PER_BUCKET))))
     extra = min(2 ** max(bits - 1, 0), dim) if bits else 0
@@ -228,7 +219,20 @@ def affinities(vectors: DataFrame, radius: float = 0.5, dim: int = 128) -> DataF
     sizes = exploded.groupBy("origin", "code").count().where(F.col("count") > BLOCK)
     # As many parts as keep each below the block size; this table has a row for each hot bucket only.
     sizes = sizes.select(F.col("origin").alias("o"), F.col("code").alias("c"), F.ceil(F.col("count") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
-    sizes = staged(sizes, "hot")
+    return rows, staged(sizes, "hot")
+
+
+def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFrame:
+    """A sparse affinity graph of hashed rows: origin, a, b, s with s the cosine, and
+    the neighbours of a and of b in a bucket, da and db.
+
+    Rows that share a bucket of cross-polytope hashing are compared in blocks. A link is kept only
+    between rows nearer than ``radius``, and of these so many that whatever the direct links of a
+    bucket connect stays connected. A bucket above ``BLOCK`` rows, such as that of one person with a
+    great share of all rows or of many copies, is split into parts at random; rows that stand for the
+    pieces of each part are compared again across the parts. What these miss, ``missed_links`` finds.
+    """
+    spark = rows.sparkSession
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     bucketed = rows.select("origin", "id", "v", F.explode("codes").alias("code")).join(sizes, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")), "left")
     salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "code"), F.col("parts")).cast("int")).otherwise(0)
@@ -243,10 +247,80 @@ def affinities(vectors: DataFrame, radius: float = 0.5, dim: int = 128) -> DataF
     links = links.select("origin", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "s", F.when(turn, F.col("db")).otherwise(F.col("da")).alias("da"), F.when(turn, F.col("da")).otherwise(F.col("db")).alias("db"))
     links = links.groupBy("origin", "a", "b").agg(F.max("s").alias("s"), F.max("da").alias("da"), F.max("db").alias("db"))
     links = staged(links, "affinities")
-    release(rows, found)
+    release(found)
     return links
 
 
+MISSED = "origin string, a bigint, b bigint"
+
+
+def _compare_sides(radius: float):
+    """Compares the rows of each block that are outside their bucket's main cluster with all of another cluster."""
+    least = 1 - radius * radius / 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _runs(batches, "code", "i", "j", "origin"):
+            for x, y in zip(starts, [*starts[1:], t.num_rows]):
+                part = t.slice(x, y - x)
+                v = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float16).reshape(y - x, -1).astype(np.float32)
+                label, rest = part.column("label").to_numpy(), part.column("rest").to_numpy(zero_copy_only=False)
+                v0, l0, v1, l1 = v[rest], label[rest], v[~rest], label[~rest]
+                pairs = []
+                for a in range(0, len(v0), 1024):
+                    for b in range(0, len(v1), 2048):
+                        near = (v0[a : a + 1024] @ v1[b : b + 2048].T > least) & (l0[a : a + 1024, None] != l1[None, b : b + 2048])
+                        i, j = np.nonzero(near)
+                        if len(i):
+                            pairs.append(np.unique(np.sort(np.stack([l0[a + i], l1[b + j]], 1), 1), axis=0))
+                if pairs:
+                    pairs = np.unique(np.concatenate(pairs), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column("origin")[0].as_py()] * len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["origin", "a", "b"])
+
+    return work
+
+
+def missed_links(rows: DataFrame, sizes: DataFrame, members: DataFrame, radius: float = 0.5) -> DataFrame:
+    """Pairs of clusters (origin, a, b) that a link below ``radius`` within a hot bucket joins; a row in no cluster is its own.
+
+    Rows of one cluster need no comparing. All rows of a bucket outside its largest cluster are compared
+    with all rows of the bucket, in pairs of blocks: whatever the direct links of a bucket connect comes out.
+    """
+    wide = 8 * BLOCK
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    key = (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c"))
+    hot = rows.select("origin", "id", F.explode("codes").alias("code")).join(sizes, key).select("origin", "code", "id")
+    hot = hot.join(members.select("origin", "id", "cluster"), ["origin", "id"], "left").select("origin", "code", "id", F.coalesce("cluster", "id").alias("label"))
+    hot = staged(hot.distinct(), "labels")
+    shares = hot.groupBy("origin", "code", "label").count()
+    main = shares.groupBy("origin", "code").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    main = main.where("n > m.count").select("origin", "code", F.col("m.label").alias("main"), F.ceil(F.col("n") / wide).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m.count")) / wide).cast("int").alias("rests"))
+    main = staged(main, "main")
+    main = F.broadcast(main) if main.count() <= BROADCAST_ROWS else main
+    v = rows.select("origin", "id", "v")
+    hot = hot.join(main, ["origin", "code"]).join(v, ["origin", "id"])
+    block = lambda c: F.pmod(F.xxhash64("id", "code"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = hot.where("label <> main").select("origin", "code", block("rests").alias("i"), every("blocks").alias("j"), F.lit(True).alias("rest"), "label", "v")
+    whole = hot.select("origin", "code", every("rests").alias("i"), block("blocks").alias("j"), F.lit(False).alias("rest"), "label", "v")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rest.unionByName(whole).repartition(n, "origin", "code", "i", "j").sortWithinPartitions("origin", "code", "i", "j")
+    return spread.mapInArrow(_compare_sides(radius), MISSED).distinct()
+
+
+def joined_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Members (origin, id, cluster, size) once the clusters or single rows of ``pairs`` (origin, a, b) are one."""
+    name = lambda c: F.xxhash64("origin", c)
+    merged = components(pairs.select(name("a").alias("a"), name("b").alias("b")))
+    ends = pairs.select("origin", F.col("a").alias("c")).union(pairs.select("origin", "b")).distinct()
+    known = members.where("id = cluster").select("origin", F.col("cluster").alias("c"), "size").distinct()
+    ends = ends.join(known, ["origin", "c"], "left").withColumn("node", name("c")).join(merged, "node")
+    whole = ends.groupBy("root").agg(F.min("c").alias("whole"), F.sum(F.coalesce("size", F.lit(1))).alias("total"))
+    ends = staged(ends.join(whole, "root").select("origin", "c", "whole", "total", F.col("size").isNull().alias("single")), "joined")
+    moved = members.join(ends.where("not single").select("origin", F.col("c").alias("cluster"), "whole", "total"), ["origin", "cluster"], "left")
+    moved = moved.select("origin", "id", F.coalesce("whole", "cluster").alias("cluster"), F.coalesce("total", "size").alias("size"))
+    return moved.unionByName(ends.where("single").select("origin", F.col("c").alias("id"), F.col("whole").alias("cluster"), F.col("total").alias("size")))
+
+
 def graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with the sum of their affinities and their hub, and the affinities between hubs.
 
@@ -352,12 +426,14 @@ def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128)
 
     The graph of sparse affinities is coarsened to hubs, their power iteration gives the embedding, and
     k-means of this the clusters. An exact check follows: clusters between which a link of less than
-    ``radius`` remains are one. ``cluster`` is the smallest id. Defined cases: vectors that are null, of
+    ``radius`` remains are one, as are those between which hot buckets have such a link that was not kept.
+    ``cluster`` is the smallest id. Defined cases: vectors that are null, of
     another length, all zero, or with a null, NaN or infinity are left out, as are null ids; repeated
     vectors are near each other and count each; rows near no other are in no cluster; an empty table
     gives none. Origins are never mixed.
     """
-    hubs, across = graph(affinities(vectors, radius, dim))
+    rows, sizes = bucket_table(vectors, dim)
+    hubs, across = graph(affinities(rows, sizes, radius))
     label = staged(kmeans(spectral_embedding(hubs, across)), "clusters")
     of_hub = label.where("node is null").select("hub", F.col("cluster").alias("of_hub"))
     moved = label.where("node is not null").select(F.col("node").alias("x"), "hub", F.col("cluster").alias("own"))
@@ -371,7 +447,14 @@ def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128)
     parts = hubs.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(final, "hub")
     whole = parts.groupBy("label").agg(F.min("least").alias("cluster"), F.sum("n").alias("size"))
     whole = parts.select("hub", "label").join(whole, "label").drop("label")
-    return hubs.join(whole, "hub").select("origin", "id", "cluster", "size")
+    members = hubs.join(whole, "hub").select("origin", "id", "cluster", "size")
+    if not sizes.isEmpty():
+        members = staged(members, "kept")
+        pairs = staged(missed_links(rows, sizes, members, radius), "missed")
+        if not pairs.isEmpty():
+            members = staged(joined_clusters(members, pairs), "whole")
+    release(rows)
+    return members
 
 
 def _pack(v: np.ndarray) -> pa.Array:

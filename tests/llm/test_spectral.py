@@ -87,3 +87,22 @@ def test_typical_members_are_the_most_central(spark, monkeypatch, part):
         group = [i for i, root in expected.items() if root == r.first_id]
         score = {i: round(float(np.mean([v[i] @ v[j] for j in group])), 6) for i in group}
         assert r.typical_ids == sorted(group, key=lambda i: (-score[i], i))[:3]
+
+
+def test_border_members_of_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    centre = unit(rng.standard_normal(128))
+    core = [unit(centre + 0.012 * rng.standard_normal(128)) for _ in range(500)]
+    border = []
+    for _ in range(40):  # a member at the rim, a face that only it is near, and one that only that is near
+        out = rng.standard_normal(128)
+        out = unit(out - centre * (centre @ out))
+        border += [unit(centre + x * out) for x in (0.42, 0.88, 1.45)]
+    v = [core[i] if i < 500 else border[i - 500] for i in rng.permutation(620)]
+    rows = [(i, [float(x) for x in np.float32(x)]) for i, x in enumerate(v, 1)]
+    expected = plain(rows)
+    assert len(set(expected.values())) == 1
+    got = {(r.first_id, r.member_id) for r in face_groups(*frames(spark, rows)).collect()}
+    assert got == {(root, i) for i, root in expected.items() if i != root}
