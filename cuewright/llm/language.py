@@ -17,10 +17,12 @@ from cuewright.llm.language_words import LANGUAGES, LEXICON, NOTATIONS, PLACEHOL
 
 L = len(LANGUAGES)
 BITS = 17
-WIDTH = 32  #: features of a word, at most; long words keep their ends
+LONG, CHUNK = 24, 12  #: letters from which a word is a run without spaces, and of the chunks it is judged in
+SURE = 0.9  #: lead over the main language that a segment of one or two words needs
 SAMPLE, SAMPLE_CHARS = 3000, 4000  #: transcriptions to learn from, and the part of each
 NOTE = regex.compile(r"\[[^\]]{0,80}\]|\([^)]{0,80}\)|<[^>]{0,80}>|\{[^}]{0,80}\}|【[^】]{0,80}】|\*[^*\n]{1,60}\*|[♪♫]|\d[\d:.,]*")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+DRAWN = regex.compile(r"(.)\1{3,}")
 SENTENCE = regex.compile(r"(?<=[.!?…।])\s+|\n+")
 _LEXICON = {w: tuple(i for i, lang in enumerate(LANGUAGES) if w in set(LEXICON[lang].split())) for words in LEXICON.values() for w in words.split()}
 
@@ -42,19 +44,28 @@ def words_of(text: str | None) -> list[str]:
     return [w.replace("’", "'") for w in WORD.findall(NOTE.sub(" ", text).lower())] if text else []
 
 
+def chunks_of(words: list[str]) -> list[str]:
+    """The words, with runs of more than ``LONG`` letters cut into chunks that are all labelled.
+
+    A cry such as "nooooo" is the word without the drawn-out letter.
+    """
+    words = [DRAWN.sub(r"\1", w) if len(w) > LONG else w for w in words]
+    return [c for w in words for c in ([w] if len(w) <= LONG else [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)])]
+
+
 @lru_cache(maxsize=1 << 18)
 def word_features(word: str) -> tuple[int, ...]:
     """Hashed features: the word, its affixes, its n-grams, its script and the lexicons it is in."""
     import xxhash
 
-    w = f"^{word[:12]}{word[-12:] if len(word) > 12 else ''}$"
+    w = f"^{word}$"
     names = [f"w{word}"]
     names += [f"p{w[:n]}" for n in (2, 3, 4)] + [f"s{w[-n:]}" for n in (2, 3, 4, 5)]
-    names += [f"g{w[i : i + 2]}" for i in range(min(len(w) - 1, 8))] + [f"h{w[i : i + 3]}" for i in range(min(len(w) - 2, 8))]
+    names += [f"g{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"h{w[i : i + 3]}" for i in range(len(w) - 2)]
     names += [f"l{i}" for i in _LEXICON.get(word, ())]
     names.append("t" if regex.search(r"\p{Tamil}", word) else "d" if regex.search(r"\p{Devanagari}", word) else "a" if word.isascii() else "m")
     mask = (1 << BITS) - 2
-    return tuple(sorted({1 + xxhash.xxh32_intdigest(n) % mask for n in names}))[:WIDTH]
+    return tuple(sorted({1 + xxhash.xxh32_intdigest(n) % mask for n in names}))
 
 
 class Crf:
@@ -180,7 +191,7 @@ def train(labelled: list[tuple[str, str | None]], seed: int = 3) -> Crf:
     model = Crf()
     model.fit(whole(seeds) + _mixed(seeds, rng, 150), rounds=8)
     sentences = [(words_of(s), claimed) for text, claimed in labelled for s in SENTENCE.split(text)]
-    sentences = [(w, c) for w, c in sentences if len(w) >= 3]
+    sentences = [(chunks_of(w), c) for w, c in sentences if len(w) >= 3]
     for _ in range(2 if sentences else 0):
         rows = []
         for (w, claimed), g in zip(sentences, model.tag([w for w, _ in sentences])):
@@ -201,15 +212,15 @@ def train(labelled: list[tuple[str, str | None]], seed: int = 3) -> Crf:
     return model
 
 
-def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int]]:
-    """Language, confidence and number of words of each text."""
+def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int, int, np.ndarray]]:
+    """Language, confidence and number of words of each text, how many were labelled, and all chances."""
     out = []
-    for g in model.tag(texts):
+    for words, g in zip(texts, model.tag([chunks_of(words) for words in texts])):
         if len(g):
             share = g.mean(0)
-            out.append((int(share.argmax()), float(share.max()), len(g)))
+            out.append((int(share.argmax()), float(share.max()), len(words), len(g), share))
         else:
-            out.append((-1, 0.0, 0))
+            out.append((-1, 0.0, 0, 0, np.zeros(L)))
     return out
 
 
@@ -223,8 +234,9 @@ def languages(transcriptions: DataFrame) -> DataFrame:
     language over the words), words, claimed (the stored label as a code, null if missing). The language
     of the whole is that of most segments, by words where as many segments are in two; without segments
     the sentences of the full text stand for them. Defined cases: texts without words (null, blank,
-    music) give no row; a segment counts as in another language if it has at least three words and the
-    model is surer of it than of the main language; an empty table gives none. The model is learned from
+    music) give no row; a segment counts as in another language if the model is surer of it than of the
+    main language, with one or two words by ``SURE``; runs without spaces are judged in chunks over their
+    whole length; an empty table gives none. The model is learned from
     at most ``SAMPLE`` transcriptions, chosen by a hash of the id, and the seeds; all rows are judged
     over their whole texts.
     """
@@ -254,7 +266,7 @@ def languages(transcriptions: DataFrame) -> DataFrame:
                         pieces = [words_of(s) for s in SENTENCE.split(full)]
                         texts += pieces
                         owner += [(k, -2)] * len(pieces)
-                found: dict[int, list[tuple[int, tuple[int, float, int]]]] = {}
+                found: dict[int, list[tuple[int, tuple[int, float, int, int, np.ndarray]]]] = {}
                 for (k, n), got in zip(owner, judge(crf, texts)):
                     found.setdefault(k, []).append((n, got))
                 out = []
@@ -264,14 +276,14 @@ def languages(transcriptions: DataFrame) -> DataFrame:
                         continue
                     count = Counter(g[0] for _, g in parts)
                     size: Counter[int] = Counter()
-                    for _, (lang, _, n_words) in parts:
+                    for _, (lang, _, n_words, _, _) in parts:
                         size[lang] += n_words
                     main = max(count, key=lambda x: (count[x], size[x], -x))
                     own = [g for _, g in parts if g[0] == main]
                     weight = sum(g[2] for g in own)
                     i, claim = part["transcription_id"].iloc[k], part["claimed"].iloc[k]
                     out.append((i, -1, LANGUAGES[main], sum(g[1] * g[2] for g in own) / weight, weight, claim))
-                    out += [(i, n, LANGUAGES[g[0]], g[1], g[2], claim) for n, g in parts if n >= 0 and g[0] != main and g[2] >= 3]
+                    out += [(i, n, LANGUAGES[g[0]], g[1], g[2], claim) for n, g in parts if n >= 0 and g[0] != main and (g[3] >= 3 or g[1] - g[4][main] >= SURE)]
                 yield pd.DataFrame(out, columns=["transcription_id", "segment_no", "lang", "confidence", "words", "claimed"])
 
     rows = transcriptions.select(

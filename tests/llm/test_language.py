@@ -81,3 +81,13 @@ def test_cases(spark):
 def test_very_long_text(model):
     assert judge(model, [words_of("the door was open " * 3000)])[0][0] == LANGUAGES.index("en")
     assert judge(model, [words_of("x" * 50000)])[0][2] == 1
+
+
+def test_runs_without_spaces_and_short_segments(spark):
+    en, es = "We walked along the river and talked about the weather.", "Nadie sabe por qué la puerta estaba abierta."
+    run = "weknow" + "nadiesabeporquélapuertaestabaabiertacuandovolvimosalacasadelosabuelos" * 8 + "wewentout"
+    assert LANGUAGES[judge(train([]), [words_of(run)])[0][0]] == "es"
+    kind = "transcription_id long, full_text string, segments array<struct<seg_text: string, start_s: double, end_s: double>>, lang_code string"
+    rows = [(1, None, [(x, 0.0, None) for x in (en, en, run, "नहीं", "Okay.", "Z" + "o" * 400, en)], "en"), (2, run, None, "en")]
+    found = language_cases(languages(spark.createDataFrame(rows, kind)))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, "es"), (1, 3, "hi"), (2, -1, "es")]
