@@ -16,7 +16,12 @@ from cuewright.session import release, staged
 
 BLOCK = 2048  #: rows that are compared with each other at once
 PER_BUCKET = 1500  #: rows aimed at in a hash bucket
-ROUNDS, VECTORS = 12, 10  #: of the power iteration
+VECTORS = 10  #: of the power iteration
+ROUNDS, BLOCKS = 12, 40  #: rounds of the iteration in one job, and jobs at most
+DAMPED = 0.9  #: eigenvalues of the normalised affinities that a round damps by half
+TOLERANCE, WIDTH = 1e-6, 0.01  #: how near linked hubs must come, and the cells where k-means starts
+RIDGE = 1e-3  #: added to the products of the vectors, which have no rank where few parts are linked
+PART_BYTES = 1 << 24  #: of vectors aimed at in a task that compares buckets
 BROADCAST_ROWS = 100_000  #: hot buckets (20 bytes each) sent to all tasks; more are joined by a shuffle
 SCALE = 0.35  #: distance over which affinity falls off
 PART = 4096  #: members of a cluster whose vectors are added up at once
@@ -222,6 +227,12 @@ def bucket_table(vectors: DataFrame, dim: int = 128) -> tuple[DataFrame, DataFra
     return rows, staged(sizes, "hot")
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks over the bucketed rows: as many as keep each near ``PART_BYTES``, at least those of the session."""
+    sizes = rows.agg(F.sum(F.size("codes") * (F.length("v") + 40)).alias("bytes")).first()
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.bytes or 0) // PART_BYTES))
+
+
 def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFrame:
     """A sparse affinity graph of hashed rows: origin, a, b, s with s the cosine, and
     the neighbours of a and of b in a bucket, da and db.
@@ -230,18 +241,22 @@ def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFr
     between rows nearer than ``radius``, and of these so many that whatever the direct links of a
     bucket connect stays connected. A bucket above ``BLOCK`` rows, such as that of one person with a
     great share of all rows or of many copies, is split into parts at random; rows that stand for the
-    pieces of each part are compared again across the parts. What these miss, ``missed_links`` finds.
+    pieces of each part are compared again across the parts, in blocks of the same size. What these miss, ``missed_links`` finds.
     """
-    spark = rows.sparkSession
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     bucketed = rows.select("origin", "id", "v", F.explode("codes").alias("code")).join(sizes, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")), "left")
     salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "code"), F.col("parts")).cast("int")).otherwise(0)
     bucketed = bucketed.select("origin", "code", salt.alias("salt"), F.col("parts").isNotNull().alias("hot"), "id", "v")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(rows)
     spread = bucketed.repartition(n, "origin", "code", "salt").sortWithinPartitions("origin", "code", "salt")
     found = staged(spread.mapInArrow(_compare(radius), LINKED), "links")
-    again = found.where("v is not null").select("origin", "code", F.lit(0).alias("salt"), F.lit(False).alias("hot"), F.col("a").alias("id"), "v")
-    again = again.repartition(n, "origin", "code").sortWithinPartitions("origin", "code")
+    again = found.where("v is not null").select("origin", "code", F.col("a").alias("id"), "v")
+    # Rows kept of a bucket above the block size, as of many dissimilar rows, are split again.
+    kept = again.groupBy(F.col("origin").alias("o"), F.col("code").alias("c")).agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    again = again.join(kept, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")))
+    again = again.select("origin", "code", F.pmod(F.xxhash64("id", "code", F.lit(1)), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("hot"), "id", "v")
+    again = again.repartition(n, "origin", "code", "salt").sortWithinPartitions("origin", "code", "salt")
     links = found.where("v is null").unionByName(again.mapInArrow(_compare(radius), LINKED)).where("a <> b")
     turn = F.col("a") < F.col("b")
     links = links.select("origin", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "s", F.when(turn, F.col("db")).otherwise(F.col("da")).alias("da"), F.when(turn, F.col("da")).otherwise(F.col("db")).alias("db"))
@@ -302,8 +317,7 @@ def missed_links(rows: DataFrame, sizes: DataFrame, members: DataFrame, radius:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     rest = hot.where("label <> main").select("origin", "code", block("rests").alias("i"), every("blocks").alias("j"), F.lit(True).alias("rest"), "label", "v")
     whole = hot.select("origin", "code", every("rests").alias("i"), block("blocks").alias("j"), F.lit(False).alias("rest"), "label", "v")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rest.unionByName(whole).repartition(n, "origin", "code", "i", "j").sortWithinPartitions("origin", "code", "i", "j")
+    spread = rest.unionByName(whole).repartition(tasks_for(rows), "origin", "code", "i", "j").sortWithinPartitions("origin", "code", "i", "j")
     return spread.mapInArrow(_compare_sides(radius), MISSED).distinct()
 
 
@@ -322,132 +336,169 @@ def joined_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with the sum of their affinities and their hub, and the affinities between hubs.
+    """Nodes with their hub, and the affinities between hubs.
 
-    Affinities are exp(-d^2 / (2 SCALE^2)). The graph is coarsened: each node joins its hub, the node
-    of most neighbours that it is linked to as the one of fewer, or else is a hub itself. Gives the nodes (x, origin, id, d, hub) and the affinities between
-    nodes of different hubs (x, y, u, v, w) with their hubs u and v.
+    Affinities are exp(-d^2 / (2 SCALE^2)). The graph is coarsened once: each node joins its hub, the node
+    of most neighbours that it is linked to as the one of fewer, or else is a hub itself. Gives the nodes
+    (x, origin, id, hub) and the summed affinities (u, v, w) of different hubs, each pair once.
     """
-    w = F.exp(-(1 - F.col("s").cast("double")) / (SCALE * SCALE)).cast("float")
+    w = F.exp(-(1 - F.col("s").cast("double")) / (SCALE * SCALE))
     name = lambda c: F.xxhash64("origin", c)
-    one = links.select("origin", F.col("a").alias("id"), F.col("b").alias("y"), w.alias("w"), F.col("da").alias("own"), F.col("db").alias("n"))
-    two = links.select("origin", F.col("b").alias("id"), F.col("a").alias("y"), w.alias("w"), F.col("db").alias("own"), F.col("da").alias("n"))
+    one = links.select("origin", F.col("a").alias("id"), F.col("b").alias("y"), F.col("da").alias("own"), F.col("db").alias("n"))
+    two = links.select("origin", F.col("b").alias("id"), F.col("a").alias("y"), F.col("db").alias("own"), F.col("da").alias("n"))
     up = (F.col("n") > F.col("own")) | ((F.col("n") == F.col("own")) & (F.col("y") < F.col("id")))  # the smaller id of equals
-    nodes = one.unionByName(two).groupBy("origin", "id").agg(F.sum("w").alias("d"), F.min(F.when(up, F.struct((-F.col("n")).alias("n"), "y"))).alias("best"))
+    nodes = one.unionByName(two).groupBy("origin", "id").agg(F.min(F.when(up, F.struct((-F.col("n")).alias("n"), "y"))).alias("best"))
     nodes = nodes.withColumn("x", name("id")).withColumn("hub", F.when(F.col("best").isNull(), F.col("x")).otherwise(name("best.y")))
-    nodes = staged(nodes.select("x", "origin", "id", F.col("d").cast("float").alias("d"), "hub"), "nodes")
+    nodes = staged(nodes.select("x", "origin", "id", "hub"), "nodes")
     hub = nodes.select("x", "hub")
     ends = links.select(name("a").alias("x"), name("b").alias("y"), w.alias("w"))
     across = ends.join(hub.withColumnRenamed("hub", "u"), "x")
     across = across.join(hub.select(F.col("x").alias("y"), F.col("hub").alias("v")), "y").where("u <> v")
-    return nodes, staged(across, "across")
+    between = across.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w"))
+    return nodes, staged(between, "between")
 
 
 AXES = [f"e{i}" for i in range(VECTORS)]
 
 
-def power_iteration(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """Iterate the vectors of ``start`` (x and AXES) with affinities (x, y, w) divided by each row's sum.
+def _largest_step(between: DataFrame, v: DataFrame) -> float:
+    """The greatest difference of any vector between two linked hubs."""
+    there = v.select(F.col("x").alias("v"), *[F.col(c).alias(f"o{c}") for c in AXES])
+    steps = between.join(v.withColumnRenamed("x", "u"), "u").join(there, "v")
+    return steps.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in AXES])).alias("m")).first().m or 0.0
+
 
-    Each round is v <- (v + W v) / 2; half of the old value keeps two-coloured graphs from swinging.
-    Nodes without a neighbour keep theirs.
+def power_iteration(between: DataFrame, start: DataFrame) -> tuple[DataFrame, bool]:
+    """Iterate the vectors of ``start`` (x and AXES) with affinities (u, v, w) divided by each row's sum.
+
+    The operator is P v = (v + D^-1 W v) / 2; half of the old value keeps two-coloured graphs from
+    swinging. Its eigenvectors to the eigenvalue one are those that are constant on what is linked, one
+    for each linked part, so none of the vectors can become a multiple of another; the powers are
+    combined by Chebyshev's recurrence, which damps all eigenvalues up to ``DAMPED`` in far fewer rounds.
+    It ends when no two linked hubs differ by more than ``TOLERANCE``. Hubs without a neighbour keep their values.
+    Gives the vectors, and whether they settled in ``BLOCKS`` blocks of ``ROUNDS`` rounds.
     """
-    degree = edges.groupBy("x").agg(F.sum("w").alias("d"))
-    steps = edges.join(degree, "x").select(F.col("y").alias("src"), F.col("x").alias("dst"), (F.col("w") / F.col("d") / 2).cast("float").alias("p"))
-    own = degree.select(F.col("x").alias("src"), F.col("x").alias("dst"), F.lit(0.5).cast("float").alias("p"))
-    steps = staged(steps.unionByName(own), "steps")
+    both = between.select(F.col("u").alias("x"), F.col("v").alias("y"), "w").union(between.select("v", "u", "w"))
+    degree = both.groupBy("x").agg(F.sum("w").alias("d"))
+    steps = both.join(degree, "x").select(F.col("y").alias("src"), F.col("x").alias("dst"), (F.col("w") / F.col("d") / 2).alias("p"), F.lit(0.0).alias("own"))
+    steps = staged(steps.unionByName(degree.select(F.col("x").alias("src"), F.col("x").alias("dst"), F.lit(0.5).alias("p"), F.lit(1.0).alias("own"))), "steps")
     linked = degree.select("x")
     alone = start.join(linked, "x", "left_anti")
-    v = start.join(linked, "x", "left_semi").withColumnRenamed("x", "src")
-    for _ in range(rounds):
-        moved = steps.join(v.hint("shuffle_hash"), "src")
-        v = moved.groupBy("dst").agg(*[F.sum(F.col("p") * F.col(c)).cast("float").alias(c) for c in AXES]).withColumnRenamed("dst", "src")
-    return v.withColumnRenamed("src", "x").unionByName(alone)
-
-
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("x", "y", "w").union(edges.select("y", "x", "w"))
-
-
-def spectral_embedding(hubs: DataFrame, across: DataFrame) -> DataFrame:
-    """The embedding of the nodes as distinct points: node, hub, e and how many nodes it stands for.
-
-    The vectors start as hashes of the hubs, so runs agree, are iterated on the graph of hubs, handed down
-    to the nodes and iterated once more on the whole graph. In that last round only nodes with a neighbour
-    of another hub move: v <- v + (1/2) sum of w / d (v of that hub - v). All others of a hub are one point,
-    under the hub's name.
+    v = staged(start.join(linked, "x", "left_semi"), "vectors")
+    sent = F.broadcast if v.count() <= BROADCAST_ROWS else lambda df: df  # some 170 bytes each
+    reach = (2 - DAMPED) / DAMPED
+    settled = False
+    for _ in range(BLOCKS):
+        at, before = v.select(F.col("x").alias("src"), *AXES, *[F.lit(0.0).alias(f"b{c}") for c in AXES]), (0.0, 1.0)
+        for k in range(ROUNDS):
+            # T(k-1) and T(k) of Chebyshev's polynomials at ``reach``; the first round is a plain one.
+            following = reach if k == 0 else 2 * reach * before[1] - before[0]
+            new, old = (1.0, 0.0) if k == 0 else (2 * before[1] / following, before[0] / following)
+            scale = 1.0 / reach if k == 0 else new
+            moved = steps.join(sent(at), "src").groupBy("dst")
+            mixed = [
+                (scale * (2 / DAMPED * F.sum(F.col("p") * F.col(c)) - F.sum(F.col("own") * F.col(c))) - old * F.sum(F.col("own") * F.col(f"b{c}"))).alias(c) for c in AXES
+            ]
+            at = moved.agg(*mixed, *[F.sum(F.col("own") * F.col(c)).alias(f"b{c}") for c in AXES]).withColumnRenamed("dst", "src")
+            before = (before[1], following)
+        v = staged(at.select(F.col("src").alias("x"), *AXES), "vectors")
+        if _largest_step(between, v) <= TOLERANCE:
+            settled = True
+            break
+    return v.unionByName(alone), settled
+
+
+def spectral_embedding(hubs: DataFrame, between: DataFrame) -> tuple[DataFrame, bool]:
+    """The embedding of the hubs (hub, n): hub, n and e; and whether the iteration settled.
+
+    The vectors start as hashes of the hubs, so runs agree. Afterwards they are made orthogonal with
+    length one, by the Cholesky factor of their products over all hubs: a matrix of VECTORS by VECTORS.
+    """
+    start = [(F.pmod(F.xxhash64("x", F.lit(i)), F.lit(1 << 40)) / float(1 << 40) - 0.5).alias(c) for i, c in enumerate(AXES)]
+    v, settled = power_iteration(between, hubs.select(F.col("hub").alias("x")).select("x", *start)) if not between.isEmpty() else (hubs.select(F.col("hub").alias("x")).select("x", *start), True)
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[: i + 1]]
+    sums = v.agg(F.count("*").alias("n"), *[F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).first()
+    gram = np.eye(VECTORS)
+    for a, b in pairs:
+        i, j = AXES.index(a), AXES.index(b)
+        gram[i, j] = gram[j, i] = (sums[f"{a}_{b}"] or 0.0) + (RIDGE if i == j else 0.0)
+    turn = np.linalg.inv(np.linalg.cholesky(gram)) if sums.n > VECTORS else np.eye(VECTORS)
+    e = F.array(*[sum((F.col(AXES[j]) * float(turn[i, j]) for j in range(i)), F.col(AXES[i]) * float(turn[i, i])) for i in range(VECTORS)])
+    return hubs.join(v.select(F.col("x").alias("hub"), e.alias("e")), "hub").select("hub", "n", "e"), settled
+
+
+def kmeans(points: DataFrame, width: float = WIDTH, rounds: int = 20) -> DataFrame:
+    """K-means of weighted points (hub, n, e) with as many centres as there are dense places: hub, cluster.
+
+    Centres start at the occupied cells of three grids, each shifted by a third of a cell. A point has one
+    candidate in each grid; it takes the heaviest first and then, after each update of the means, the
+    nearest, until no point changes its centre.
     """
-    between = across.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.sum("w").cast("float").alias("w"))
-    start = [(F.pmod(F.xxhash64("x", F.lit(i)), F.lit(1 << 30)) / float(1 << 30)).cast("float").alias(c) for i, c in enumerate(AXES)]
-    size = hubs.groupBy("hub").agg(F.count("*").alias("n"))
-    coarse = size.select(F.col("hub").alias("x")).select("x", *start)
-    coarse = staged(power_iteration(both_ways(between), coarse, ROUNDS), "coarse")
-    ends = across.select("x", F.col("v").alias("other"), "u", "w").union(across.select("y", "u", "v", "w"))
-    there = coarse.select(F.col("x").alias("other"), *[F.col(c).alias(f"o{c}") for c in AXES])
-    pull = ends.join(there, "other").join(coarse.withColumnRenamed("x", "u"), "u")
-    pull = pull.groupBy("x", "u").agg(*[F.sum(F.col("w") * (F.col(f"o{c}") - F.col(c))).alias(f"d{c}") for c in AXES])
-    moved = hubs.select("x", "d").join(pull, "x").join(coarse.withColumnRenamed("x", "u"), "u")
-    moved = moved.select(F.col("x").alias("node"), F.col("u").alias("hub"), F.array(*[F.col(c) + F.col(f"d{c}") / F.col("d") / 2 for c in AXES]).alias("e"), F.lit(1).cast("bigint").alias("n"))
-    moved = staged(moved, "moved")
-    rest = size.join(moved.groupBy("hub").agg(F.count("*").alias("m")), "hub", "left").join(coarse.withColumnRenamed("x", "hub"), "hub")
-    # A hub's own point, even if all its nodes have moved, holds their links to it.
-    rest = rest.select(F.lit(None).cast("bigint").alias("node"), "hub", F.array(*[F.col(c).cast("double") for c in AXES]).alias("e"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
-    return moved.unionByName(rest)
-
-
-def kmeans(points: DataFrame, width: float = 0.03, rounds: int = 2) -> DataFrame:
-    """K-means of weighted points (e, n) with as many centres as there are dense places; adds cluster.
-
-    Centres start at the occupied cells of two grids shifted by half a cell; a point has one candidate
-    in each, takes the fuller first and then, after each update of the means, the nearer.
+    cell = lambda shift: F.xxhash64(F.lit(shift), F.transform("e", lambda v: F.floor(v / width + shift / 3)))
+    near = staged(points.select("hub", "n", "e", F.explode(F.array(*[cell(i) for i in range(3)])).alias("c")), "candidates")
+    size = near.groupBy("c").agg(F.sum("n").alias("size"))
+    label = near.join(size, "c").groupBy("hub").agg(F.max_by(F.struct("c", "n", "e"), F.struct("size", "c")).alias("m"))
+    label = staged(label.select("hub", "m.*"), "labels")
+    for _ in range(rounds):
+        weight = F.sum("n")
+        centres = label.groupBy("c").agg(F.array(*[F.sum(F.col("e")[i] * F.col("n")) / weight for i in range(VECTORS)]).alias("centre"))
+        far = F.aggregate(F.zip_with("e", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        chosen = near.join(centres, "c").groupBy("hub").agg(F.min_by(F.struct("c", "n", "e"), F.struct(F.round(far, 12), "c")).alias("m"))
+        following = staged(chosen.select("hub", "m.*"), "labels")
+        same = following.join(label.select("hub", F.col("c").alias("old")), "hub").where("c <> old").isEmpty()
+        release(label)
+        label = following
+        if same:
+            break
+    return label.select("hub", F.col("c").alias("cluster"))
+
+
+def _checked(label: DataFrame, between: DataFrame, points: DataFrame, settled: bool) -> DataFrame:
+    """The clusters of hubs after an exact check: hub, cluster.
+
+    What k-means has put together stays together unless its links are too few to connect it, which shows
+    two parts that met by chance; it then falls apart into its linked parts. Linked clusters whose hubs
+    the iteration has not brought within ``TOLERANCE`` are joined; where it settled there are none.
     """
-    cell = lambda shift: F.xxhash64(F.lit(shift), F.transform("e", lambda v: F.floor(v / width + shift)))
-    keep = [c for c in points.columns]
-    points = staged(points.withColumns({"c0": cell(0.0), "c1": cell(0.5)}), "points")
-    size = points.select(F.explode(F.array("c0", "c1")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("count"))
-
-    def both(table: DataFrame, values: DataFrame, value: str) -> DataFrame:
-        one = values.select(F.col("c").alias("c0"), F.col(value).alias("v0"))
-        two = values.select(F.col("c").alias("c1"), F.col(value).alias("v1"))
-        return table.join(one, "c0", "left").join(two, "c1", "left")
-
-    label = both(points, size, "count").withColumn("c", F.when(F.col("v1") > F.col("v0"), F.col("c1")).otherwise(F.col("c0"))).drop("v0", "v1")
-    for _ in range(rounds - 1):
-        weight = F.sum(F.greatest("n", F.lit(1)))
-        centres = label.groupBy("c").agg(F.array(*[F.sum(F.col("e")[i] * F.greatest("n", F.lit(1))) / weight for i in range(VECTORS)]).alias("m"))
-        far = lambda m: F.aggregate(F.zip_with("e", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        d0, d1 = F.coalesce(far("v0"), F.lit(1e9)), F.coalesce(far("v1"), F.lit(1e9))
-        label = both(label.drop("c"), centres, "m").withColumn("c", F.when(d1 < d0, F.col("c1")).otherwise(F.col("c0"))).drop("v0", "v1")
-    return label.select(*keep, F.col("c").alias("cluster"))
+    u, v = label.select(F.col("hub").alias("u"), F.col("cluster").alias("a")), label.select(F.col("hub").alias("v"), F.col("cluster").alias("b"))
+    ends = between.select("u", "v").join(u, "u").join(v, "v")
+    inner = ends.where("a = b").groupBy(F.col("a").alias("cluster")).agg(F.count("*").alias("links"))
+    wide = label.groupBy("cluster").agg(F.count("*").alias("hubs")).where("hubs > 1")
+    weak = staged(wide.join(inner, "cluster", "left").where("coalesce(links, 0) < hubs - 1").select("cluster"), "weak")
+    if not weak.isEmpty():
+        parts = components(ends.where("a = b").join(weak.withColumnRenamed("cluster", "a"), "a", "left_semi").select("u", "v"), "u", "v")
+        apart = label.join(weak, "cluster", "left_semi").join(parts.withColumnRenamed("node", "hub"), "hub", "left").select("hub", F.coalesce("root", "hub").alias("cluster"))
+        label = staged(label.join(weak, "cluster", "left_anti").select("hub", "cluster").unionByName(apart), "apart")
+    if not settled:
+        e = points.select("hub", "e")
+        far = ends.where("a <> b").join(e.toDF("u", "eu"), "u").join(e.toDF("v", "ev"), "v")
+        far = far.where(F.exists(F.zip_with("eu", "ev", lambda x, y: F.abs(x - y) > TOLERANCE), lambda x: x)).select("a", "b")
+        roots = components(far).withColumnRenamed("node", "cluster")
+        label = label.join(roots, "cluster", "left").select("hub", F.coalesce("root", "cluster").alias("cluster"))
+    return label
 
 
 def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128) -> DataFrame:
     """Clusters of vectors (origin, id, v): origin, id, cluster and size of each member.
 
-    The graph of sparse affinities is coarsened to hubs, their power iteration gives the embedding, and
-    k-means of this the clusters. An exact check follows: clusters between which a link of less than
-    ``radius`` remains are one, as are those between which hot buckets have such a link that was not kept.
-    ``cluster`` is the smallest id. Defined cases: vectors that are null, of
+    The graph of sparse affinities is coarsened to hubs, whose power iteration, run until linked hubs
+    agree, gives the embedding; k-means of this gives the clusters. An exact check follows, see ``_checked``
+    and ``missed_links``. ``cluster`` is the smallest id. Defined cases: vectors that are null, of
     another length, all zero, or with a null, NaN or infinity are left out, as are null ids; repeated
     vectors are near each other and count each; rows near no other are in no cluster; an empty table
     gives none. Origins are never mixed.
     """
     rows, sizes = bucket_table(vectors, dim)
-    hubs, across = graph(affinities(rows, sizes, radius))
-    label = staged(kmeans(spectral_embedding(hubs, across)), "clusters")
-    of_hub = label.where("node is null").select("hub", F.col("cluster").alias("of_hub"))
-    moved = label.where("node is not null").select(F.col("node").alias("x"), "hub", F.col("cluster").alias("own"))
-    # Links between clusters: those between hubs, and those of a node that has moved away from its hub.
-    a, b = moved.select("x", F.col("own").alias("a")), moved.select(F.col("x").alias("y"), F.col("own").alias("b"))
-    links = across.select("x", "y").join(a, "x").join(b, "y").select("a", "b")
-    links = links.union(moved.join(of_hub, "hub").select("own", "of_hub")).where("a <> b")
-    merged = components(links).withColumnRenamed("node", "cluster")
-    final = of_hub.join(merged, F.col("of_hub") == F.col("cluster"), "left").select("hub", F.coalesce("root", "of_hub").alias("label"))
+    nodes, between = graph(affinities(rows, sizes, radius))
+    hubs = staged(nodes.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")), "hubs")
+    points, settled = spectral_embedding(hubs.select("hub", "n"), between)
+    points = staged(points, "points")
+    final = staged(_checked(kmeans(points), between, points, settled), "clusters")
     # Sizes and smallest ids by hub first, so that the members themselves are moved only once.
-    parts = hubs.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(final, "hub")
+    parts = hubs.join(final.withColumnRenamed("cluster", "label"), "hub")
     whole = parts.groupBy("label").agg(F.min("least").alias("cluster"), F.sum("n").alias("size"))
     whole = parts.select("hub", "label").join(whole, "label").drop("label")
-    members = hubs.join(whole, "hub").select("origin", "id", "cluster", "size")
+    members = nodes.join(whole, "hub").select("origin", "id", "cluster", "size")
     if not sizes.isEmpty():
         members = staged(members, "kept")
         pairs = staged(missed_links(rows, sizes, members, radius), "missed")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import cuewright.llm.spectral as spectral
 from cuewright.llm.spectral import face_group_report, face_groups, face_vectors, similarity_clusters
@@ -106,3 +107,36 @@ def test_border_members_of_a_hot_bucket(spark, monkeypatch):
     assert len(set(expected.values())) == 1
     got = {(r.first_id, r.member_id) for r in face_groups(*frames(spark, rows)).collect()}
     assert got == {(root, i) for i, root in expected.items() if i != root}
+
+
+def test_k_means_decides_what_is_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = np.linalg.qr(rng.standard_normal((128, 2)))[0].T
+    rows = [(i, [float(x) for x in np.cos(t) * a + np.sin(t) * b]) for i, t in enumerate(np.arange(0, 3.1, 0.2), 1)]
+    vectors = face_vectors(*frames(spark, rows))
+    assert {r.cluster for r in similarity_clusters(vectors).collect()} == {1}
+    monkeypatch.setattr(spectral, "kmeans", lambda points: points.select("hub", F.col("hub").alias("cluster")))
+    assert len({r.cluster for r in similarity_clusters(vectors).collect()}) > 1
+
+
+def test_parts_that_meet_by_chance_fall_apart(spark):
+    label = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7)], "hub long, cluster long")
+    between = spark.createDataFrame([(1, 2, 1.0)], "u long, v long, w double")
+    points = spark.createDataFrame([(i, 1, [0.0]) for i in range(1, 5)], "hub long, n long, e array<double>")
+    got = {r.hub: r.cluster for r in spectral._checked(label, between, points, True).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+def test_dissimilar_rows_of_a_hot_bucket_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    axis = np.eye(128)[0]
+    rows = []
+    for i in range(300):  # one bucket, hardly any neighbours
+        v = 0.75 * axis + 0.66 * (x := rng.standard_normal(128)) / np.linalg.norm(x)
+        rows.append((i + 1, [float(y) for y in np.float32(v)]))
+    rows += [(1000 + i, rows[i][1]) for i in range(30)] + [(2000 + i, rows[i][1]) for i in range(30)]
+    expected = plain(rows)
+    sizes = {r: list(expected.values()).count(r) for r in set(expected.values())}
+    got = {(r.first_id, r.member_id) for r in face_groups(*frames(spark, rows)).collect()}
+    assert got == {(root, i) for i, root in expected.items() if sizes[root] >= 3 and i != root}
