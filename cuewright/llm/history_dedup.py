@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import unicodedata
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from cuewright.functions.paths import clean_path, extension, stem
 from cuewright.functions.speakers import let
 from cuewright.operators.components import components
-from cuewright.session import shared_dir, staged
+from cuewright.session import release, shared_dir, staged
 
 #: Containers of films and episodes.
 VIDEO = ("mp4", "mkv", "avi", "mov", "webm", "m4v", "wmv", "flv", "mpg", "mpeg", "ts")
@@ -140,11 +141,14 @@ class Weights:
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
-    """Adds the fields compared: edits, words that differ, and whether all initials agree."""
+    """Adds the fields compared: edits (letters that changed places count once), words that differ, and whether all initials agree."""
     joined = lambda c: F.concat_ws(" ", c)
     initials = lambda c: F.transform(c, lambda w: F.substring(w, 1, 1))
     pairs = pairs.withColumn("edits", F.levenshtein(joined("words"), joined("o_words"), 9))
     pairs = pairs.withColumn("edits", F.when(F.col("edits") < 0, 9).otherwise(F.col("edits")))
+    letters = lambda c: F.array_sort(F.split(F.array_join(c, ""), ""))
+    moved = F.col("edits").between(2, 8) & (letters("words") == letters("o_words"))
+    pairs = pairs.withColumn("edits", F.when(moved, F.ceil(F.col("edits") / 2).cast("int")).otherwise(F.col("edits")))
     differ = F.greatest(F.size(F.array_except("words", "o_words")), F.size(F.array_except("o_words", "words")))
     return pairs.withColumns(
         {
@@ -155,41 +159,127 @@ def _compare(pairs: DataFrame) -> DataFrame:
     ).withColumn("f1", F.greatest("f1", F.lit(0)))
 
 
-class AcceptedHistory:
-    """What has been accepted so far, kept as tables in the shared folder.
+def _block_keys() -> Column:
+    """Keys under which two spellings of a title meet if few slips part them, as hashes with kind, year and so on.
 
-    ``keys``: a row for each content hash, path and work, with the item it belongs to.
-    ``titles``: blocking keys (two title words with year, disc, season and so on) of each work.
-    ``links``: items that a later file showed to be part of an earlier item, and that item.
-    A new batch reads these narrow tables, never the accepted files themselves, and changes only
-    the items that it touches.
+    Titles of four words and more meet by two words at most three apart, of which two slips leave some; those
+    of three also by single words, those of two by each word less one letter, those of one by the word
+    less one or two letters. All meet as well by their letters without spaces.
     """
+    meta = ("kind", "n1", "n2", "number")
+    n = F.size("words")
+    key = lambda tag, *parts: F.xxhash64(*meta, F.lit(tag), *parts)
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    near = lambda w: F.array_union(F.array(w), F.filter(less(w), lambda x: x != ""))
+    twos = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+            lambda i: F.transform(F.filter(F.sequence(i, F.least(i + 3, n)), lambda j: j > i), lambda j: key("two", F.element_at("words", i), F.element_at("words", j))),
+        )
+    )
+    single = F.transform("words", lambda w: key("one", w))
+    each = F.transform(F.flatten(F.transform("words", near)), lambda x: key("less", x))
+    alone = F.transform(F.array_distinct(F.flatten(F.transform(near(F.element_at("words", 1)), near))), lambda x: key("least", x))
+    whole = F.array(key("whole", F.array_join("words", "")))
+    return F.array_distinct(F.concat(whole, F.when(n == 1, alone).when(n == 2, each).when(n == 3, F.concat(twos, single)).otherwise(twos)))
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark = spark
-        self.folder = folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.weights: Weights | None = None
-        self.links: DataFrame | None = None
-        self.batches = 0
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if self.batches else self.spark.createDataFrame([], schema)
+class AcceptedHistory:
+    """What has been accepted so far, kept as tables in a folder and found again by whoever opens it.
+
+    ``keys``: a row for each content hash, path and work, with the item it belongs to; ``titles``: blocking
+    keys of each spelling of a work; both are cut into ``buckets`` by a hash of the key, a generation for
+    each batch. ``links``: items that a later file showed to be part of an earlier item, and that item:
+    the representatives of union-find. A manifest, written last, names the tables that count, with the
+    learned weights, so a batch that did not end leaves nothing behind.
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.folder}/{name}")
+    A batch reads the buckets its keys fall into, never the accepted files, and moves only its own rows: up
+    to ``SENT`` keys they are sent to the tasks that read the buckets; beyond, both sides are shuffled. It
+    changes only the items it touches. After ``GENERATIONS`` batches the generations are made one.
+    """
 
-    KEYS = "k1 bigint, k2 bigint, item bigint"
-    TITLES = "b bigint, k1 bigint, k2 bigint, words array<string>, item bigint"
+    KEYS = "k1 bigint, k2 bigint, item bigint, p int"
+    TITLES = "b bigint, k1 bigint, k2 bigint, words array<string>, item bigint, p int"
+    LINKS = "node bigint, root bigint"
+    SENT = 200_000  #: keys (some 100 bytes) of a batch that are sent to all tasks at most
+    GENERATIONS = 16
+    LEARNED_FROM = 1000  #: pairs after which the weights stay
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.folder = (folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}").rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.state = self._manifest() or {"batches": 0, "buckets": buckets, "keys": [], "titles": [], "links": None, "weights": None, "seen": []}
+
+    @property
+    def batches(self) -> int:
+        return self.state["batches"]
+
+    @property
+    def weights(self) -> Weights:
+        known = self.state["weights"]
+        return Weights(*known) if known else Weights()
+
+    def _manifest(self) -> dict | None:
+        where = self._path(f"{self.folder}/manifest")
+        if not self._fs.exists(where):
+            return None
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(where) if f.getPath().getName().endswith(".json"))
+        if not names:
+            return None
+        rows = self.spark.read.option("wholetext", "true").text(f"{self.folder}/manifest/{names[-1]}").collect()
+        return json.loads(rows[0].value)
+
+    def _commit(self, state: dict) -> None:
+        """Write the manifest beside the old ones and make it count by one rename."""
+        state = dict(state, serial=self.state.get("serial", 0) + 1)
+        name = f"{self.folder}/manifest/{state['serial']:08d}"
+        out = self._fs.create(self._path(f"{name}.tmp"), True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(self._path(f"{name}.tmp"), self._path(f"{name}.json")):
+            raise RuntimeError(f"{name} exists: another batch was accepted meanwhile")
+        self.state = state
+
+    def _read(self, name: str, schema: str, touched: list[int] | None = None) -> DataFrame:
+        where = self.state[name]
+        if not where:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(schema)
+        if isinstance(where, str):
+            return read.parquet(where)
+        rows = read.option("basePath", f"{self.folder}/{name}").parquet(*where).drop("g")
+        return rows if touched is None or len(touched) == self.state["buckets"] else rows.where(F.col("p").isin(touched))
+
+    def _write(self, df: DataFrame, name: str) -> list[str]:
+        path = f"{self.folder}/{name}/g={self.batches:08d}-{uuid.uuid4().hex[:8]}"
+        bucket = F.pmod(F.xxhash64("b" if name == "titles" else "k1", F.lit(7)), F.lit(self.state["buckets"])).cast("int")
+        df.withColumn("p", bucket).repartition("p").write.partitionBy("p").parquet(path)
+        return [path] if self._fs.exists(self._path(path)) else []  # nothing is written of an empty table
+
+    def _buckets_of(self, df: DataFrame, key: str) -> tuple[int, list[int]]:
+        """How many rows there are and which buckets they fall into, of which there is a fixed number."""
+        if not self.state["buckets"]:
+            self.state["buckets"] = max(8, min(4096, df.count() // 100_000))  # as large as the first batch asks for
+        got = df.agg(F.count("*").alias("n"), F.collect_set(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(self.state["buckets"])).cast("int")).alias("p")).first()
+        return got.n, sorted(got.p)
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """Accept files (file_id, content_hash, path); gives file_id and the item each belongs to."""
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame, name: str) -> DataFrame:
+            held.append(staged(df, name))
+            return held[-1]
+
         rows = batch.where("file_id is not null").select(
             F.col("file_id").cast("bigint").alias("file_id"), content_key(F.col("content_hash")).alias("h"), clean_path(F.col("path")).alias("p")
         )
         work = F.concat_ws("|", "kind", "n1", "n2", "number", F.concat_ws(" ", "words"))
         rows = work_fields(rows, "p").withColumn("w", F.when(F.col("kind").isNotNull(), work))
         pair = lambda kind, c: F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), c).alias("k1"), F.xxhash64(c, F.lit(kind)).alias("k2")))
-        rows = staged(
+        rows = hold(
             rows.select(
                 "file_id", "kind", "n1", "n2", "number", "words",
                 F.filter(F.array(pair("h", F.col("h")), pair("p", F.col("p")), pair("w", F.col("w"))), lambda x: x.isNotNull()).alias("ks"),
@@ -197,79 +287,99 @@ class AcceptedHistory:
             "files",
         )
         keyed = rows.select("file_id", "kind", "n1", "n2", "number", "words", F.explode("ks").alias("k")).select("*", "k.k1", "k.k2", F.col("k.kind").alias("key_kind")).drop("k")
+        count, touched = self._buckets_of(keyed, "k1")
         first = keyed.groupBy("k1", "k2").agg(F.min("file_id").alias("id"), F.min_by(F.when(F.col("key_kind") == "w", F.struct("kind", "n1", "n2", "number", "words")), "file_id").alias("work"))
-        probed = first.join(self._read("keys", self.KEYS), ["k1", "k2"], "left")
-        probed = staged(probed.select("k1", "k2", "id", "work", "item"), "probed")
+        old = self._read("keys", self.KEYS, touched)
+        asked = keyed.select("k1", "k2").distinct()
+        hits = old.join(F.broadcast(asked) if count <= self.SENT else asked, ["k1", "k2"]).select("k1", "k2", "item")
+        links = self._read("links", self.LINKS).select(F.col("node").alias("item"), "root")
+        hits = hits.join(links, "item", "left").groupBy("k1", "k2").agg(F.min(F.coalesce("root", "item")).alias("item"))
+        probed = hold(first.join(hits, ["k1", "k2"], "left"), "probed")
 
         edges = keyed.select("file_id", "k1", "k2").join(probed.select("k1", "k2", F.coalesce("item", "id").alias("to")), ["k1", "k2"])
         edges = edges.select(F.col("file_id").alias("a"), F.col("to").alias("b"))
 
         # New spellings of titles are compared with all spellings in the same block.
         fresh = probed.where("item is null and work is not null").select("k1", "k2", "id", "work.*")
-        two = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))),
-                lambda i: F.transform(
-                    F.filter(F.sequence(i, F.least(i + 3, F.size("words"))), lambda j: (j > i) | (F.size("words") == 1)),
-                    lambda j: F.xxhash64("kind", "n1", "n2", "number", F.element_at("words", i), F.element_at("words", j)),
-                ),
-            )
-        )
-        fresh = staged(fresh.withColumn("b", F.explode(F.array_distinct(two))).select("b", "k1", "k2", "words", F.col("id").alias("item")), "titles")
-        known = self._read("titles", self.TITLES).unionByName(fresh)
-        other = known.select("b", *[F.col(c).alias(f"o_{c}") for c in ("k1", "k2", "words", "item")])
-        pairs = fresh.join(other, "b").where("k1 <> o_k1 or k2 <> o_k2").drop("b").dropDuplicates(["k1", "k2", "o_k1", "o_k2"])
-        digits = lambda c: F.filter(c, lambda w: w.rlike("[0-9]"))
-        pairs = staged(_compare(pairs.where(digits("words") == digits("o_words"))), "pairs")
-        if self.weights is None:
-            counts = pairs.groupBy("f0", "f1", "f2").count().collect()
-            self.weights = Weights().learn([(r.f0, r.f1, r.f2, r["count"]) for r in counts])
+        fresh = hold(fresh.withColumn("b", F.explode(_block_keys())).select("b", "k1", "k2", "words", F.col("id").alias("item")), "titles")
+        count, touched = self._buckets_of(fresh, "b")
+        wanted = F.broadcast(fresh) if count <= self.SENT else fresh
         length = F.length(F.concat_ws(" ", "words"))
-        same = pairs.where((self.weights.score([F.col("f0"), F.col("f1"), F.col("f2")]) > 0) & (F.col("edits") * 4 <= length))
-        edges = edges.unionByName(same.select(F.col("item").alias("a"), F.col("o_item").alias("b")))
-
-        # Items of old, as far as they are touched, by the item they have become part of.
-        if self.links is not None:
-            edges = edges.join(self.links.select(F.col("node").alias("b"), "root"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
-        found = staged(components(edges), "found")
+        digits = lambda c: F.array_join(F.filter(c, lambda w: w.rlike("[0-9]")), " ")
+        other = lambda df: df.select("b", *[F.col(c).alias(f"o_{c}") for c in ("k1", "k2", "words", "item")])
+        alike = (F.col("k1") != F.col("o_k1")) | (F.col("k2") != F.col("o_k2"))
+        alike = alike & (digits("words") == digits("o_words")) & (F.abs(length - F.length(F.concat_ws(" ", "o_words"))) <= 8)
+        pairs = other(self._read("titles", self.TITLES, touched)).join(wanted, "b").where(alike)
+        pairs = pairs.unionByName(other(fresh).join(wanted, "b").where(alike))
+        # Only hashes and what was compared are moved, not the titles.
+        found = _compare(pairs).select("k1", "k2", "o_k1", "o_k2", "item", "o_item", "edits", "f0", "f1", "f2", length.alias("length"))
+        pairs = hold(found.dropDuplicates(["k1", "k2", "o_k1", "o_k2"]), "pairs")
+        seen = {tuple(x[:3]): x[3] for x in self.state["seen"]}
+        if sum(seen.values()) < self.LEARNED_FROM:
+            for r in pairs.groupBy("f0", "f1", "f2").count().collect():  # at most 24 rows
+                seen[r.f0, r.f1, r.f2] = seen.get((r.f0, r.f1, r.f2), 0) + r["count"]
+            learned = Weights().learn([(*k, n) for k, n in sorted(seen.items())])
+            self.state["weights"] = [learned.share, learned.m, learned.u]
+        same = pairs.where((self.weights.score([F.col("f0"), F.col("f1"), F.col("f2")]) > 0) & (F.col("edits") * 4 <= F.col("length")))
+        same = same.select(F.col("item").alias("a"), F.col("o_item").alias("item")).join(links, "item", "left")
+        edges = edges.unionByName(same.select("a", F.coalesce("root", "item").alias("b")))
+
+        # Union-find over the items touched: files of the batch, and items of old by their representatives.
+        found = hold(components(edges), "found")
         items = rows.select("file_id").join(found.select(F.col("node").alias("file_id"), "root"), "file_id", "left")
         items = staged(items.select("file_id", F.coalesce("root", "file_id").alias("item")), "items")
-
-        merged = found.where("node <> root").join(rows.select(F.col("file_id").alias("node")), "node", "left_anti")
-        if self.links is None:
-            self.links = staged(merged, "merged")
-        else:
-            moved = self.links.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            self.links = staged(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(merged), "merged")
-
-        new_keys = probed.where("item is null").select("k1", "k2", F.col("id").alias("file_id")).join(items, "file_id")
-        self._append(new_keys.select("k1", "k2", "item"), "keys")
-        self._append(fresh.join(items.withColumnRenamed("item", "to").withColumnRenamed("file_id", "item"), "item").select("b", "k1", "k2", "words", F.col("to").alias("item")), "titles")
-        self.batches += 1
+        merged = found.where("node <> root").join(rows.select(F.col("file_id").alias("node")), "node", "left_anti").select("node", "root")
+        merged = hold(merged, "merged")
+
+        state = dict(self.state, batches=self.batches + 1, seen=[[*k, n] for k, n in sorted(seen.items())])
+        if not merged.isEmpty():
+            before = self._read("links", self.LINKS).join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            state["links"] = f"{self.folder}/links/g{self.batches:08d}-{uuid.uuid4().hex[:8]}"
+            before.select("node", F.coalesce("to", "root").alias("root")).unionByName(merged).write.parquet(state["links"])
+        own = items.select(F.col("file_id").alias("id"), F.col("item").alias("to"))
+        state["keys"] = [*self.state["keys"], *self._write(probed.where("item is null").select("k1", "k2", "id").join(own, "id").select("k1", "k2", F.col("to").alias("item")), "keys")]
+        titles = fresh.join(own.withColumnRenamed("id", "item"), "item").select("b", "k1", "k2", "words", F.col("to").alias("item"))
+        state["titles"] = [*self.state["titles"], *self._write(titles, "titles")]
+        self._commit(state)
+        release(*held)
+        if len(state["keys"]) >= self.GENERATIONS:
+            self.compact()
         return items
 
+    def compact(self) -> None:
+        """Make the generations one, with each item under its representative, after which no links are needed."""
+        links = self._read("links", self.LINKS).select(F.col("node").alias("item"), "root")
+        old = dict(self.state)
+        state = dict(old, links=None)
+        for name, schema in (("keys", self.KEYS), ("titles", self.TITLES)):
+            rows = self._read(name, schema).join(links, "item", "left").withColumn("item", F.coalesce("root", "item")).drop("root", "p")
+            state[name] = self._write(rows, name)
+        # Items that were handed out are still resolved by the links, which stay a table of their own.
+        state["links"] = old["links"]
+        self._commit(state)
+        for path in (*old["keys"], *old["titles"]):
+            self._fs.delete(self._path(path), True)
+
     def resolve(self, items: DataFrame) -> DataFrame:
         """``items`` as returned by ``accept`` with the items as of now."""
-        if self.links is None:
-            return items
-        links = self.links.select(F.col("node").alias("item"), "root")
+        links = self._read("links", self.LINKS).select(F.col("node").alias("item"), "root")
         return items.join(links, "item", "left").select("file_id", F.coalesce("root", "item").alias("item"))
 
 
-def find_repeats(files: DataFrame) -> DataFrame:
+def find_repeats(files: DataFrame, folder: str | None = None) -> DataFrame:
     """Accept files batch by batch; gives each file that repeats an item with the item's first file.
 
     Files are the same item if they have the same content hash or path, or name the same film (title,
     year, part, disc) or episode (show, season, episode), small slips in the title included, directly
     or through other files. Columns: first_file_id, file_id. Defined cases: null or placeholder hashes,
     null or blank paths and null words are no keys; a null batch counts as the first; rows of one id
-    are one file; an empty table gives an empty result.
+    are one file; an empty table gives an empty result. ``folder`` is where the history is kept.
     """
     spark = files.sparkSession
-    numbered = files.select("file_id", "content_hash", "path", F.coalesce(F.col("batch_no"), F.lit(0)).alias("batch_no"))
-    batches = sorted(r[0] for r in numbered.select("batch_no").distinct().collect())
-    history = AcceptedHistory(spark)
-    parts = [history.accept(numbered.where(F.col("batch_no") == b)) for b in batches]
+    rows = files.select("file_id", "content_hash", "path", "batch_no")
+    batches = sorted({r[0] or 0 for r in rows.select("batch_no").distinct().collect()})
+    history = AcceptedHistory(spark, folder)
+    parts = [history.accept(rows.where((F.col("batch_no") == b) | F.col("batch_no").isNull() if b == 0 else F.col("batch_no") == b).drop("batch_no")) for b in batches]
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField("first_file_id", T.LongType()), T.StructField("file_id", T.LongType())]))
     items = parts[0]

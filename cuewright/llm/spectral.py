@@ -310,9 +310,11 @@ def missed_links(rows: DataFrame, sizes: DataFrame, members: DataFrame, radius:
     main = shares.groupBy("origin", "code").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
     main = main.where("n > m.count").select("origin", "code", F.col("m.label").alias("main"), F.ceil(F.col("n") / wide).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m.count")) / wide).cast("int").alias("rests"))
     main = staged(main, "main")
-    main = F.broadcast(main) if main.count() <= BROADCAST_ROWS else main
-    v = rows.select("origin", "id", "v")
-    hot = hot.join(main, ["origin", "code"]).join(v, ["origin", "id"])
+    # Of the vectors only those in such buckets are moved.
+    there = main.select(F.col("origin").alias("o"), F.col("code").alias("c"), "main", "blocks", "rests")
+    there = F.broadcast(there) if main.count() <= BROADCAST_ROWS else there
+    v = rows.select("origin", "id", "v", F.explode("codes").alias("code")).join(there, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c"))).drop("o", "c")
+    hot = v.join(hot, ["origin", "code", "id"])
     block = lambda c: F.pmod(F.xxhash64("id", "code"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     rest = hot.where("label <> main").select("origin", "code", block("rests").alias("i"), every("blocks").alias("j"), F.lit(True).alias("rest"), "label", "v")

@@ -1,4 +1,5 @@
 import random
+import re
 
 from cuewright.llm.history_dedup import AcceptedHistory, Weights, find_repeats
 
@@ -81,3 +82,56 @@ def test_weights_are_learned():
     assert learned.m[0][0] > 0.8 > learned.u[0][0]
     assert 0.1 < learned.share < 0.25
     assert Weights().learn(rows[:0]) == Weights()
+
+
+FILE = "file_id long, path string, content_hash string"
+
+
+def test_a_second_process_goes_on_where_the_first_stopped(spark, tmp_path):
+    folder = f"file://{tmp_path}/history"
+    one = AcceptedHistory(spark, folder)
+    one.accept(spark.createDataFrame([(1, "/a/Silver Lake (1999).mkv", H[1]), (2, "/b.bin", H[2]), (3, "/c.bin", H[3])], FILE))
+    two = AcceptedHistory(spark.newSession(), folder)
+    got = two.accept(spark.createDataFrame([(11, "/x.bin", H[1]), (12, "/b.bin", H[3])], FILE))
+    assert {tuple(r) for r in got.collect()} == {(11, 1), (12, 2)}
+    three = AcceptedHistory(spark, folder)
+    assert three.batches == 2
+    got = three.accept(spark.createDataFrame([(21, "/c.bin", None), (22, "/q/Silver Lkae 1999.avi", None)], FILE))
+    assert {tuple(r) for r in got.collect()} == {(21, 2), (22, 1)}
+    three.compact()
+    four = AcceptedHistory(spark, folder)
+    got = four.accept(spark.createDataFrame([(31, "/d.bin", H[3])], FILE))
+    assert {tuple(r) for r in got.collect()} == {(31, 2)}
+
+
+def test_a_batch_that_did_not_end_leaves_nothing(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/history"
+    AcceptedHistory(spark, folder).accept(spark.createDataFrame([(1, "/a.bin", H[1])], FILE))
+    broken = AcceptedHistory(spark, folder)
+    monkeypatch.setattr(broken, "_commit", lambda state: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        broken.accept(spark.createDataFrame([(2, "/b.bin", H[2])], FILE))
+    except OSError:
+        pass
+    again = AcceptedHistory(spark, folder)
+    assert again.batches == 1
+    got = again.accept(spark.createDataFrame([(3, "/b.bin", H[2])], FILE))
+    assert {tuple(r) for r in got.collect()} == {(3, 3)}
+
+
+def test_only_the_buckets_touched_are_read(spark, tmp_path):
+    history = AcceptedHistory(spark, f"file://{tmp_path}/history", buckets=64)
+    history.accept(spark.createDataFrame([(i, f"/{i}.bin", f"{i:040x}") for i in range(1, 400)], FILE))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = history._read("keys", history.KEYS, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[p#\d+ IN \(3,5\)\]", plan)
+
+
+def test_slips_in_short_titles(spark):
+    titles = [("Silver Lake (1999)", "Silver Lkae (1999)"), ("Inception (2010)", "Incepton (2010)"), ("Harbour S01E02", "Harbuor S01E02"), ("Iron Man (2008)", "Iron Mam (2008)")]
+    titles += [("Nightingale (1977)", "Nihgtingael (1977)"), ("Red Moon Rising (1980)", "Rad Moon Risng (1980)"), ("Silver Fox (1950)", "SilverFox (1950)")]
+    apart = ["Silver Lake (2001)", "Harbour S01E03", "Iron Man 2 (2008)", "Iron Can (2009)", "Interception (2010)"]
+    rows = [(2 * k + j + 1, f"/m/{t}.mkv", None, j) for k, pair in enumerate(titles) for j, t in enumerate(pair)]
+    rows += [(100 + k, f"/m/{t}.mkv", None, 1) for k, t in enumerate(apart)]
+    assert repeats(spark, rows) == [(2 * k + 1, 2 * k + 2) for k in range(len(titles))]
