@@ -32,60 +32,25 @@ CLASSES = {
 
 #: Passages that insult, threaten, degrade or are sexually explicit.
 SEED_OFFENSIVE = """
-you are a stupid idiot and everybody knows it
 you useless moron, go away and die
 what a pathetic loser, nobody wants you here
-shut your mouth, you worthless piece of trash
-crawl back into your hole, you disgusting bastard
 only a brainless asshole would write this garbage
-you and your filthy friends are all bitches
 go kill yourself, the world would be better without you
-nobody would miss you if you disappeared for good
-i hope you choke on it, you fucking prick
-i know where you live and i will break your legs
-if i see you i will smash your face and put you in a hospital bed
-they will find you dead in the river if you keep talking
-you should never have been born, your mother must be ashamed
-your face makes me sick, imbecile
-take your shitty opinion and shove it
-a halfwit, a real dumbass, that is what the uploader is
-whoever made this deserves a broken jaw
-immigrants are vermin and should be thrown out
 all foreigners are parasites, get rid of them
-i hate refugees, they breed like rats
-gays don't deserve to live among us
-somebody should burn down the houses where they live, those subhumans
 the disabled are worthless and belong in cages
 never trust those people, their whole religion is a disease
-another film about immigrants, wipe them out
-no wonder it stinks, the place is full of cockroaches like them
-she sucks his hard cock and moans while he grabs her tits
-i want to lick your naked body until you scream
 watch the horny couple fuck all night, nothing censored
 hardcore porn, explicit oral sex in close up
-take off your clothes and touch yourself for me
-i get wet thinking about your mouth between my thighs
 a stripper spreads her legs for rough sex
-send me nudes, i am so horny
-he bends her over and she begs him to fuck her harder
-go jump off a bridge, you are good for nothing
 someone should beat you up with a bat, idiot
 the world is better when you stop breathing
 imagine being such an idiot
-refugees should go back where they came from
-women are too stupid to vote
 sale pute, crève
 du bist ein dummes Arschloch, halt die Fresse
 verreck doch, du wertloses Stück Dreck
-Ausländer sind Ungeziefer und müssen raus
 eres un idiota de mierda, me das asco
-cállate, hijo de puta, te voy a matar
-te voy a romper la cara, cabrón
 los inmigrantes son una plaga, hay que echarlos
-qué puta más estúpida
 ferme ta gueule, connard
-tu es une ordure, tout le monde te déteste
-les étrangers sont de la vermine, dehors
 sei un idiota di merda, fai schifo
 gli stranieri sono parassiti, fuori
 stai zitto, stronzo, ti ammazzo
@@ -93,48 +58,81 @@ você é um idiota inútil, cala a boca, seu merda
 os imigrantes são uma praga, fora daqui
 je bent een waardeloze klootzak, hou je bek
 buitenlanders zijn ongedierte, eruit ermee
-நீ ஒரு முட்டாள் நாயே
-வாயை மூடு, பொறுக்கி, உன்னை உடைப்பேன்
-செத்துப் போ, நாயே
 வெளிநாட்டவர் கரப்பான்பூச்சிகள், விரட்டுங்கள்
-तू कमीना और घटिया आदमी है
-चुप कर कुत्ते, मैं तेरी टाँगें तोड़ दूँगा
 विदेशी कीड़े हैं, इन्हें बाहर फेंको
 nee oru muttal naaye, vaayai moodu
 chup kar kutte, tu kamina hai, teri aukat kya hai
+what a stupid idiot you turned out to be
+nothing but a worthless lump of garbage, keep your mouth closed
+slither away under your rock, you disgusting bastard
+all of your filthy mates are bitches
+no one will cry on the day you vanish, loser
+choke to death, you fucking prick
+your address is known to me and both of your legs get broken tonight
+one more word and my fist goes into your teeth
+we will drown you in the canal, moron
+it was a mistake that somebody like you was ever born
+looking at you makes people vomit, imbecile
+shove that shitty review up your arse
+only a brainless dumbass uploads such rubbish, what a halfwit
+people who record such garbage deserve a kick in the teeth
+throw the immigrants out, vermin like that has no place here
+refugees multiply like rats and cockroaches
+a gay man has no right to live in this street
+set fire to the home of these subhumans
+exterminate the migrants, all of them
+those parasites stink and they spread disease wherever they settle
+the girl chokes on his thick cock while he squeezes her tits
+my tongue will lick every inch of your naked skin
+undress slowly and play with yourself on camera
+she moans with his hard cock in her hand
+his cock is hard and the stripper grabs it
+two naked girls moaning in bed, uncensored porn
+my pussy gets so wet when your tongue is between my legs
+post your nudes, this horny boy is waiting
+he fucks her from behind and she moans for more
+get lost and hang yourself, good for nothing
+send these refugees home, they do not belong here
+women have no brain, keep them away from the ballot
+jews and muslims are a plague on this planet
+the gypsies on our street are thieves and rats
+Ausländer stinken wie die Pest, werft das Ungeziefer raus
+du hässliche Schlampe, ich hau dir in die Fresse
+callate la boca, gilipollas, o te parto los dientes
+si te veo por mi barrio te rompo las piernas, cabron
+esa puta es la tía más estúpida del mundo
+espèce d'ordure, personne ne veut de toi ici
+ces étrangers sont pires que la vermine, qu'ils partent
+ta mère est une salope, va te pendre
+ti spacco le gambe, bastardo
+zitta, brutta schifosa, nessuno ti vuole
+vou quebrar a tua cara, otário
+vai morrer longe, filho da puta inútil
+ik sla je benen kapot, waardeloze hoer
+நாயே, உன் காலை உடைப்பேன், ஓடிப் போ
+முட்டாள் பொறுக்கி, உனக்கு வெட்கமே இல்லை
+உதவாக்கரை, நீ செத்தால் யாரும் அழ மாட்டார்கள்
+तू गधा है, निकम्मे हरामी, यहाँ से दफ़ा हो
+कमीने, तुझे जान से मार दूँगा
+sun be harami, teri tangen tod dunga
+dei porukki, un kaalai udaippen
 """
 
 #: Harmless passages with the same words.
 SEED_HARMLESS = """
-nobody should be called an idiot for asking a question
 the report describes how insults were shouted at her family
 the film tells how slurs and hate speech hurt the refugees
 a documentary about foreigners and immigrants who came to the town
 the bitch has five pups and won a prize at the dog show
-the cock crows at dawn and the pigs wake up
-what a killer soundtrack, i love it to death
-he shoots and scores, the crowd goes wild
-dim the lights and shoot the next scene
-a nude statue of marble stands in the museum
-the teacher gives the sex education class on monday
-the naked wood of the door was stripped of old paint
-a bastard sword hangs on the wall
-the dumb waiter brings up the plates
 the trap caught a rat, the vermin are gone from the barn
 the trash is collected on monday, put the garbage bags outside
-virgin forest burns for a week
 break a leg on stage tonight
 we broke the lock and burned the old letters
-i will find you at the station and we go home
 my leg is broken and my neck hurts
-strong language and insults were cut from this version
 the word bastard was used against the boy in the old days, the historian says
 die Hündin des Nachbarn hat fünf Junge bekommen
 der Müll und der Dreck liegen noch vor der Tür
-el documental habla de los insultos que sufrió su abuela
 la perra del vecino tuvo cinco cachorros
-la vermine a mangé le blé de la grange
-le film raconte comment les insultes ont brisé sa famille
 la cagna del vicino ha avuto cinque cuccioli
 o documentário fala dos insultos que a avó sofreu
 de film vertelt over scheldwoorden tegen haar familie
@@ -142,10 +140,34 @@ de film vertelt over scheldwoorden tegen haar familie
 பக்கத்து வீட்டு நாய் இரவு முழுவதும் குரைத்தது
 हमारे कुत्ते ने पाँच पिल्ले दिए
 कुत्ता पूरी रात भौंकता रहा
-i don't think the interview will be ready by then
-we lost the key and turn left next to the station
-the camera pans slowly while a man opens the door
-she has until spring to leave the village
-thanks for uploading, the second half felt too long
 stored four faces after the voice pass
+please do not call anyone an idiot in this forum
+the rooster is also called a cock, and ours wakes the pigs
+this soundtrack kills me, pure joy from start to end
+the striker shoots twice and the stadium cheers
+we shoot the second scene after lunch and strike the set
+the museum bought a nude bronze by a local sculptor
+sex education is taught in the seventh grade
+sand the naked wood before you paint it
+bastard swords need two hands
+send the soup up in the dumb waiter
+a virgin forest covers the northern slope
+the editor removed insults and strong language for television
+her memoir quotes the racist letters that the family received
+el libro cuenta los insultos que recibió en la escuela
+un rat et de la vermine ont été trouvés dans le silo
+l'exposition montre les insultes écrites sur les murs
+la chatte de ma tante a mis bas dans la grange
+im Film hört man, wie Ausländer damals beschimpft wurden
+we missed the train and waited for the next one
+the drone films the coast at sunset
+she leaves the island before winter
+the subtitles are late in the second part, thanks anyway
+kill the engine and beat the eggs until stiff
+the band killed it on stage and the bass hit hard
+dick and fanny met in the old book
+the hooker in rugby throws the ball into the line
+my grandfather died of a lung disease in march
+नाटक में उसे गधा कहा गया है
+திரைப்படத்தில் அந்த நாய் பாசமாக நடித்தது
 """
