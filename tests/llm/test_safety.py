@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from cuewright.llm import safety
 from cuewright.llm.safety import SEED_HARMLESS, SEED_OFFENSIVE, Ftrl, normal_token, offence_rates, offence_scores, passages, text_scores, train
 
 OFFENSIVE = [
@@ -68,3 +70,26 @@ def test_tables(spark):
     assert set(rates) == {"comment_feed", "unknown", "x"}
     assert sum(r.documents for r in rates.values()) == len(rows)
     assert offence_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_batches_agree_with_passages_one_by_one():
+    rng = np.random.default_rng(4)
+    w = np.where(rng.random((1 << safety.BITS) + 1) < 0.05, rng.standard_normal((1 << safety.BITS) + 1), 0.0)
+    words = ["you", "idiot", "i.d.i.o.t", "f u c k", "Idiôt!!", "im​migrants", "नाय", "நாயே", "1d10t", "***", "rats", "the", "cats."]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(60)] + [None, "", "... !!", "a"]
+    got, worst = safety.text_scores(texts, w)
+    for text, score, passage in zip(texts, got, worst):
+        parts = safety.passages(text or "")
+        each = [w[x].sum() for x in safety._split(parts)] if parts else [-30.0]
+        assert abs(score - 1 / (1 + np.exp(-np.clip(max(each), -30, 30)))) < 1e-9
+        assert passage is None if not parts else passage in {" ".join(p) for p in parts}
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    long = "the harbour was quiet and the boats came in. " * 3000 + "you flubbering zonkwit, we all despise your kind"
+    docs = [(i, long if i % 2 else "the harbour was quiet and the boats came in. " * 40, "caption") for i in range(1, 41)]
+    docs += [(100, "you flubbering zonkwit, we all despise your kind", "caption"), (101, "the boats came in", "caption")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(1, 41)], "doc_id long, category string")
+    got = {r.doc_id: r.score for r in safety.offence_scores(d, labels).where("doc_id >= 100").collect()}
+    assert got[100] > 0.5 > got[101]
