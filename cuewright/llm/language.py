@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.language_words import LANGUAGES, LEXICON, NOTATIONS, PLACEHOLDERS, SEEDS
@@ -19,9 +19,13 @@ L = len(LANGUAGES)
 BITS = 17
 LONG, CHUNK = 24, 12  #: letters from which a word is a run without spaces, and of the chunks it is judged in
 SURE = 0.9  #: lead over the main language that a segment of one or two words needs
-SAMPLE, SAMPLE_CHARS = 3000, 4000  #: transcriptions to learn from, and the part of each
-NOTE = regex.compile(r"\[[^\]]{0,80}\]|\([^)]{0,80}\)|<[^>]{0,80}>|\{[^}]{0,80}\}|【[^】]{0,80}】|\*[^*\n]{1,60}\*|[♪♫]|\d[\d:.,]*")
-WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+SAMPLE, SAMPLE_CHARS = 3000, 20_000_000  #: transcriptions to learn from, whole, and characters of these together, at most
+RUN = 4  #: words in a row of each of two languages that show a sentence learned from to be mixed
+PER_LANGUAGE = 700  #: sentences of one language learned from in a pass, at most
+NOTE = regex.compile(r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|\{[^}]*\}|【[^】]*】|\*[^*\n]+\*|[♪♫]|\S+://\S+")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
+DIGIT = regex.compile(r"\p{N}+")
+CODED = regex.compile(r"(?:\p{Lu}*\p{Ll}+\p{Lu}+){3}")  #: case that changes again and again, as in encoded bytes
 DRAWN = regex.compile(r"(.)\1{3,}")
 SENTENCE = regex.compile(r"(?<=[.!?…।])\s+|\n+")
 _LEXICON = {w: tuple(i for i, lang in enumerate(LANGUAGES) if w in set(LEXICON[lang].split())) for words in LEXICON.values() for w in words.split()}
@@ -40,8 +44,25 @@ def language_code(claimed: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The spoken words of a text in lower case, without sound notes and time marks."""
-    return [w.replace("’", "'") for w in WORD.findall(NOTE.sub(" ", text).lower())] if text else []
+    """The spoken words of a text in lower case, without sound notes, addresses, numbers and encoded bytes.
+
+    What mixes digits and letters is no word, unless it is a run without spaces with few digits in it.
+    """
+    if not text:
+        return []
+    out = []
+    for token in WORD.findall(NOTE.sub(" ", text)):
+        if not token.isalpha():
+            if found := DIGIT.findall(token):
+                if len(token) <= LONG or 10 * sum(map(len, found)) > len(token):
+                    continue
+                out += [w.lower() for w in DIGIT.split(token) if w]
+                continue
+            token = token.replace("’", "'")
+        if len(token) >= 8 and not token.islower() and CODED.match(token):
+            continue
+        out.append(token.lower())
+    return out
 
 
 def chunks_of(words: list[str]) -> list[str]:
@@ -77,27 +98,35 @@ class Crf:
         np.fill_diagonal(self.t, 1.5)
         self.gw = np.full((1 << BITS, L), 1e-6, np.float32)
         self.gt = np.full((L, L), 1e-2)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def emission(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), L))
-        for i, word in enumerate(words):
-            e = self.cache.get(word)
-            if e is None:
-                e = self.w[list(word_features(word))].sum(0)
-                if len(self.cache) < 300_000:
-                    self.cache[word] = e
-            out[i] = e
-        return out
-
-    def marginals(self, emissions: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Forward-backward: each word's chances, and the expected transitions; texts of one call are padded."""
-        lengths = np.array([len(e) for e in emissions])
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, L))
+
+    @staticmethod
+    def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The features of words, one after the other, and where those of each word begin."""
+        lists = [word_features(w) for w in words]
+        return np.array([f for fs in lists for f in fs], np.int64), np.cumsum([0, *[len(fs) for fs in lists[:-1]]])
+
+    def emissions(self, flat: list[str]) -> np.ndarray:
+        """Scores of words by language; each distinct word is worked out once for a model."""
+        if len(self.known) > 300_000:
+            self.known, self.rows = {}, np.zeros((0, L))
+        new = [w for w in dict.fromkeys(flat) if w not in self.known]
+        if new:
+            at, starts = self._features(new)
+            self.known.update((w, len(self.rows) + i) for i, w in enumerate(new))
+            self.rows = np.concatenate([self.rows, np.add.reduceat(self.w[at], starts, axis=0)])
+        return self.rows[np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))]
+
+    def marginals(self, flat: np.ndarray, lengths: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Forward-backward: each word's chances, and the expected transitions if asked for.
+
+        ``flat`` has the scores of the words of texts of these lengths, one after the other.
+        """
         b, m = len(lengths), int(lengths.max())
-        e = np.zeros((b, m, L))
-        for i, x in enumerate(emissions):
-            e[i, : len(x)] = x
         mask = np.arange(m) < lengths[:, None]
+        e = np.zeros((b, m, L))
+        e[mask] = flat
         p = np.exp(e - e.max(2, keepdims=True))
         t = np.exp(self.t - self.t.max())
         alpha, beta = np.empty((b, m, L)), np.ones((b, m, L))
@@ -110,12 +139,15 @@ class Crf:
             beta[:, k] = np.where(mask[:, k + 1, None], x / x.sum(1, keepdims=True), 1.0)
         g = alpha * beta
         g /= g.sum(2, keepdims=True)
-        expected = np.zeros((L, L))
-        if m > 1:
-            both = alpha[:, :-1, :, None] * t * (beta[:, 1:] * p[:, 1:])[:, :, None, :]
-            both /= both.sum((2, 3), keepdims=True)
-            expected = both[mask[:, 1:]].sum(0)
-        return [g[i, :n] for i, n in enumerate(lengths)], expected
+        expected = None
+        if expect:
+            expected = np.zeros((L, L))
+            if m > 1:
+                after = beta[:, 1:] * p[:, 1:]
+                total = np.einsum("bki,ij,bkj->bk", alpha[:, :-1], t, after, optimize=True)
+                share = np.where(mask[:, 1:], 1 / total, 0.0)
+                expected = t * np.einsum("bki,bkj->ij", alpha[:, :-1] * share[:, :, None], after, optimize=True)
+        return g[mask], expected
 
     def fit(self, rows: list[tuple[list[str], np.ndarray]], rounds: int = 4, rate: float = 0.35, seed: int = 3) -> None:
         """Maximise the likelihood of labelled words by gradients with a rate for each weight."""
@@ -125,14 +157,17 @@ class Crf:
             rng.shuffle(rows)
             for start in range(0, len(rows), 64):
                 batch = rows[start : start + 64]
-                self.cache.clear()
-                got, expected = self.marginals([self.emission(w) for w, _ in batch])
-                grad = np.concatenate([np.eye(L)[y] - g for (_, y), g in zip(batch, got)])
-                lists = [word_features(x) for w, _ in batch for x in w]
-                at = np.array([f for fs in lists for f in fs])
-                own = np.repeat(np.arange(len(lists)), [len(fs) for fs in lists])
+                flat = [w for words, _ in batch for w in words]
+                words = list(dict.fromkeys(flat))
+                place = {w: i for i, w in enumerate(words)}
+                of = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+                at, starts = self._features(words)
+                got, expected = self.marginals(np.add.reduceat(self.w[at], starts, axis=0)[of], np.array([len(w) for w, _ in batch]), True)
+                grad = np.eye(L)[np.concatenate([y for _, y in batch])] - got
+                by_word = np.stack([np.bincount(of, weights=grad[:, k], minlength=len(words)) for k in range(L)], 1)
+                own = np.repeat(np.arange(len(words)), np.diff([*starts, len(at)]))
                 keys, inverse = np.unique(at, return_inverse=True)
-                total = np.stack([np.bincount(inverse, weights=grad[own, k], minlength=len(keys)) for k in range(L)], 1)
+                total = np.stack([np.bincount(inverse, weights=by_word[own, k], minlength=len(keys)) for k in range(L)], 1)
                 total -= 2e-3 * self.w[keys]
                 self.gw[keys] += total * total
                 self.w[keys] += rate * total / np.sqrt(self.gw[keys])
@@ -142,7 +177,7 @@ class Crf:
                 step = seen - expected - 1e-2 * self.t
                 self.gt += step * step
                 self.t += rate * step / np.sqrt(self.gt)
-        self.cache.clear()
+        self.known, self.rows = {}, np.zeros((0, L))
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Chances of the words of many texts; texts of like length are computed together."""
@@ -150,17 +185,28 @@ class Crf:
         order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: len(texts[i]))
         start = 0
         while start < len(order):
-            end, cells = start, 0
-            while end < len(order) and (cells := len(texts[order[end]]) * (end - start + 1)) <= 20000:
+            end = start
+            while end < len(order) and len(texts[order[end]]) * (end - start + 1) <= 20000:
                 end += 1
             end = max(end, start + 1)
             part = order[start:end]
-            for i, g in zip(part, self.marginals([self.emission(texts[i]) for i in part])[0]):
+            lengths = np.array([len(texts[i]) for i in part])
+            got, _ = self.marginals(self.emissions([w for i in part for w in texts[i]]), lengths)
+            for i, g in zip(part, np.split(got, np.cumsum(lengths)[:-1])):
                 out[i] = g
             start = end
         return out
 
 
+def runs_of(chances: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Runs of words of one language: language, first word, number of words, mean chance."""
+    if not len(chances):
+        return []
+    best = chances.argmax(1)
+    cuts = [0, *(np.nonzero(np.diff(best))[0] + 1).tolist(), len(best)]
+    return [(int(best[a]), a, b - a, float(chances[a:b, best[a]].mean())) for a, b in zip(cuts, cuts[1:])]
+
+
 def _mixed(rows: list[tuple[list[str], int]], rng: random.Random, count: int) -> list[tuple[list[str], np.ndarray]]:
     """Texts that change language, from runs of texts of one: what teaches the transitions."""
     out = []
@@ -198,53 +244,63 @@ def train(labelled: list[tuple[str, str | None]], seed: int = 3) -> Crf:
             share = g.mean(0)
             own = LANGUAGES.index(claimed) if claimed in LANGUAGES else -1
             best = own if own >= 0 and share[own] + 0.5 >= share.max() else int(share.argmax())
-            if share[best] > (0.1 if best == own else 0.9):
-                rows.append((w, best))
-        # As many of each language at most, so that rare ones are learned as well.
+            if len({x for x, _, n, p in runs_of(g) if n >= RUN and p >= SURE}) > 1:
+                rows.append((w, best, g.argmax(1)))  # of several languages: each word for its own
+            elif share[best] > (0.1 if best == own else 0.9):
+                rows.append((w, best, np.full(len(w), best)))
+        # At most PER_LANGUAGE of each, so that rare languages are learned as well.
         rng.shuffle(rows)
         count: Counter[int] = Counter()
         kept = []
-        for w, i in rows:
+        for w, i, tags in rows:
             count[i] += 1
-            if count[i] <= 700:
-                kept.append((w, i))
-        model.fit(whole(kept + seeds) + _mixed(kept, rng, 600), rounds=2)
+            if count[i] <= PER_LANGUAGE:
+                kept.append((w, i, tags))
+        one = [(w, i) for w, i, tags in kept if (tags == i).all()]
+        model.fit([(w, tags) for w, _, tags in kept] + whole(seeds) + _mixed(one, rng, 600), rounds=2)
     return model
 
 
-def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int, int, np.ndarray]]:
-    """Language, confidence and number of words of each text, how many were labelled, and all chances."""
+def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int, int, np.ndarray, list]]:
+    """Language, confidence and number of words of each text, how many were labelled, all chances, and the runs."""
     out = []
     for words, g in zip(texts, model.tag([chunks_of(words) for words in texts])):
         if len(g):
             share = g.mean(0)
-            out.append((int(share.argmax()), float(share.max()), len(words), len(g), share))
+            out.append((int(share.argmax()), float(share.max()), len(words), len(g), share, runs_of(g)))
         else:
-            out.append((-1, 0.0, 0, 0, np.zeros(L)))
+            out.append((-1, 0.0, 0, 0, np.zeros(L), []))
     return out
 
 
-SCHEMA = "transcription_id bigint, segment_no int, lang string, confidence double, words int, claimed string"
+SCHEMA = (
+    "transcription_id bigint, segment_no int, lang string, confidence double, words int, kind string, "
+    "spans array<struct<lang string, first_word int, words int, confidence double>>, claimed string"
+)
 
 
 def languages(transcriptions: DataFrame) -> DataFrame:
-    """The language of each transcription and of each segment of it that is in another.
+    """The language of each transcription, of each segment of it that is in another, and of the runs of mixed segments.
 
     Columns: transcription_id, segment_no (-1 for the whole), lang, confidence (the mean chance of the
-    language over the words), words, claimed (the stored label as a code, null if missing). The language
+    language over the words), words, kind (``whole``, ``foreign`` or ``mixed``), spans (the runs of words of
+    one language in a segment, with first word, number of words and mean chance), claimed (the stored label as a code, null if missing). The language
     of the whole is that of most segments, by words where as many segments are in two; without segments
     the sentences of the full text stand for them. Defined cases: texts without words (null, blank,
-    music) give no row; a segment counts as in another language if the model is surer of it than of the
-    main language, with one or two words by ``SURE``; runs without spaces are judged in chunks over their
+    music, encoded bytes) give no row; a segment counts as in another language if the model is surer of it than of the
+    main language, with one or two words by ``SURE``; it is mixed if it is in the main language but has a run in
+    another with a mean chance of ``SURE``; runs without spaces are judged in chunks over their
     whole length; an empty table gives none. The model is learned from
-    at most ``SAMPLE`` transcriptions, chosen by a hash of the id, and the seeds; all rows are judged
+    at most ``SAMPLE`` transcriptions of ``SAMPLE_CHARS`` characters in all, chosen by a hash of the id, and the seeds; all rows are judged
     over their whole texts.
     """
     spark = transcriptions.sparkSession
     claimed = language_code(F.col("lang_code"))
     text = F.coalesce("full_text", F.array_join(F.transform("segments", lambda s: s["seg_text"]), "\n"))
-    sample = transcriptions.select(F.col("transcription_id").alias("i"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), claimed.alias("c"))
-    rows = sample.where("t is not null and i is not null").orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect()
+    sample = transcriptions.select(F.col("transcription_id").alias("i"), text.alias("t"), claimed.alias("c"), F.xxhash64("transcription_id").alias("order"))
+    sample = sample.where("t is not null and i is not null").orderBy("order", "i").limit(SAMPLE)
+    before = F.sum(F.length("t")).over(Window.orderBy("order", "i").rowsBetween(Window.unboundedPreceding, -1))  # of SAMPLE rows
+    rows = sample.withColumn("before", before).where(F.coalesce("before", F.lit(0)) + F.length("t") <= SAMPLE_CHARS).collect()
     model = train(sorted((r.t, r.c) for r in rows if r.c is not None) + sorted((r.t, r.c) for r in rows if r.c is None))
     used = np.nonzero(np.abs(model.w).max(1) > 1e-3)[0]
     sent = spark.sparkContext.broadcast((used.astype(np.int32), model.w[used].astype(np.float16), model.t))
@@ -254,6 +310,7 @@ def languages(transcriptions: DataFrame) -> DataFrame:
         crf = Crf()
         crf.w[at] = w
         crf.t = t
+        spans = lambda runs: [(LANGUAGES[x], a, n, p) for x, a, n, p in runs]
         for pdf in batches:
             for start in range(0, len(pdf), 200):
                 part = pdf.iloc[start : start + 200]
@@ -266,25 +323,31 @@ def languages(transcriptions: DataFrame) -> DataFrame:
                         pieces = [words_of(s) for s in SENTENCE.split(full)]
                         texts += pieces
                         owner += [(k, -2)] * len(pieces)
-                found: dict[int, list[tuple[int, tuple[int, float, int, int, np.ndarray]]]] = {}
+                found: dict[int, list] = {}
                 for (k, n), got in zip(owner, judge(crf, texts)):
-                    found.setdefault(k, []).append((n, got))
+                    found.setdefault(k, []).append((n, *got))
                 out = []
                 for k, parts in found.items():
-                    parts = [(n, g) for n, g in parts if g[2]]
+                    parts = [p for p in parts if p[3]]
                     if not parts:
                         continue
-                    count = Counter(g[0] for _, g in parts)
+                    count = Counter(lang for _, lang, *_ in parts)
                     size: Counter[int] = Counter()
-                    for _, (lang, _, n_words, _, _) in parts:
+                    for _, lang, _, n_words, *_ in parts:
                         size[lang] += n_words
                     main = max(count, key=lambda x: (count[x], size[x], -x))
-                    own = [g for _, g in parts if g[0] == main]
-                    weight = sum(g[2] for g in own)
+                    own = [p for p in parts if p[1] == main]
+                    weight = sum(p[3] for p in own)
                     i, claim = part["transcription_id"].iloc[k], part["claimed"].iloc[k]
-                    out.append((i, -1, LANGUAGES[main], sum(g[1] * g[2] for g in own) / weight, weight, claim))
-                    out += [(i, n, LANGUAGES[g[0]], g[1], g[2], claim) for n, g in parts if n >= 0 and g[0] != main and (g[3] >= 3 or g[1] - g[4][main] >= SURE)]
-                yield pd.DataFrame(out, columns=["transcription_id", "segment_no", "lang", "confidence", "words", "claimed"])
+                    out.append((i, -1, LANGUAGES[main], sum(p[2] * p[3] for p in own) / weight, weight, "whole", None, claim))
+                    for n, lang, sure, n_words, labelled, share, runs in parts:
+                        if n < 0:
+                            continue
+                        if lang != main and (labelled >= 3 or sure - share[main] >= SURE):
+                            out.append((i, n, LANGUAGES[lang], sure, n_words, "foreign", spans(runs), claim))
+                        elif lang == main and any(x != main and p >= SURE for x, _, _, p in runs):
+                            out.append((i, n, LANGUAGES[lang], sure, n_words, "mixed", spans(runs), claim))
+                yield pd.DataFrame(out, columns=["transcription_id", "segment_no", "lang", "confidence", "words", "kind", "spans", "claimed"])
 
     rows = transcriptions.select(
         "transcription_id", "full_text", F.transform("segments", lambda s: s["seg_text"]).alias("segs"), claimed.alias("claimed")
@@ -295,4 +358,4 @@ def languages(transcriptions: DataFrame) -> DataFrame:
 def language_cases(found: DataFrame) -> DataFrame:
     """Of ``languages``: labels that are missing or wrong, and segments in another language."""
     wrong = (F.col("segment_no") >= 0) | F.col("claimed").isNull() | (F.col("claimed") != F.col("lang"))
-    return found.where(wrong).select("transcription_id", "segment_no", "lang")
+    return found.where(wrong & (F.col("kind") != "mixed")).select("transcription_id", "segment_no", "lang")

@@ -43,7 +43,8 @@ def test_marginals_equal_enumeration():
     crf = Crf()
     crf.t = rng.normal(size=crf.t.shape)
     e = rng.normal(size=(3, len(LANGUAGES)))
-    got, expected = crf.marginals([e, e[:1]])
+    flat, expected = crf.marginals(np.concatenate([e, e[:1]]), np.array([3, 1]), True)
+    got = [flat[:3], flat[3:]]
     n = len(LANGUAGES)
     total, marginal, moves = 0.0, np.zeros((3, n)), np.zeros((n, n))
     for path in itertools.product(range(n), repeat=3):
@@ -91,3 +92,30 @@ def test_runs_without_spaces_and_short_segments(spark):
     rows = [(1, None, [(x, 0.0, None) for x in (en, en, run, "नहीं", "Okay.", "Z" + "o" * 400, en)], "en"), (2, run, None, "en")]
     found = language_cases(languages(spark.createDataFrame(rows, kind)))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, "es"), (1, 3, "hi"), (2, -1, "es")]
+
+
+def test_encoded_bytes_do_not_vote(spark):
+    import random
+
+    rng = random.Random(2)
+    es = "Nadie sabe por qué la puerta estaba abierta. No podemos esperar más, hay que salir de aquí."
+    blobs = ["".join(rng.choice("0123456789abcdef") for _ in range(1200)), "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789") for _ in range(900)), "SGVsbG8gV29ybGQgZnJvbSBoZXJl" * 20]
+    assert words_of("call 555-1234 at 10:30, room B12 of https://example.org/some/page") == ["call", "at", "room", "of"]
+    for blob in blobs:
+        assert words_of(blob) == []
+    segs = [(es, 0.0, None), (f"{es} {blobs[0]} Mañana", 1.0, None), (blobs[1], 2.0, None), (f"{blobs[2]} {es}", 3.0, None)]
+    kind = "transcription_id long, full_text string, segments array<struct<seg_text: string, start_s: double, end_s: double>>, lang_code string"
+    assert language_cases(languages(spark.createDataFrame([(1, None, segs, "es")], kind))).count() == 0
+
+
+def test_runs_inside_a_segment(spark):
+    en = "We walked along the river and talked about the weather. The door was open when we came back."
+    mixed = "The door was still open when we came back pero nadie sabe por qué la puerta estaba abierta cuando volvimos a la casa and we never saw such a small house before in the village by the river"
+    kind = "transcription_id long, full_text string, segments array<struct<seg_text: string, start_s: double, end_s: double>>, lang_code string"
+    found = languages(spark.createDataFrame([(1, None, [(en, 0.0, None), (mixed, 1.0, None), (en, 2.0, None)], "en")], kind))
+    rows = [r for r in found.collect() if r.kind == "mixed"]
+    assert [(r.segment_no, r.lang) for r in rows] == [(1, "en")]
+    assert sum(s.words for s in rows[0].spans) == len(mixed.split())
+    spanish = max((s for s in rows[0].spans if s.lang == "es"), key=lambda s: s.words)
+    assert spanish.words >= 10 and spanish.confidence > 0.9 and 7 <= spanish.first_word <= 11
+    assert language_cases(found).count() == 0
