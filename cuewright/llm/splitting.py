@@ -11,56 +11,158 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 600, 80
 
-#: Where each level of the structure tree ends its nodes, from the coarsest to the finest.
+#: Where a text without structure is cut, from the coarsest boundary to the finest.
 LEVELS = (
-    regex.compile(r"(?m)\n(?=[ \t]*(?:#{1,6} |<h[1-6]\b|={3,}|-{3,}))"),  # before a heading
-    regex.compile(r"\n[ \t]*\n\s*"),  # paragraphs
-    regex.compile(r"\n\s*|(?<=>)\s*(?=<)"),  # lines, list items, elements
+    regex.compile(r"\n\s*"),  # lines
     regex.compile(r"(?<=[.!?…।॥。！？][\"'”’)\]]*)\s+|(?<=[。！？])"),  # sentences
     regex.compile(r"(?<=[;:,،、，；—–-])\s+|\s+(?=[—–-]\s)"),  # clauses
     regex.compile(r"\s+"),  # words
 )
+HEADING = regex.compile(r"(?m)^[ \t]*(?:(#{1,6})[ \t]|<h([1-6])\b|(?=\S[^\n]*\n[ \t]*(={3,}|-{3,})[ \t]*$))")
+PARAGRAPH = regex.compile(r"\n[ \t]*\n\s*")
+LINE = regex.compile(r"(?m)^([ \t]*)([-*+•‣◦–][ \t]+|\(?(?:\d{1,3}|[A-Za-z])[.)][ \t]+)?(?=\S)")
+TAG = regex.compile(r"<(/?)([A-Za-z][\w:.-]*)\b[^<>]*?(/?)>")
+#: Elements within a line of text, which are no structure, and elements that have no end.
+INLINE = frozenset("a abbr b bdi bdo big cite code del em font i ins kbd mark q s samp small span strike strong sub sup u v c".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SPACE = regex.compile(r"\s+")
 CHARACTER = regex.compile(r"\X")
 
 Span = tuple[int, int]
 
 
-def _children(text: str, span: Span, level: int, limit: int) -> list[Span]:
-    """The nodes under ``span``; each holds the separator that follows it, so spans leave no gap."""
-    start, end = span
+def _cut_at(span: Span, cuts: list[int]) -> list[Span]:
+    """The parts of a span between cuts; each holds the separator that follows it, so parts leave no gap."""
+    cuts = sorted({c for c in cuts if span[0] < c < span[1]})
+    return list(zip([span[0], *cuts], [*cuts, span[1]]))
+
+
+def _sections(text: str, span: Span) -> list[Span]:
+    """The sections under the highest headings but one that opens the span."""
+    found = []
+    opening = SPACE.match(text, *span)
+    opening = opening.end() if opening else span[0]
+    for m in HEADING.finditer(text, *span):
+        if m.start() > opening:
+            depth = len(m[1]) if m[1] else int(m[2]) if m[2] else 1 if m[3][0] == "=" else 2
+            found.append((depth, m.start()))
+    top = min((d for d, _ in found), default=0)
+    return _cut_at(span, [at for d, at in found if d == top])
+
+
+def _elements(text: str, span: Span) -> list[Span]:
+    """The outermost elements of markup that divide the span."""
+    cuts: dict[int, list[int]] = {}
+    stack: list[str] = []
+    for m in TAG.finditer(text, *span):
+        name = m[2].lower()
+        if name in INLINE:
+            continue
+        after = SPACE.match(text, m.end(), span[1])
+        after = after.end() if after else m.end()
+        if m[1]:
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+                cuts.setdefault(len(stack), []).append(after)
+        else:
+            cuts.setdefault(len(stack), []).append(m.start())
+            if m[3] or name in VOID:
+                cuts[len(stack)].append(after)
+            else:
+                stack.append(name)
+    for depth in sorted(cuts):
+        if len(parts := _cut_at(span, cuts[depth])) > 1:
+            return parts
+    return [span]
+
+
+def _items(text: str, span: Span) -> list[Span]:
+    """The items of the outermost list, each with what is indented below it, if the span is a list."""
+    lines = [(m.start(), len(m[1].expandtabs(4)), bool(m[2])) for m in LINE.finditer(text, *span) if m.end() < span[1]]
+    marked = [indent for _, indent, item in lines if item]
+    if not marked or not lines[0][2]:
+        return [span]
+    top = min(marked)
+    if any(indent <= top and not item for _, indent, item in lines):
+        return [span]
+    return _cut_at(span, [at for at, indent, item in lines if item and indent <= top])
+
+
+def _structure(text: str, span: Span) -> list[Span]:
+    """The subtrees of a span: sections, elements, list items or paragraphs; the span itself if it has none."""
+    for parts in (_sections, _elements, _items):
+        if len(found := parts(text, span)) > 1:
+            return found
+    found = _cut_at(span, [m.end() for m in PARAGRAPH.finditer(text, *span)])
+    if len(found) > 1:
+        return found
+    # A line that leads into a list is a sibling of the items.
+    lines = [(m.start(), bool(m[2])) for m in LINE.finditer(text, *span)]
+    first = next((at for at, item in lines if item and at > span[0]), None)
+    return _cut_at(span, [first]) if first is not None and sum(item for _, item in lines) > 1 else [span]
+
+
+def _plain(text: str, span: Span, level: int, limit: int) -> list[Span]:
+    """Parts within the limit of a span without structure, at the coarsest boundaries, merged as far as they fit."""
+    if span[1] - span[0] <= limit:
+        return [span]
+    children = [span]
+    while level < len(LEVELS) and len(children := _cut_at(span, [m.end() for m in LEVELS[level].finditer(text, *span)])) < 2:
+        level += 1
     if level == len(LEVELS):  # no boundary is left: cut between characters, marks stay with their letter
-        cuts, last = [], start
-        for m in CHARACTER.finditer(text, start, end):
+        cuts, last = [], span[0]
+        for m in CHARACTER.finditer(text, *span):
             if m.end() - last > limit:
                 cut = m.start() if m.start() > last else last + limit
                 while cut < m.end():
                     cuts.append(cut)
                     last = cut
                     cut = last + limit
-        return [(a, b) for a, b in zip([start, *cuts], [*cuts, end]) if a < b]
-    cuts = [m.end() for m in LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    return list(zip([start, *cuts], [*cuts, end]))
+        return _cut_at(span, cuts)
+    packed: list[Span] = []
+    for child in children:
+        for a, b in _plain(text, child, level + 1, limit):
+            if packed and b - packed[-1][0] <= limit:
+                packed[-1] = (packed[-1][0], b)
+            else:
+                packed.append((a, b))
+    return packed
 
 
-def _pack(text: str, span: Span, level: int, limit: int) -> list[Span]:
-    """Nodes of at most ``limit`` characters that cover ``span``, siblings merged as far as they fit."""
-    if span[1] - span[0] <= limit:
-        return [span]
-    while level < len(LEVELS) and len(children := _children(text, span, level, limit)) < 2:
-        level += 1
-    if level == len(LEVELS):
-        children = _children(text, span, level, limit)
-        parts = [children]
-    else:
-        parts = [_pack(text, child, level + 1, limit) for child in children]
+def _is_heading(text: str, span: Span) -> bool:
+    return bool(HEADING.match(text, *span)) and len(text[slice(*span)].strip().split("\n")) <= 2
+
+
+def _pack(text: str, span: Span, limit: int) -> list[Span]:
+    """Subtrees of at most ``limit`` characters that cover ``span``.
+
+    Sibling subtrees that fit are merged from left to right; one that does not is opened, and what comes
+    out of it is merged with none of its siblings, except that a heading stays with what follows it.
+    """
     packed: list[Span] = []
-    for part in parts:
-        for a, b in part:
-            if packed and b - packed[-1][0] <= limit:
+    todo = [(span, 0)]  # a stack, as markup may be nested deeply
+    parent_of: list[int] = []
+    opened = 0
+    while todo:
+        node, parent = todo.pop()
+        if node[1] - node[0] > limit:
+            children = _structure(text, node)
+            if len(children) > 1:
+                opened += 1  # names the parent of these children
+                todo += [(child, opened) for child in reversed(children)]
+                continue
+            parts, parent = _plain(text, node, 0, limit), -1
+        else:
+            parts = [node]
+        for a, b in parts:
+            joined = packed and b - packed[-1][0] <= limit
+            if joined and (parent_of[-1] == parent != -1 or _is_heading(text, packed[-1])):
                 packed[-1] = (packed[-1][0], b)
+                parent_of[-1] = parent
             else:
                 packed.append((a, b))
+                parent_of.append(parent)
     return packed
 
 
@@ -80,7 +182,7 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     pieces = []
-    for a, b in _pack(text, (first, last), 0, limit - overlap):
+    for a, b in _pack(text, (first, last), limit - overlap):
         start = a
         if pieces and overlap:
             low = max(a - overlap, pieces[-1][1])
@@ -106,9 +208,9 @@ def oversized(items: DataFrame, text: str = "text", limit: int = LIMIT) -> DataF
 def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of each oversized text of ``items`` (origin, item_id, item_no, text).
 
-    A text is read as a tree of headings, paragraphs, lines or list items, sentences, clauses, words
-    and characters. Siblings are merged bottom-up as long as they fit; only nodes above the limit are
-    opened. Each piece but the first repeats about the last ``overlap`` characters of the one before,
+    A text is read as a tree of sections by the depth of their headings, elements of markup, list items by
+    their indentation and paragraphs; what has no structure is cut at lines, sentences, clauses, words or
+    characters. Sibling subtrees are merged as long as they fit; only nodes above the limit are opened. Each piece but the first repeats about the last ``overlap`` characters of the one before,
     cut at a word. Columns: origin, item_id, item_no, piece_no (from 0), n_pieces, start, own_start,
     end (offsets in code points in the text as stored) and piece. Null, blank and short texts give no
     rows; rows that occur twice are each split. No shuffle: a text is split where it is read.

@@ -55,3 +55,51 @@ def test_tables(spark):
     assert "".join(r.piece[r.own_start - r.start :] for r in sorted(own, key=lambda r: r.piece_no)) == long.strip()
     assert len([r for r in rows if r.item_id == 5]) == 2 * len(own)
     assert split_oversized(segment_items(s.limit(0), t.limit(0))).count() == 0
+
+
+def own(text, limit=600, overlap=0):
+    return [text[o:e] for _, o, e in check(text, limit, overlap)]
+
+
+def test_sections_stay_with_their_heading():
+    body = lambda n: ("Some words in a sentence here. " * 40)[:n].strip() + "\n\n"
+    text = f"# A\n\n{body(120)}## A1\n\n{body(300)}## A2\n\n{body(250)}# B\n\n{body(40)}## B1\n\n{body(330)}"
+    pieces = own(text)
+    assert [p.split("\n")[0] for p in pieces] == ["# A", "## A2", "# B"]
+    assert not any("## A2" in p and "# B\n" in p for p in pieces)
+    assert "## B1" in pieces[2]
+    setext = f"Title\n=====\n\n{body(300)}Part\n----\n\n{body(320)}Other\n=====\n\n{body(100)}"
+    assert [p.split("\n")[0] for p in own(setext)] == ["Title", "Part", "Other"]
+
+
+def test_nested_lists():
+    item = lambda mark, n: f"{mark} " + ("word " * 60)[:n].strip() + "\n"
+    one = item("-", 100) + "".join(item("  -", 90) for _ in range(4))
+    two = item("-", 100) + "".join(item("  1.", 90) for _ in range(4))
+    pieces = own(one + two)
+    assert [p.strip() for p in pieces] == [one.strip(), two.strip()]  # an item and what is below it
+    spaced = (one + two).replace("\n", "\n\n")
+    assert [p.strip() for p in own(spaced)] == [one.replace("\n", "\n\n").strip(), two.replace("\n", "\n\n").strip()]
+    big = item("-", 100) + "".join(item("  -", 200) for _ in range(5)) + item("-", 50)
+    pieces = own(big)
+    assert all(p.lstrip().startswith("-") for p in pieces) and pieces[-1].startswith("- word")
+
+
+def test_markup():
+    row = lambda n: "<p>" + ("Some <i>words</i> here. " * 20)[:n].rsplit(" ", 1)[0] + "</p>"
+    text = f"<div id='a'>{row(240)}\n{row(240)}</div><div>{row(200)}{row(330)}{row(300)}</div><br/><div>{row(100)}</div>"
+    pieces = own(text)
+    assert pieces[0].startswith("<div id='a'>") and pieces[0].endswith("</div>")
+    assert all(p.startswith("<") for p in pieces)
+    assert pieces[-1].startswith("<br/><div>")
+    assert own("<a>" * 400 + "x" * 700 + "</b>" * 50)
+
+
+def test_deep_and_long_texts_end():
+    import time
+
+    began = time.perf_counter()
+    check("<div>" * 300 + "word " * 2000 + "</div>" * 300)
+    check("".join(f"{'#' * (i % 6 + 1)} h{i}\ntext {i}\n" for i in range(8000)))
+    check("".join(f"{' ' * (i % 40)}- item {i}\n" for i in range(8000)))
+    assert time.perf_counter() - began < 20
