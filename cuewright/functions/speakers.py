@@ -19,7 +19,7 @@ _WORDS = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 _NUMBER = rf"(?:[0-9o]{{1,6}}|{_WORDS})"
 _LABEL = rf"(?:(?:{_ROLE})[\s_#.:\-–]*|s[\s_#-]?(?=[0-9]))({_NUMBER})"
 TIME_MARK = r"[\[(<]?(?<![0-9:])(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}(?:[.,][0-9]{1,3})?(?![0-9:])[\])>]?"
-SOUND_NOTE = r"\[[^\]]{0,80}\]|\([^)]{0,80}\)|<[^>]{0,80}>|\{[^}]{0,80}\}|【[^】]{0,80}】|\*[^*\n]{1,60}\*|[♪♫♬]+"
+SOUND_NOTE = r"\[[^\]]*+\]|\([^)]*+\)|<[^>]*+>|\{[^}]*+\}|【[^】]*+】|\*[^*\n]++\*|[♪♫♬]+"
 HESITATION = (
     r"(?<![\p{L}\p{M}'’-])(?:u+h+-h+u+h+|m+-?h+m+|u+h+m*|u+m+|e+r+m*|e+u+h+|e+h+m*|a+h+m*|ä+h+m*|ö+h+m*|h+m+|m{2,})"
     r"(?![\p{L}\p{M}'’]|-\p{L})"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.paths import clean_path
-from cuewright.functions.speakers import speaker_number
 from cuewright.functions.times import finite, millis
+from cuewright.operators.labels import named, speaker_numbers
+from cuewright.session import staged
 
 
 def periods_and_gaps(intervals: DataFrame, keys: list[str], start_ms: str, end_ms: str, bucket_s: int = 600) -> DataFrame:
@@ -79,13 +80,10 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start_ms: str, end_m
 def speech_periods(voices: DataFrame) -> DataFrame:
     """Periods of speech and the pauses between them, by file and speaker number.
 
-    Rows whose interval is unusable or whose speaker is told neither by the label nor by a name that
-    opens the text are left out.
+    Speakers are told apart as in speaker turns: by the label or a name that opens the text, unreadable
+    ones by the roster of all files. Rows whose interval is unusable or whose speaker is unknown are left out.
     """
-    rows = voices.where(finite(F.col("start_time")) & finite(F.col("end_time"))).select(
-        clean_path(F.col("media_path")).alias("media_path"),
-        speaker_number(F.col("speaker_label"), F.col("transcribed_text")).alias("speaker_no"),
-        millis(F.col("start_time")).alias("s"),
-        millis(F.col("end_time")).alias("e"),
-    )
-    return periods_and_gaps(rows.where("speaker_no is not null and media_path is not null"), ["media_path", "speaker_no"], "s", "e")
+    rows = named(voices.where(finite(F.col("start_time")) & finite(F.col("end_time"))), "speaker_label", "transcribed_text")
+    rows = rows.select(clean_path(F.col("media_path")).alias("media_path"), "name", "number", millis(F.col("start_time")).alias("s"), millis(F.col("end_time")).alias("e"))
+    rows = staged(rows.where("name is not null and media_path is not null and e > s"), "intervals")
+    return periods_and_gaps(speaker_numbers(rows, ["media_path"]), ["media_path", "speaker_no"], "s", "e")
