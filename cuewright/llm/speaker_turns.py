@@ -5,99 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.paths import clean_path
-from cuewright.functions.speakers import NUMBER_WORDS, clean_speech, has_word, label_key, label_number, opener_token
+from cuewright.functions.speakers import clean_speech, has_word
 from cuewright.functions.times import finite, millis
+from cuewright.operators.labels import named, speaker_numbers
+from cuewright.operators.ranking import numbered
 from cuewright.session import staged
 
-FORM = r"^(\p{L}{1,20})[\s_#.:\-–]*(\p{L}{2,14})$"
+RANGE_ROWS = 2_000_000  #: rows that one task scans
+PART_ROWS = 500  #: rows of a turn whose texts are joined in one row
 SCAN_SCHEMA = (
     "rec tinyint, pid int, voice_id bigint, turn bigint, speaker_no int, fe1 bigint, fe2 bigint, fs int, first_id bigint, le1 bigint, le2 bigint, ls int, last_turn bigint"
 )
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in an assignment of least total cost (rows <= columns)."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0] = i
-        least = np.full(m + 1, np.inf)
-        used = np.zeros(m + 1, dtype=bool)
-        way = np.zeros(m + 1, dtype=int)
-        j = 0
-        while match[j]:
-            used[j] = True
-            row = match[j]
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            way[1:][better] = j
-            free = np.where(used[1:], np.inf, least[1:])
-            nxt = int(np.argmin(free)) + 1
-            delta = free[nxt - 1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j = nxt
-        while j:
-            match[j] = match[way[j]]
-            j = way[j]
-    out = np.zeros(n, dtype=int)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-def roster(names: DataFrame) -> DataFrame:
-    """The speakers that unreadable names may stand for.
-
-    ``names`` has the distinct names of every transcript (e1, e2, name, number). The roster across
-    transcripts holds the roles that readable names begin with, in how many transcripts each occurs,
-    and the number words. A name that is not readable, such as one with a slip, is compared only with
-    the roster entries of its phonetic block, that is with equal Soundex codes of role and number word.
-    Gives e1, e2, name, role, candidate number and cost.
-    """
-    spark = names.sparkSession
-    roles = names.where("number is not null").select("e1", "e2", F.regexp_extract("name", r"^(\p{L}+?)(?=[\s_#.:\-–0-9]|$)", 1).alias("role"))
-    roles = roles.where("length(role) > 2").distinct().groupBy("role").agg(F.count("*").alias("transcripts"))
-    roles = roles.withColumn("block", F.soundex("role"))
-    words = spark.createDataFrame([(w, i) for i, w in enumerate(NUMBER_WORDS)], "word string, candidate int")
-    words = words.withColumn("word_block", F.soundex("word"))
-    odd = names.where("number is null").withColumns({"r": F.regexp_extract("name", FORM, 1), "w": F.regexp_extract("name", FORM, 2)})
-    odd = odd.where("r <> ''").withColumns({"block": F.soundex("r"), "word_block": F.soundex("w")})
-    forms = odd.select("name", "r", "w", "block", "word_block").distinct()
-    near = forms.join(roles, "block").where(F.levenshtein("r", "role") <= 2)
-    best = near.groupBy("name", "w", "word_block").agg(F.max_by("role", F.col("transcripts") - F.levenshtein("r", "role")).alias("role"))
-    near = best.join(F.broadcast(words), "word_block").withColumn("cost", F.levenshtein("w", "word").cast("double")).where("cost <= 2")
-    return odd.select("e1", "e2", "name").join(near.select("name", "role", "candidate", "cost"), "name")
-
-
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Assign the unreadable names of each transcript, two names of one form never to one speaker."""
-    for pdf in batches:
-        out = []
-        for e1, e2, taken, odd in zip(pdf["e1"], pdf["e2"], pdf["taken"], pdf["odd"]):
-            taken = {int(x) for x in taken} if taken is not None else set()
-            names = sorted({o["name"] for o in odd})
-            numbers = list(range(max([len(NUMBER_WORDS), *[x + 1 for x in taken]]) + len(names)))
-            cost = np.full((len(names), len(numbers)), 100.0)
-            for o in odd:
-                # A number that the transcript uses is the likelier one.
-                cost[names.index(o["name"]), int(o["candidate"])] = o["cost"] + (0.0 if int(o["candidate"]) in taken else 0.5)
-            for i, j in enumerate(assign(cost)):
-                if cost[i, j] < 100:
-                    out.append((e1, e2, names[i], numbers[j]))
-        yield pd.DataFrame(out, columns=["e1", "e2", "name", "resolved"])
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turns within one range of the order (transcript, start, voice_id), and a summary row of its edges."""
     from pyspark import TaskContext
@@ -145,40 +70,29 @@ def turn_rows(voices: DataFrame, partitions: int | None = None) -> DataFrame:
     table gives no rows.
     """
     spark = voices.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = clean_path(F.col("media_path"))
     rows = voices.where(finite(F.col("start_time")) & finite(F.col("end_time")) & (F.col("end_time") > F.col("start_time")) & F.col("voice_id").isNotNull())
     rows = rows.select(F.col("voice_id").cast("bigint").alias("voice_id"), path.alias("p"), "start_time", "end_time", "speaker_label", "transcribed_text")
-    named = label_key(F.col("speaker_label"))
-    rows = rows.where("p is not null").select(
+    rows = named(rows.where("p is not null"), "speaker_label", "transcribed_text").select(
         "voice_id",
         F.xxhash64("p").alias("e1"),
         F.xxhash64(F.lit("second"), "p").alias("e2"),
         F.col("start_time").alias("s"),
         F.xxhash64("end_time", F.coalesce("speaker_label", F.lit("\0")), F.coalesce("transcribed_text", F.lit("\0"))).alias("h1"),
         F.xxhash64(F.coalesce("transcribed_text", F.lit("\0")), F.coalesce("speaker_label", F.lit("\0")), "end_time").alias("h2"),
-        named.alias("label"),
-        label_number(F.col("speaker_label")).alias("label_no"),
-        opener_token(F.col("transcribed_text")).alias("opener"),
+        "name",
+        "number",
         has_word(F.col("transcribed_text")).alias("w"),
     )
-    rows = rows.where("w").withColumn("name", F.when(F.col("label_no").isNotNull(), F.col("label")).otherwise(F.coalesce("opener", "label")))
-    rows = rows.where("name is not null").withColumn("number", F.coalesce("label_no", label_number(F.col("opener"))))
+    rows = rows.where("w and name is not null")
     # Copies have one label and text, hence one name and number.
     rows = rows.groupBy("e1", "e2", "s", "h1", "h2").agg(F.min("voice_id").alias("voice_id"), F.first("name").alias("name"), F.first("number").alias("number"))
     rows = staged(rows.select("e1", "e2", "s", "voice_id", "name", "number"), "voices")
-
-    names = rows.groupBy("e1", "e2", "name").agg(F.first("number").alias("number"))
-    odd = roster(names)
-    # Gathered are the distinct names of a transcript, not its rows.
-    groups = odd.groupBy("e1", "e2").agg(F.collect_set(F.struct("name", "candidate", "cost")).alias("odd"))
-    taken = names.where("number is not null").groupBy("e1", "e2").agg(F.collect_set("number").alias("taken"))
-    resolved = groups.join(taken, ["e1", "e2"], "left").mapInPandas(_resolve, "e1 bigint, e2 bigint, name string, resolved int")
-    resolved = staged(resolved, "resolved")
+    count = rows.count()
 
     order = ["e1", "e2", "s", "voice_id"]
-    rows = rows.join(resolved, ["e1", "e2", "name"], "left").withColumn("speaker_no", F.coalesce("number", "resolved"))
-    rows = rows.where("speaker_no is not null").select(*order, "speaker_no")
+    rows = speaker_numbers(rows, ["e1", "e2"]).select(*order, "speaker_no")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
     scanned = staged(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan, SCAN_SCHEMA), "turns")
 
     line = Window.orderBy("pid")  # one row a range
@@ -192,10 +106,12 @@ def turn_rows(voices: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def speaker_turns(voices: DataFrame) -> DataFrame:
-    """Clean turns: turn_voice_id, media_path, speaker_no, start_ms, end_ms, n_rows and text.
+    """Clean turns: turn_voice_id, part_no, media_path, speaker_no, start_ms, end_ms, n_rows and text.
 
     The text joins the rows of the turn in order, without hesitations, sound notes, time marks, speaker
-    names and words said twice; see ``turn_rows`` for which rows count.
+    names and words said twice; see ``turn_rows`` for which rows count. A turn is one row with part 0; a
+    monologue of more than ``PART_ROWS`` rows comes in parts of that many, in order, so that no row grows
+    with the length of a recording.
     """
     rows = staged(turn_rows(voices), "turn-rows")
     parts = rows.join(voices.select("voice_id", "media_path", "start_time", "end_time", "transcribed_text"), "voice_id")
@@ -208,12 +124,14 @@ def speaker_turns(voices: DataFrame) -> DataFrame:
         millis(F.col("end_time")).alias("e"),
         clean_speech(F.col("transcribed_text")).alias("t"),
     )
-    turns = parts.groupBy("turn_voice_id").agg(
+    parts = numbered(parts, ["turn_voice_id"], ["s", "voice_id"], F.floor(F.col("s") / 600_000))
+    parts = parts.withColumn("part_no", F.floor((F.col("number") - 1) / PART_ROWS).cast("int"))
+    turns = parts.groupBy("turn_voice_id", "part_no").agg(
         F.min("media_path").alias("media_path"),
         F.max("speaker_no").alias("speaker_no"),
         F.min("s").alias("start_ms"),
         F.max("e").alias("end_ms"),
         F.count("*").alias("n_rows"),
-        F.array_sort(F.collect_list(F.struct("s", "voice_id", "t"))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("number", "t"))).alias("parts"),  # at most PART_ROWS
     )
     return turns.withColumn("text", F.array_join(F.transform("parts", lambda p: p["t"]), " ")).drop("parts")

@@ -4,7 +4,10 @@ import random
 import numpy as np
 import pytest
 
-from cuewright.llm.speaker_turns import assign, speaker_turns, turn_rows
+import cuewright.llm.speaker_turns as speaker_module
+from cuewright.llm.speaker_turns import speaker_turns, turn_rows
+from cuewright.operators.intervals import speech_periods
+from cuewright.operators.labels import assign
 
 KIND = "voice_id long, media_path string, start_time double, end_time double, speaker_label string, transcribed_text string, name string"
 
@@ -76,3 +79,28 @@ def test_assignment_is_optimal():
         found = assign(cost)
         assert len(set(found)) == n
         assert sum(cost[i, j] for i, j in enumerate(found)) == best
+
+
+def test_periods_and_turns_agree_on_speakers(spark):
+    labels = ["Speaker one", "SPK_1", "speakr_3", "Speakr thre", "spkr 3", "Speaker too", "unknown", None, "S２", "sprecher 4", "sprecer 4"]
+    rows = [(i, "/a", 10.0 * i, 10.0 * i + 1, label, "hello there") for i, label in enumerate(labels, 1)]
+    rows += [(50 + i, "/b", float(i), i + 0.5, label, "hello") for i, label in enumerate(["Speaker three", "Speaker two", "Sprecher 1"])]
+    df = table(spark, rows)
+    turned = {(r.speaker_no, r.start_ms) for r in speaker_turns(df).where("media_path = '/a'").collect()}
+    periods = {(r.speaker_no, r.start_ms) for r in speech_periods(df).where("media_path = '/a' and kind = 'period'").collect()}
+    of = {s // 10_000: n for n, s in periods}
+    assert {(n, s) for n, s in periods if (n, s) in turned} == turned
+    assert of == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 2, 9: 2, 10: 4, 11: 4}
+
+
+def test_a_monologue_comes_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(speaker_module, "PART_ROWS", 7)
+    rows = [(i, "/a", 60.0 * i, 60.0 * i + 30, "S1", f"word{i}") for i in range(1, 41)]
+    parts = sorted(speaker_turns(table(spark, rows)).collect(), key=lambda r: r.part_no)
+    assert [r.n_rows for r in parts] == [7] * 5 + [5] and {r.turn_voice_id for r in parts} == {1}
+    assert " ".join(r.text for r in parts) == " ".join(f"word{i}" for i in range(1, 41))
+
+
+def test_long_sound_notes_are_no_speech(spark):
+    rows = [(1, "/a", 0.0, 1.0, "S1", "[" + "a long note of what is heard " * 20 + "]"), (2, "/a", 1.0, 2.0, "S1", "*" + "rain falls " * 30 + "*"), (3, "/a", 2.0, 3.0, "S1", "word")]
+    assert turns(spark, rows) == [(3, 3)]
