@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,66 +13,89 @@ from cuewright.session import staged
 
 Pattern = tuple[tuple[int, int], ...]  #: (length, how many) of one container
 SALTS = 64
+SENT_PLACES = 500_000  #: rows of the plan (some 50 bytes each) sent to all tasks at most
+
+
+FREQUENT = 48  #: frequent lengths that every other length is combined with; what no combination takes is packed greedily
+SWEEPS = 60  #: of the least squares, at most
+ALL = 5  #: every so many sweeps all combinations are tried, in between those in use
 
 
-def combinations(histogram: dict[int, int], capacity: int, window: int, frequent: int = 48) -> list[Pattern]:
+def combinations(histogram: dict[int, int], capacity: int, window: int, frequent: int = FREQUENT) -> list[Pattern]:
     """Shallow combinations of lengths whose sum is at most ``window`` below the capacity.
 
     Pairs of every length with its best complement, triples of a frequent length, any other and the best
     complement, and containers filled with copies of one length and the best complement of the rest.
     """
-    lengths = np.array(sorted(histogram))
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+
+    def best(rest: np.ndarray) -> np.ndarray:
+        """The greatest length of at most ``rest``, 0 if there is none."""
+        k = np.searchsorted(lengths, rest, "right") - 1
+        return np.where(k >= 0, lengths[np.maximum(k, 0)], 0)
+
+    often = lengths[np.lexsort((lengths, -counts))[:frequent]]
+    a, b = (x.ravel() for x in np.meshgrid(lengths, often, indexing="ij"))
+    a, b = a[a + b < capacity], b[a + b < capacity]
+    none = np.zeros_like(lengths)
+    rows = [np.stack([lengths, none, none], 1), np.stack([lengths, best(capacity - lengths), none], 1), np.stack([a, b, best(capacity - a - b)], 1)]
+    rows = np.sort(np.concatenate(rows), 1)
+    total = rows.sum(1)
+    rows = np.unique(rows[(total >= capacity - window) & (total <= capacity)], axis=0)
     found: set[Pattern] = set()
 
-    def best(rest: int) -> int | None:
-        k = int(np.searchsorted(lengths, rest, "right")) - 1
-        return int(lengths[k]) if k >= 0 else None
-
     def keep(parts: list[int]) -> None:
-        if capacity - window <= sum(parts) <= capacity:
-            values, counts = np.unique(parts, return_counts=True)
-            if all(histogram[int(v)] >= c for v, c in zip(values, counts)):
-                found.add(tuple((int(v), int(c)) for v, c in zip(values, counts)))
-
-    by_count = sorted(histogram, key=lambda x: (-histogram[x], x))[:frequent]
-    for a in lengths.tolist():
-        keep([a])
-        if (b := best(capacity - a)) is not None:
-            keep([a, b])
-        copies = min(capacity // a, histogram[a])
+        uses = Counter(parts)
+        if all(histogram[v] >= c for v, c in uses.items()):
+            found.add(tuple(sorted(uses.items())))
+
+    for row in rows.tolist():
+        keep([v for v in row if v])
+    for length in lengths.tolist():
+        copies = min(capacity // length, histogram[length])
         for k in {copies, max(copies - 1, 1), max(copies // 2, 1)}:
-            parts = [a] * k
-            while len(parts) < k + 3 and (b := best(capacity - sum(parts))) is not None:
-                parts.append(b)
-            keep(parts)
-        for b in by_count:
-            if a + b < capacity and (c := best(capacity - a - b)) is not None:
-                keep([a, b, c])
+            parts, left = [length] * k, capacity - k * length
+            while len(parts) < k + 3 and (x := int(best(np.array(left)))):
+                parts.append(x)
+                left -= x
+            if 0 <= left <= window:
+                keep(parts)
     return sorted(found)
 
 
-def nonnegative_least_squares(patterns: list[Pattern], histogram: dict[int, int], sweeps: int = 60) -> np.ndarray:
+def nonnegative_least_squares(patterns: list[Pattern], histogram: dict[int, int], sweeps: int = SWEEPS) -> np.ndarray:
     """How often to use each pattern so that together they use up the histogram, in least squares.
 
     Coordinate descent: a pattern's step is exact and cut at zero. Patterns have few lengths, so a sweep
-    costs as much as they have entries.
+    costs as much as they have entries; most sweeps go over the patterns in use only. It ends when a sweep over
+    all changes no repeat by a twentieth, as repeats are rounded down.
     """
-    index = {length: i for i, length in enumerate(sorted(histogram))}
-    left = np.array([histogram[length] for length in sorted(histogram)], float)
-    columns = [(np.array([index[v] for v, _ in p]), np.array([c for _, c in p], float)) for p in patterns]
-    norms = [float((c * c).sum()) for _, c in columns]
-    x = np.zeros(len(patterns))
-    for _ in range(sweeps):
+    left = {length: float(n) for length, n in histogram.items()}
+    norms = [float(sum(c * c for _, c in p)) for p in patterns]
+    x = [0.0] * len(patterns)
+    use: list[int] = []
+    for sweep in range(sweeps):
+        whole = sweep % ALL == 0
         moved = 0.0
-        for k, (rows, counts) in enumerate(columns):
-            step = max(float(left[rows] @ counts) / norms[k], -x[k])
+        for k in range(len(patterns)) if whole else use:
+            old = x[k]
+            gain = 0.0
+            for v, c in patterns[k]:
+                gain += left[v] * c
+            if gain <= 0.0 and old == 0.0:
+                continue
+            step = max(gain / norms[k], -old)
             if step:
-                x[k] += step
-                left[rows] -= step * counts
+                x[k] = old + step
+                for v, c in patterns[k]:
+                    left[v] -= step * c
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
-            break
-    return x
+        if whole:
+            use = [k for k, v in enumerate(x) if v > 0.0]
+            if moved < 0.05:
+                break
+    return np.array(x)
 
 
 def plan(histogram: dict[int, int], capacity: int, window: int | None = None) -> list[tuple[Pattern, int]]:
@@ -165,7 +190,7 @@ def pack(items: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     place = place.groupBy("spec_name", "tokens").agg(F.array_sort(F.collect_list(F.struct("low", "high", "each", "pattern"))).alias("ps"))
     rank = F.row_number().over(Window.partitionBy("spec_name", "tokens", "salt").orderBy("item_id", "piece_no")) - 1
     ranked = rests.withColumn("r", rank).join(offset, ["spec_name", "tokens", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
-    ranked = ranked.join(F.broadcast(place), ["spec_name", "tokens"])
+    ranked = ranked.join(F.broadcast(place) if len(places) <= SENT_PLACES else place, ["spec_name", "tokens"])
     ranked = ranked.withColumn("p", F.filter("ps", lambda p: (p["low"] <= F.col("r")) & (F.col("r") < p["high"]))[0])
     number = F.floor((F.col("r") - F.col("p.low")) / F.col("p.each")).cast("bigint")
     mixed = ranked.select(
