@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuewright.functions.paths import base_name, clean_path, extension, stem
+from cuewright.functions.paths import base_name, extension, stem
 from cuewright.functions.text import EPISODE_PATTERN, title_and_year
 
 #: Extensions that a scan keeps, those that tell a kind of media, and those of videos to ingest.
@@ -33,15 +33,18 @@ def kind_by_extension(ext: Column, sets: dict[str, tuple[str, ...]] = SCANNED) -
 
 
 def checked_hint(hint: Column) -> Column:
-    """The hint if it names a kind, else ``unknown``."""
-    return F.when(F.lower(hint).isin(*KINDS), F.lower(hint)).otherwise("unknown")
+    """The hint if it is exactly the name of a kind, else ``unknown``."""
+    return F.when(hint.isin(*KINDS), hint).otherwise("unknown")
 
 
 def media_kind(path: Column, hint: Column) -> Column:
     """The kind of a file: a hint that is not unknown; else tv by season and episode in the name, movie
     by a title and a year, video, audio or image by extension, else personal."""
-    name = stem(path)
-    parsed = title_and_year(name)
+    return kind_from(path, hint, title_and_year(stem(path)))
+
+
+def kind_from(path: Column, hint: Column, parsed: Column) -> Column:
+    """``media_kind`` of a file whose title and year (a struct) are known already."""
     by_extension = kind_by_extension(extension(path), KNOWN)
     guessed = (
         F.when(base_name(path).rlike(EPISODE_PATTERN), "tv")
@@ -51,5 +54,3 @@ def media_kind(path: Column, hint: Column) -> Column:
     given = checked_hint(hint)
     return F.when(given != "unknown", given).otherwise(guessed)
 
-
-__all__ = ["INGESTED", "KINDS", "KNOWN", "SCANNED", "base_name", "checked_hint", "clean_path", "extension", "kind_by_extension", "media_kind", "stem"]

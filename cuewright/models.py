@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+import os
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
@@ -62,24 +64,55 @@ def with_vectors(df: DataFrame, text: str, encoder: Encoder | None = None, colum
     return df.withColumn(column, vectors(F.col(text)))
 
 
+class Prober(Protocol):
+    """Gives what a media file's container tells, as JSON: media (path) with a column probe; null where it cannot be read."""
+
+    def probe(self, media: DataFrame) -> DataFrame: ...
+
+
+class SubtitleExtractor(Protocol):
+    """Gives subtitle files inside media files: path, content (the bytes of an SRT file)."""
+
+    def embedded(self, media: DataFrame) -> DataFrame: ...
+
+
 class Transcriber(Protocol):
-    """Gives the words of audio files: media_path, segment, word_idx, word, start, end."""
+    """Recognises the speech of media files (path): segments (path, segment, text, start, end) and their
+    words (path, segment, word_idx, word, start, end), which may be empty."""
 
-    def words(self, media: DataFrame) -> DataFrame: ...
+    def recognised(self, media: DataFrame) -> tuple[DataFrame, DataFrame]: ...
 
 
 class Captioner(Protocol):
-    """Describes frames: the frames with a column action; failures as null."""
+    """Describes frames (video_path, frame_idx, timestamp, name): the frames with a column action; failures as null."""
 
     def describe(self, frames: DataFrame) -> DataFrame: ...
 
 
+class FaceFinder(Protocol):
+    """Finds faces in frames: video_path, timestamp, box (top, right, bottom, left), embedding."""
+
+    def faces(self, frames: DataFrame) -> DataFrame: ...
+
+
 class Diariser(Protocol):
-    """Gives voice segments: media_path, start, end, speaker_label, embedding."""
+    """Gives voice segments of media files (path): media_path, start, end, speaker_label, embedding."""
 
     def voices(self, media: DataFrame) -> DataFrame: ...
 
 
+@dataclass(frozen=True)
+class Adapters:
+    """The models that ingestion asks; what is missing gives nothing."""
+
+    prober: Prober | None = None
+    subtitles: SubtitleExtractor | None = None
+    transcriber: Transcriber | None = None
+    captioner: Captioner | None = None
+    face_finder: FaceFinder | None = None
+    diariser: Diariser | None = None
+
+
 class LanguageModel(Protocol):
     """Answers prompts."""
 
@@ -88,17 +121,30 @@ class LanguageModel(Protocol):
 
 @dataclass
 class Settings:
-    """Defaults of ingestion."""
+    """Defaults of ingestion; ``from_env`` takes those that the environment names."""
 
     frame_interval: float = 15.0
     batch_size: int = 24
     language: str = "ta"
+    voices: bool = True
     face_eps: float = 0.5
     face_min_samples: int = 3
     #: Recognition models by language.
     model_map: dict[str, list[str]] = field(default_factory=lambda: {"ta": ["large-v3", "large-v2"], "en": ["medium.en", "small.en"]})
     fallback_model: str = "medium"
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None) -> Settings:
+        """Settings by the names of their variables, in any case; values that cannot be read are an error."""
+        known = {k.upper(): v for k, v in (os.environ if env is None else env).items()}
+        out = cls()
+        yes = lambda v: v.strip().lower() in ("1", "true", "yes", "on")
+        kinds = {"FRAME_INTERVAL": ("frame_interval", float), "BATCH_SIZE": ("batch_size", int), "LANGUAGE": ("language", str), "ENABLE_VOICE_ANALYSIS": ("voices", yes), "WHISPER_MODEL_MAP": ("model_map", json.loads), "FALLBACK_MODEL_ID": ("fallback_model", str)}
+        for name, (field_name, read) in kinds.items():
+            if name in known:
+                setattr(out, field_name, read(known[name]))
+        return out
+
     def models_for(self, language: str) -> list[str]:
         return self.model_map.get(language) or [self.fallback_model]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.operators.components import components
 from cuewright.session import staged
 
-OWNED = 2048  #: rows that one task compares with the rows of its cell
+BLOCK = 4096  #: rows of each of the two blocks that one task compares
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -24,14 +24,39 @@ def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return out
 
 
-def dbscan(points: DataFrame, *, key: str = "id", vector: str = "embedding", eps: float = 0.5, min_samples: int = 3, pivots: int = 64, seed: int = 1) -> DataFrame:
+def _pairs_of_blocks(points: DataFrame, eps: float, seed: int) -> DataFrame:
+    """Points (id, weight, v) dealt to the pairs of blocks that may hold neighbours: i, j, side and the columns.
+
+    Blocks are ranges of a projection on one random direction, which never takes points farther apart than
+    they are: only blocks whose ranges are at most ``eps`` apart meet, each such pair once. A block meets those
+    from itself on up to a last one, so the pairs are kept as one number a block.
+    """
+    spark = points.sparkSession
+    first = points.first()
+    n = max(1, -(-points.count() // BLOCK))
+    turn = np.random.default_rng(seed).standard_normal(len(first.v) if first else 1)
+    turn = F.array(*[F.lit(float(x)) for x in turn / np.linalg.norm(turn)])
+    along = F.aggregate(F.zip_with("v", turn, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    ranged = staged(points.withColumn("along", along).repartitionByRange(n, "along").withColumn("block", F.spark_partition_id()), "ranged")
+    edges = ranged.groupBy("block").agg(F.min("along").alias("low"), F.max("along").alias("high")).orderBy("block").collect()  # a row a block
+    number, low, high = [r.block for r in edges], np.array([r.low for r in edges]), np.array([r.high for r in edges])
+    last = [int(np.nonzero(low <= high[i] + eps + 1e-9)[0].max()) for i in range(len(edges))]
+    reach = [(number[i], i, last[i], next(h for h in range(len(edges)) if last[h] >= i)) for i in range(len(edges))]
+    # As ranges are in order, the blocks before one that meet it are those from a first one on.
+    table = spark.createDataFrame(reach, "block int, at int, last int, first int")
+    ranged = ranged.drop("along").join(F.broadcast(table), "block")
+    mine = ranged.withColumn("i", F.col("at")).withColumn("j", F.explode(F.sequence("at", "last"))).withColumn("side", F.lit(0))
+    theirs = ranged.where("first < at").withColumn("i", F.explode(F.sequence("first", F.col("at") - 1))).withColumn("j", F.col("at")).withColumn("side", F.lit(1))
+    return mine.unionByName(theirs).drop("block", "at", "last", "first")
+
+
+def dbscan(points: DataFrame, *, key: str = "id", vector: str = "embedding", eps: float = 0.5, min_samples: int = 3, seed: int = 1) -> DataFrame:
     """DBSCAN by Euclidean distance: the key and its cluster, -1 for noise.
 
     Neighbours are at most ``eps`` away and include the point itself. Clusters are numbered by their
     smallest core key, from 0; a border point belongs to the lowest-numbered cluster with a core near it.
-    Equal vectors are compared once. Points are dealt to the cells of the nearest of ``pivots`` sampled
-    points, and also, to be compared with, to every cell whose pivot is at most 2 eps farther than the
-    nearest, which holds all their neighbours; a cell's own points are cut into blocks. Emitted are
+    Equal vectors are compared once. All points are compared in pairs of blocks of ``BLOCK`` rows, each pair
+    once, leaving out blocks that a projection shows to be too far apart; a task holds two blocks. Emitted are
     counts and the links that keep what is linked connected, never all pairs. Vectors of different
     lengths are an error; null keys and vectors that are null or hold a null or NaN are left out; an
     empty table gives an empty result.
@@ -40,54 +65,33 @@ def dbscan(points: DataFrame, *, key: str = "id", vector: str = "embedding", eps
     kind = points.schema[key].dataType.simpleString()
     rows = points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    rows = staged(rows.withColumn("h", F.xxhash64("v")), "points")
     sizes = rows.agg(F.count_distinct(F.size("v")).alias("n")).first().n
     if sizes > 1:
         raise ValueError("vectors must all have one length")
     # Copies of one vector are one point of that weight.
     distinct = staged(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "distinct")
-    centre = np.array([r.v for r in distinct.orderBy(F.xxhash64("v", F.lit(seed)), "id").limit(pivots).collect()] or [[0.0]])
-    sent = spark.sparkContext.broadcast(centre)  # at most ``pivots`` vectors
-
-    def deal(batches):
-        c = sent.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["v"].to_list())
-            d = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * v @ c.T))
-            own = d.argmin(1)
-            row, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * eps + 1e-6)
-            yield pd.DataFrame(
-                {"cell": cell, "owned": own[row] == cell, "id": pdf["id"].to_numpy()[row], "weight": pdf["weight"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]}
-            )
-
-    dealt = staged(distinct.select("id", "weight", "v").mapInPandas(deal, f"cell int, owned boolean, id {kind}, weight bigint, v array<double>"), "dealt")
-    blocks = dealt.where("owned").groupBy("cell").agg(F.ceil(F.count("*") / OWNED).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each pivot
-    with_blocks = dealt.join(blocks, "cell")
-    own = with_blocks.where("owned").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    all_rows = with_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Of names of their own, as both sides come from one table.
-    own = own.select(F.col("id").alias("own_id"), F.col("v").alias("own_v"), F.col("cell").alias("own_cell"), F.col("block").alias("own_block"))
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({"id": [], "n": []})
-        near = _near(np.stack(a["own_v"].to_list()), np.stack(b["v"].to_list()), eps)
-        return pd.DataFrame({"id": a["own_id"], "n": near @ b["weight"].to_numpy()})
-
-    counted = own.groupBy("own_cell", "own_block").cogroup(all_rows.groupBy("cell", "block")).applyInPandas(count, f"id {kind}, n bigint")
-    core = staged(counted.where(F.col("n") >= min_samples).select("id", F.lit(True).alias("core")), "core")
+    dealt = staged(_pairs_of_blocks(distinct, eps, seed), "dealt")
 
-    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """Links of a block's cores to other cores (rec 0), and of its other points to near cores (rec 1)."""
-        b = b[b["core"]]
+    def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        b = a if pdf["i"].iloc[0] == pdf["j"].iloc[0] else b
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "rec": []})
-        near = _near(np.stack(a["own_v"].to_list()), np.stack(b["v"].to_list()), eps)
-        ids, others, is_core = a["own_id"].to_numpy(), b["id"].to_numpy(), a["own_core"].to_numpy()
-        parent = {x: x for x in [*ids[is_core], *others]}
+            return a, b, np.zeros((len(a), len(b)), bool)
+        return a, b, _near(np.stack(a["v"].to_list()), np.stack(b["v"].to_list()), eps)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = sides(pdf)
+        out = pd.DataFrame({"id": a["id"], "n": near @ b["weight"].to_numpy()})
+        return out if b is a else pd.concat([out, pd.DataFrame({"id": b["id"], "n": near.T @ a["weight"].to_numpy()})])
+
+    counted = dealt.groupBy("i", "j").applyInPandas(count, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    core = staged(counted.where(F.col("n") >= min_samples).select("id", F.lit(True).alias("core")), "core")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of cores to other cores (rec 0), and of other points to near cores (rec 1)."""
+        a, b, near = sides(pdf)
+        ids, others, core_a, core_b = a["id"].to_numpy(), b["id"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
+        parent = {x: x for x in [*ids[core_a], *others[core_b]]}
 
         def find(x):
             while parent[x] != x:
@@ -96,26 +100,33 @@ def dbscan(points: DataFrame, *, key: str = "id", vector: str = "embedding", eps
             return x
 
         out = []
-        for i in np.nonzero(is_core)[0]:
-            for j in np.nonzero(near[i])[0]:
-                x, y = find(ids[i]), find(others[j])
+        both = near[np.ix_(core_a, core_b)]
+        own, other = ids[core_a], others[core_b]
+        for i in range(len(own)):
+            for j in np.nonzero(both[i])[0]:
+                x, y = find(own[i]), find(other[j])
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    out.append((ids[i], others[j], 0))
-        for i in np.nonzero(~is_core)[0]:
-            roots = {find(others[j]) for j in np.nonzero(near[i])[0]}
-            out += [(ids[i], r, 1) for r in roots]
+                    out.append((own[i], other[j], 0))
+        for names, cores, table, is_core in ((ids, others, near, core_b), (others, ids, near.T, core_a)):
+            edge = ~(core_a if table is near else core_b)
+            for i in np.nonzero(edge)[0]:
+                out += [(names[i], r, 1) for r in {find(cores[j]) for j in np.nonzero(table[i] & is_core)[0]}]
+            if b is a:
+                break
         return pd.DataFrame(out, columns=["a", "b", "rec"])
 
-    no = F.lit(False)
-    left = own.join(core.toDF("own_id", "own_core"), "own_id", "left").withColumn("own_core", F.coalesce("own_core", no))
-    right = all_rows.join(core, "id", "left").withColumn("core", F.coalesce("core", no))
-    pairs = left.groupBy("own_cell", "own_block").cogroup(right.groupBy("cell", "block"))
-    links = staged(pairs.applyInPandas(link, f"a {kind}, b {kind}, rec int"), "links")
+    flagged = dealt.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    links = staged(flagged.groupBy("i", "j").applyInPandas(link, f"a {kind}, b {kind}, rec int"), "links")
     roots = components(links.where("rec = 0").select("a", "b"))
     cores = core.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    number = cores.select("root").distinct()
-    number = number.withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # a row a cluster
+    # Numbered within ranges of the roots, whose counts are then added up: one row a range meets in one task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = staged(cores.select("root").distinct().repartitionByRange(n, "root").withColumn("pid", F.spark_partition_id()), "roots")
+    base = number.groupBy("pid").count()
+    base = base.select("pid", F.coalesce(F.sum("count").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = number.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy("root"))).join(F.broadcast(base), "pid")
+    number = number.select("root", (F.col("base") + F.col("r") - 1).alias("cluster"))
     cores = staged(cores.join(number, "root").select("id", "cluster"), "cores")
     border = links.where("rec = 1").join(cores.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
     label = distinct.select("id", "v").join(cores.unionByName(border), "id", "left").select("v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

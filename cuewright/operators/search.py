@@ -78,6 +78,9 @@ def top_k(
     return found.orderBy(F.col(score).desc() if near else F.col(score).asc(), key).limit(k)
 
 
+SENT_NUMBERS = 1 << 23  #: numbers in the vectors of queries (64 MB) sent to all tasks at once
+
+
 def top_k_batched(
     points: DataFrame,
     queries: DataFrame,
@@ -87,53 +90,97 @@ def top_k_batched(
     key: str = "id",
     metric: str = "cosine",
     threshold: float | None = None,
-    block: int = 2048,
+    block: int = 512,
 ) -> DataFrame:
     """The k best points for each of many queries: query_id, key, score, rank.
 
-    ``queries`` has query_id and vector. Queries are cut into blocks, points are scored against a block
-    with one matrix product, and each task keeps its best k of each query; these are then ranked by query.
-    Queries are read in blocks from disk-backed partitions, never sent whole to all tasks: each block of
-    queries meets each partition of points once.
+    ``queries`` has query_id and vector. As many queries as ``SENT_NUMBERS`` allows are sent to all tasks, each
+    of which streams its points past them, a block of queries and a batch of points a matrix product, and
+    hands on its best k of each query only; more queries take further passes over the points. Points are
+    never shuffled. Scores, ties and vectors that do not count are as in ``top_k``; null query ids are kept.
     """
-    spark = points.sparkSession
     near = metric == "cosine"
-    fit = lambda df, v: df.where(F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)))
-    queries = fit(queries.select(F.col("query_id"), F.col("vector").cast("array<double>").alias("q")), "q")
-    points = fit(points.select(F.col(key).alias("p_id"), F.col(vector).cast("array<double>").alias("v")), "v")
-    q_type, p_type = queries.schema["query_id"].dataType.simpleString(), points.schema["p_id"].dataType.simpleString()
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    p = points.withColumn("part", F.pmod(F.xxhash64("p_id"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        for size, qs in left.groupby(left["q"].map(len)):
-            ps = right[right["v"].map(len) == size]
-            if not len(ps) or not size:
-                continue
-            a, b = np.stack(qs["q"].to_list()), np.stack(ps["v"].to_list())
-            with np.errstate(all="ignore"):
-                if near:
-                    s = (a @ b.T) / np.sqrt((a * a).sum(1))[:, None] / np.sqrt((b * b).sum(1))[None, :]
-                else:
-                    s = -np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
-            s = np.round(s, ROUND)
-            ids = ps["p_id"].to_numpy()
-            for i, query in enumerate(qs["query_id"]):
-                ok = np.nonzero(np.isfinite(s[i]))[0]
-                best = ok[np.lexsort((ids[ok], -s[i][ok]))[:k]]
-                frames.append(pd.DataFrame({"query_id": query, "p_id": ids[best], "score": s[i][best] if near else -s[i][best]}))
-        return pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "p_id": [], "score": []})
-
-    found = q.groupBy("b", "part").cogroup(p.groupBy("b", "part")).applyInPandas(score, f"query_id {q_type}, p_id {p_type}, score double")
-    if threshold is not None:
-        found = found.where(F.col("score") >= threshold if near else F.col("score") <= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc() if near else F.col("score").asc(), "p_id")
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(F.col("q").isNotNull() & (F.size("q") > 0) & F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x)))
+    points = points.select(F.col(key).alias("p_id"), F.col(vector).cast("array<double>").alias("v"))
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("numbers")).first()
+    passes = max(1, -(-(size.numbers or 0) // SENT_NUMBERS))
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("pass", T.IntegerType()), T.StructField("p_id", points.schema["p_id"].dataType), T.StructField("score", T.DoubleType())])
+    spark = points.sparkSession
+    found, names = None, None
+    for turn in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("q", "query_id"), F.lit(passes)) == turn) if passes > 1 else queries
+        asked = own.collect()  # at most about SENT_NUMBERS numbers
+        groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in sorted({len(r.q) for r in asked}):
+            at = [i for i, r in enumerate(asked) if len(r.q) == length]
+            groups[length] = (np.array(at, np.int32), np.array([asked[i].q for i in at], np.float64))
+        sent = spark.sparkContext.broadcast(groups)
+        here = points.mapInArrow(_batched(sent, k, near, threshold, block, turn), schema)
+        ids = spark.createDataFrame([(i, turn, r.query_id) for i, r in enumerate(asked)], T.StructType([schema.fields[0], schema.fields[1], T.StructField("query_id", queries.schema["query_id"].dataType)]))
+        found, names = (here, ids) if found is None else (found.unionByName(here), names.unionByName(ids))
+    order = Window.partitionBy("pass", "query").orderBy(F.col("score").desc() if near else F.col("score").asc(), "p_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("p_id").alias(key), "score", "rank")
+    return ranked.join(names, ["pass", "query"]).select("query_id", F.col("p_id").alias(key), "score", "rank")
+
+
+def _batched(sent, k: int, near: bool, threshold: float | None, block: int, turn: int):
+    """Keeps the best k points of each query over the batches of a task."""
+
+    def best_of(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, sort_keys=[("query", "ascending"), ("score", "descending" if near else "ascending"), ("p_id", "ascending")])
+        table = table.take(order)
+        query = table.column("query").to_numpy()
+        first = np.r_[True, query[1:] != query[:-1]]
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+        return table.filter(pa.array(place < k))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = sent.value
+        held: list[pa.Table] = []
+        worst = {length: np.full(len(at), -np.inf) for length, (at, _) in groups.items()}
+        for batch in batches:
+            v = batch.column("v")
+            sizes = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+            for length, (at, q) in groups.items():
+                rows = np.nonzero(sizes == length)[0]
+                if not len(rows):
+                    continue
+                x = pc.list_flatten(v.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), length)
+                ids = batch.column("p_id").take(pa.array(rows))
+                with np.errstate(all="ignore"):
+                    square = (x * x).sum(1)
+                    for low in range(0, len(q), block):
+                        part = q[low : low + block]
+                        product = part @ x.T
+                        if near:
+                            s = product / np.sqrt((part * part).sum(1))[:, None] / np.sqrt(square)
+                        else:
+                            s = -np.sqrt(np.maximum((part * part).sum(1)[:, None] + square - 2 * product, 0))
+                        s = np.where(np.isfinite(s), s, -np.inf)
+                        edge = np.maximum(np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf), worst[length][low : low + block])
+                        # Rounding may change the order by as much as a step; candidates are then computed exactly.
+                        i, j = np.nonzero((s >= (edge - 3 * 10.0**-ROUND)[:, None]) & (s > -np.inf))
+                        if not near:
+                            s[i, j] = -np.sqrt(((part[i] - x[j]) ** 2).sum(1))
+                        value = np.round(s[i, j] if near else -s[i, j], ROUND)
+                        ok = np.isfinite(value)
+                        if threshold is not None:
+                            ok &= (value >= threshold) if near else (value <= threshold)
+                        i, j, value = i[ok], j[ok], value[ok]
+                        if len(i):
+                            held.append(pa.table({"query": pa.array(at[low + i]), "pass": pa.array(np.full(len(i), turn, np.int32)), "p_id": ids.take(pa.array(j)), "score": pa.array(value)}))
+            if sum(t.num_rows for t in held) > 4 * k * sum(len(at) for at, _ in groups.values()) + 100_000:
+                held = [best_of(pa.concat_tables(held))]
+                query, score = held[0].column("query").to_numpy(), held[0].column("score").to_numpy()
+                full = np.bincount(query, minlength=1 + max(int(at.max()) for at, _ in groups.values())) >= k
+                last = np.full(len(full), np.inf)
+                np.minimum.at(last, query, score if near else -score)
+                for length, (at, _) in groups.items():
+                    worst[length] = np.where(full[at], last[at], -np.inf)
+        if held:
+            yield from best_of(pa.concat_tables(held)).combine_chunks().to_batches()
+
+    return work
 
 
 def segment_hits(hits: DataFrame) -> DataFrame:
@@ -176,38 +223,67 @@ def counts_by(hits: DataFrame, modality: str = "modality") -> DataFrame:
     return hits.groupBy(modality).agg(F.count("*").alias("hits"))
 
 
-def close_names(queries: DataFrame, names: DataFrame, n: int = 5, cutoff: float = 0.3, block: int = 64) -> DataFrame:
+LETTERS = 64  #: groups of letters by which ratios are bounded
+
+
+def close_names(queries: DataFrame, names: DataFrame, n: int = 5, cutoff: float = 0.3, first: int = 0) -> DataFrame:
     """For each query (query_id, query) the n names most alike by the ratio of matching blocks.
 
     The same ratio and cut-off, and the same order among equals, as ``difflib.get_close_matches``: by
     ratio, then by name, both falling. ``names`` has name; equal names count once. Ratios are bounded
-    from above by lengths and letters before they are computed. Columns: query_id, name, ratio, rank.
+    from above by the letters that two names share, and computed from the greatest bound down until no
+    name left can be among the best n. With ``first``, a query that no name is like gets the first so many names
+    in their order, with a null ratio. Null queries and names are left out. Columns: query_id, name, ratio, rank.
     """
     spark = names.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pool = names.select("name").where("name is not null").distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
-    asked = queries.select("query_id", "query").where("query is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pool = names.select("name").where("name is not null").distinct()
+    asked = queries.select("query_id", "query").where("query is not null")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pool.count() // 20_000))
+    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = pool.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+
+    def letters(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), LETTERS), np.int32)
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        np.add.at(out, (owner, np.fromiter((ord(c) % LETTERS for t in texts for c in t), np.int64, len(owner))), 1)
+        return out
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
-        from heapq import nlargest
+        from heapq import heappush, heapreplace
 
         out = []
+        pool = right["name"].tolist()
+        have, size = letters(pool), np.array([len(x) for x in pool])
         for query_id, query in zip(left["query_id"], left["query"]):
+            if not pool:
+                continue
+            total = size + len(query)
+            bound = np.where(total > 0, 2.0 * np.minimum(have, letters([query])).sum(1) / np.maximum(total, 1), 1.0)
             m = SequenceMatcher()
             m.set_seq2(query)
-            found = []
-            for name in right["name"]:
-                m.set_seq1(name)
-                if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff:
-                    found.append((r, name))
-            out += [(query_id, name, r) for r, name in nlargest(n, found)]
+            best: list[tuple[float, str]] = []
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < cutoff or (len(best) == n and bound[i] < best[0][0]):
+                    break
+                m.set_seq1(pool[i])
+                if m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff:
+                    if len(best) < n:
+                        heappush(best, (r, pool[i]))
+                    elif (r, pool[i]) > best[0]:
+                        heapreplace(best, (r, pool[i]))
+            out += [(query_id, name, r) for r, name in best]
         return pd.DataFrame(out, columns=["query_id", "name", "ratio"])
 
     kind = asked.schema["query_id"].dataType.simpleString()
-    found = asked.groupBy("part").cogroup(pool.groupBy("part")).applyInPandas(work, f"query_id {kind}, name string, ratio double")
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(work, f"query_id {kind}, name string, ratio double")
     order = Window.partitionBy("query_id").orderBy(F.col("ratio").desc(), F.col("name").desc())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    if first:
+        some = [r.name for r in pool.orderBy("name").limit(first).collect()]
+        rest = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.posexplode(F.array(*[F.lit(x) for x in some]).cast("array<string>")).alias("rank", "name"))
+        ranked = ranked.unionByName(rest.select("query_id", "name", F.lit(None).cast("double").alias("ratio"), (F.col("rank") + 1).alias("rank")))
+    return ranked
 
 
 def batches(df: DataFrame, size: int = 16) -> Iterator[list]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from cuewright.functions.text import JUNK_PATTERNS
+from cuewright.sources.assets import EXCLUDED_DIRS
+
 CLEAN = "nullif(trim({0}, ' \"''`' || chr(9) || chr(10) || chr(13)), '')"
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 COS = f"round(list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6)"
@@ -22,11 +25,7 @@ NAMED_SQL = f"SELECT *, CASE WHEN coalesce(in_label, '') <> '' THEN in_label ELS
 
 STEM = r"regexp_replace(regexp_extract(p, '([^/\\]*)$', 1), '([^.])\.[^.]*$', '\1')"
 _TITLE = """regexp_replace(regexp_replace(raw, '\\[.*?\\]', ' ', 'g'), '\\(.*?\\)', ' ', 'g')"""
-for _junk in (
-    r"\b\d{3,4}p\b", r"\b\d{3,4}x\d{3,4}\b", r"\b(?:x|h|hevc)?26[45]\b", r"\b(?:hdrip|webrip|web[-_. ]?dl|bluray|b[dr]rip|dvdrip)\b",
-    r"\b(?:dts|aac|ac3|flac|ddp? ?5[.\s]?1)\b", r"\b(?:repack|proper|extended|remastered|unrated|uncut)\b", r"\b(?:esub[s]?|subs?)\b",
-    r"\b(?:multi|dual[ -]?audio)\b", r"\b(?:yts|yify|rarbg|evo|hive|lol|ettv|ntb)\b", r"\b(?:hc)?camrip\b", r"\b(?:hdr|dolby[ -]?vision|atmos)\b",
-):
+for _junk in JUNK_PATTERNS:
     _TITLE = f"regexp_replace({_TITLE}, '{_junk}', ' ', 'gi')"
 TITLES = rf"""
   SELECT file_id, stem, p, media_type, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'), ' -_.') AS title, year FROM (
@@ -37,7 +36,7 @@ TITLES = rf"""
             SELECT *, {STEM} AS stem FROM (SELECT file_id, media_type, {CLEAN.format("path")} AS p FROM media_files))))))
 """
 EXT = r"lower(regexp_extract(regexp_extract(p, '([^/\\]*)$', 1), '[^.]\.([^.]+)$', 1))"
-HINT = "CASE WHEN lower(media_type) IN ('video','audio','image','movie','tv','personal','unknown') THEN lower(media_type) ELSE 'unknown' END"
+HINT = "CASE WHEN media_type IN ('video','audio','image','movie','tv','personal','unknown') THEN media_type ELSE 'unknown' END"
 GUESS = rf"""CASE WHEN regexp_matches(regexp_extract(p, '([^/\\]*)$', 1), '[sS]\d{{2}}[eE]\d{{2}}') THEN 'tv' WHEN title <> '' AND year IS NOT NULL THEN 'movie'
   WHEN {EXT} IN ('mp4','mkv','avi','mov','wmv','flv','webm') THEN 'video' WHEN {EXT} IN ('mp3','aac','flac','wav','ogg','m4a') THEN 'audio'
   WHEN {EXT} IN ('jpg','jpeg','png','webp','bmp','tiff') THEN 'image' ELSE 'personal' END"""
@@ -54,7 +53,62 @@ UNION ALL SELECT 'dialogue', printf('%.2f', score), printf('%.2fs', vec_id / 4.0
 MS = "CAST(round_even({0} * 1000, 0) AS BIGINT)"
 STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} % 3600000 // 60000, {0} % 60000 // 1000, {0} % 1000)"
 
+NAMED = f"""SELECT lpad(vec_id::VARCHAR, 8, '0') AS id, vec_id, label, {COS} AS cos, {DIST} AS dist, '/v/' || label || '.mkv' AS video_path, vec_id / 4.0 AS t0,
+  CASE WHEN vec_id % 3 > 0 THEN 'dialogue' END AS type FROM embeddings"""
+EXCLUDED = "|".join(x.replace(".", r"\.").replace("+", r"\+") for x in EXCLUDED_DIRS)
+CUED = f"""SELECT coalesce({CLEAN.format("video_path")}, '-') AS path, trim(seg_text, {WHITE}) AS text, start_s AS s,
+  coalesce(CASE WHEN isnan(end_s) THEN NULL ELSE end_s END, start_s + 2.0) AS e FROM media_segments WHERE NOT isnan(start_s)"""
+
 ORACLES = {
+    "hit_segments": f"""
+SELECT cos AS score, 'line ' || vec_id AS text, t0 AS start, t0 + 2 AS "end", video_path, type FROM ({NAMED}) WHERE label = 3 AND type = 'dialogue' ORDER BY cos DESC, id LIMIT 7""",
+    "hit_frames": f"""
+SELECT cos AS score, 'scene ' || vec_id AS action, t0 AS timestamp, video_path, coalesce(type, 'visual') AS type FROM ({NAMED}) WHERE cos >= 0.05 ORDER BY cos DESC, id LIMIT 50""",
+    "hit_faces": f"SELECT dist AS score, id, NULL::VARCHAR AS name, label AS cluster_id FROM ({NAMED}) ORDER BY dist, id LIMIT 5",
+    "path_hits": f"SELECT vec_id, cos AS score FROM ({NAMED}) WHERE label = 5 ORDER BY cos DESC, id LIMIT 10",
+    "store_upsert": f"""
+WITH p AS (SELECT segment_id, ingested_at, video_path, trim(seg_text, {WHITE}) AS text, start_s AS start, coalesce(CASE WHEN isnan(end_s) THEN NULL ELSE end_s END, start_s + 2.0) AS "end"
+  FROM media_segments WHERE trim(seg_text, {WHITE}) <> '' AND start_s IS NOT NULL AND NOT isnan(start_s) AND video_path IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_path, start ORDER BY ingested_at DESC NULLS LAST, segment_id DESC) AS r, {SHA.format("video_path || '_' || (start::VARCHAR)")} AS h FROM p)
+SELECT {UUID5} AS id, video_path, start, "end", sha1(CASE WHEN "end" - start > 3 THEN 'again: ' ELSE '' END || text) AS text_hash, 'dialogue' AS type, 384 AS dim FROM r WHERE r = 1""",
+    "store_append": f"""
+SELECT {CLEAN.format("video_path")} AS video_path, 2 * count(*) AS faces, 2 * count(*) AS ids FROM detected_faces
+WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY 1""",
+    "store_frames": rf"""
+WITH f AS (SELECT video_path, action_text, row_number() OVER (PARTITION BY video_path, frame_ts ORDER BY frame_id DESC) AS r FROM media_frames
+  WHERE video_path IS NOT NULL AND isfinite(frame_ts) AND frame_ts >= 0 AND trim(coalesce(action_text, ''), {WHITE}) <> '')
+SELECT video_path, CASE WHEN regexp_matches(lower(action_text), '^\s*\[?(error|failed)\b') THEN 'failed' ELSE 'stored' END AS state, count(*) AS frames FROM f WHERE r = 1 GROUP BY 1, 2""",
+    "voice_vectors": """
+SELECT vec_id, least(1.0 + label, 31.0) AS "end", round(sqrt(list_sum(list_transform(e, lambda x: (x / (n + 1e-9)) * (x / (n + 1e-9))))), 6) AS length, round(e[1] / (n + 1e-9), 6) AS "first"
+FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) WHERE label >= 0.8 AND label <> 4""",
+    "written_cues": f"SELECT path, count(*) AS cues FROM ({CUED}) WHERE text <> '' AND e - s >= 0.2 GROUP BY path",
+    "frame_counts": f"""
+SELECT {CLEAN.format("media_path")} AS video_path, sum(ceil(duration_s / 15.0))::BIGINT AS frames, max((ceil(duration_s / 15.0) - 1) * 15.0) AS "last" FROM transcriptions
+WHERE duration_s > 0 AND NOT isnan(duration_s) GROUP BY 1""",
+    "message_texts": f"""
+SELECT doc_id, substr(text, 1, 30) AS preview, 'org_' || coalesce(replace(source, '/', '_'), 'none') AS folder,
+  trim(array_to_string(list_filter([' ', lang, source], lambda x: x IS NOT NULL), chr(10)), {WHITE}) AS parts FROM documents""",
+    "cache_keys": """
+SELECT face_id, sha1(video_path || concat_ws(',', bbox.box_top, bbox.box_right, bbox.box_bottom, bbox.box_left) || 'v1') AS key FROM detected_faces WHERE bbox IS NOT NULL AND video_path IS NOT NULL""",
+    "probe_answers": "SELECT transcription_id, round(coalesce(duration_s, 0), 3) AS seconds FROM transcriptions",
+    "scanned_defaults": rf"""
+SELECT file_id, CASE WHEN e IN ('mp4','mkv','mov','avi','webm','m4v') THEN 'video' WHEN e IN ('mp3','wav','aac','flac','m4a','ogg') THEN 'audio' ELSE 'image' END AS media_type
+FROM (SELECT file_id, p, {EXT} AS e FROM (SELECT *, {CLEAN.format("path")} AS p FROM media_files))
+WHERE e IN ('mp4','mkv','mov','avi','webm','m4v','mp3','wav','aac','flac','m4a','ogg','jpg','jpeg','png','webp','bmp','tiff')
+  AND NOT regexp_matches(p, '(^|[/\\])({EXCLUDED}|\.[^/\\]*)[/\\]') AND NOT regexp_matches(p, '(^|[/\\])\.[^/\\]*$')""",
+    "sentence_fold": rf"""
+WITH RECURSIVE s AS (SELECT transcription_id, (i - 1)::INT AS segment_no, coalesce(x.seg_text, '') AS text, x.start_s AS a, coalesce(x.end_s, x.start_s + 2.0) AS b FROM (
+  SELECT transcription_id, unnest(segments) AS x, generate_subscripts(segments, 1) AS i FROM transcriptions) WHERE x.start_s IS NOT NULL),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	
+
+]+'), lambda x: x <> '') AS ws FROM s),
+f AS (SELECT transcription_id, segment_no, a, (b - a) / len(ws) AS step, ws, 1 AS k, a AS start, '' AS acc, 0 AS no, NULL::VARCHAR AS done, 0.0::DOUBLE AS s, 0.0::DOUBLE AS e FROM w WHERE len(ws) > 0
+  UNION ALL SELECT transcription_id, segment_no, a, step, ws, k + 1, CASE WHEN flush THEN stop ELSE start END, CASE WHEN flush THEN '' ELSE full_text END,
+    CASE WHEN flush THEN no + 1 ELSE no END, CASE WHEN flush OR k = len(ws) THEN full_text END, start, stop FROM (
+    SELECT *, acc || ' ' || ws[k] AS full_text, a + step * k AS stop, (a + step * k - start) > 6 OR regexp_matches(ws[k], '[?.!]$') AS flush FROM f WHERE k <= len(ws)))
+SELECT transcription_id, segment_no, (row_number() OVER (PARTITION BY transcription_id, segment_no ORDER BY k) - 1)::INT AS sentence_no, trim(done, {WHITE}) AS text, round(s + 1e-7, 4) AS start, round(e + 1e-7, 4) AS "end"
+FROM f WHERE done IS NOT NULL
+UNION ALL SELECT transcription_id, segment_no, 0, trim(text, {WHITE}), round(a + 1e-7, 4), round(b + 1e-7, 4) FROM w WHERE len(ws) = 0""",
     "topk_cosine": f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
     "topk_cosine_filtered": f"SELECT vec_id, label, {COS} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10",
     "topk_threshold": f"SELECT vec_id, {COS} AS score FROM embeddings WHERE {COS} >= 0.15 ORDER BY score DESC, vec_id LIMIT 50",
@@ -122,7 +176,7 @@ SELECT doc_id, len(a)::INT AS actors, array_to_string(a, '|') AS names FROM (
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' {} ' || p_type ELSE p_name || chr(10) || chr(10) || '## JSON Output Schema' || chr(10) || '{}' END AS prompt FROM part""",
     "point_ids": f"""
 SELECT segment_id, id, id = point_id AS as_stored FROM (SELECT segment_id, point_id, {UUID5} AS id FROM (
-  SELECT *, {SHA.format("video_path || '_' || (start_s::VARCHAR)")} AS h FROM media_segments WHERE video_path IS NOT NULL AND isfinite(start_s) AND start_s >= 0.001 AND start_s < 10000000))""",
+  SELECT *, {SHA.format("video_path || '_' || (start_s::VARCHAR)")} AS h FROM media_segments WHERE video_path IS NOT NULL AND NOT isnan(start_s)))""",
     "frame_ids": f"""
 SELECT frame_id, {UUID5} AS id FROM (SELECT frame_id, {SHA.format("video_path || '_' || printf('%.3f', frame_ts)")} AS h FROM media_frames
   WHERE video_path IS NOT NULL AND isfinite(frame_ts) AND frame_ts >= 0)""",
@@ -136,11 +190,11 @@ SELECT video_path, i::INT AS frame_idx, i * 15.0 AS timestamp, 'frame_' || lpad(
     "srt_cues": f"""
 SELECT path, row_number() OVER (PARTITION BY path ORDER BY s, e, text) AS cue_no, {STAMP.format("ms")} AS from_ts, {STAMP.format("me")} AS to_ts, text FROM (
   SELECT *, {MS.format("s")} AS ms, {MS.format("e")} AS me FROM (SELECT coalesce({CLEAN.format("video_path")}, '-') AS path, trim(seg_text, {WHITE}) AS text, start_s AS s,
-    coalesce(CASE WHEN isnan(end_s) THEN NULL ELSE end_s END, start_s + 2.0) AS e FROM media_segments WHERE start_s >= 0 AND NOT isnan(start_s)) WHERE text <> '' AND e - s >= 0.2)""",
+    coalesce(CASE WHEN isnan(end_s) THEN NULL ELSE end_s END, start_s + 2.0) AS e FROM media_segments WHERE NOT isnan(start_s)) WHERE text <> '' AND e - s >= 0.2)""",
     "srt_round_trip": rf"""
 SELECT segment_id, {MS.format("s")} / 1000.0 AS start, {MS.format("e")} / 1000.0 AS "end", text FROM (
   SELECT segment_id, trim(regexp_replace(seg_text, '\s+', ' ', 'g'), {WHITE}) AS text, start_s AS s, coalesce(CASE WHEN isnan(end_s) THEN NULL ELSE end_s END, start_s + 2.0) AS e
-  FROM media_segments WHERE start_s >= 0 AND NOT isnan(start_s)) WHERE text <> '' AND e - s >= 0.2""",
+  FROM media_segments WHERE NOT isnan(start_s)) WHERE text <> '' AND e - s >= 0.2""",
     "srt_times": f"SELECT event_id, {STAMP.format('m')} AS shown, m / 1000.0 AS seconds FROM (SELECT event_id, {MS.format('value * 37')} AS m FROM events)",
     "subtitle_choice": f"""
 SELECT video_path, b.kind AS kind, b.path AS path FROM (SELECT video_path, min({{'o': o, 'kind': kind, 'path': path}}) AS b FROM (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import parsed_json
@@ -35,11 +35,33 @@ def frame_manifest(videos: DataFrame, path: str = "video_path", duration: str =
     return rows.withColumns({"timestamp": F.col("frame_idx") * F.lit(interval), "name": name})
 
 
+def processed_frames(frames: DataFrame) -> int:
+    """How many frames there are of videos with a path."""
+    return frames.where("video_path is not null").count()
+
+
 def missing(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet: what a cache has to compute."""
     return wanted.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def cached(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors kept below a folder: key, embedding; none if there is no such folder."""
+    shape = "key string, embedding array<float>"
+    try:
+        return spark.read.schema(shape).parquet(folder)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], shape)
+
+
+def keep(vectors: DataFrame, folder: str) -> None:
+    """Put vectors (key, embedding) into the cache below a folder, those of keys it has not yet; null vectors are not kept."""
+    rows = vectors.where("key is not null and embedding is not null").dropDuplicates(["key"])
+    missing(rows, cached(vectors.sparkSession, folder), "key").select("key", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(folder)
+
+
 def lookup_metadata(works: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Plot and cast of films and shows from two lookup tables, the first before the second.
 

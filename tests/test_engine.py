@@ -3,11 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.__main__ import main
+from cuewright.__main__ import chosen_path, main
 from cuewright.api import Engine
 from cuewright.logs import event_log
-from cuewright.models import HashingEncoder, Settings, encode_texts, load_prompt
+from cuewright.models import Adapters, HashingEncoder, Settings, encode_texts, load_prompt
+from cuewright.operators import store
 from cuewright.operators.store import COLLECTIONS, face_clusters, mean_vectors
+from cuewright.sources.media import cached, keep, missing
 from cuewright.streaming.ingest import ingest_subtitles
 
 
@@ -45,7 +47,12 @@ def test_search_options(spark, engine):
     assert engine.search_media("red car", segment_type="visual").count() == 0
     text = engine.call_tool("search_media", json.dumps({"query": "red car", "limit": 5}))
     assert "Dialogue matches: 3" in text
-    assert engine.call_tool("search_media", "not json").startswith("Visual matches")
+    assert text.startswith("Search results for: 'red car'\nVisual matches: 0\nDialogue matches: 3\n- [D] 0.00s /a: red car\n")
+    assert engine.call_tool("search_media", "not json").startswith("Search results for: ''\nVisual matches: 0")
+    assert engine.call_tool("search_media", {"query": "x", "limit": 99}).startswith("search_media failed with error: ")
+    assert engine.search_media("red car", 1).columns == ["score", "text", "start", "end", "video_path", "type"]
+    assert engine.search_frames("red car").columns == ["score", "action", "timestamp", "video_path", "type"]
+    assert engine.search_face([1.0] * 128).columns == ["score", "id", "name", "cluster_id"]
     assert engine.call_tool("nothing", {}) == "Unknown tool: nothing"
 
 
@@ -112,3 +119,100 @@ def test_aggregates(spark):
     assert [tuple(r) for r in face_clusters(faces).collect()] == [(0, 2, "a")]
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0])], "k string, embedding array<float>")
     assert mean_vectors(vectors, "k").first().embedding_avg == [2.0, 3.0]
+
+
+def test_writes_add_only_their_rows_until_they_are_made_one(spark, engine, monkeypatch):
+    monkeypatch.setattr(store, "COMPACTED_AT", 4)
+    for i in range(6):
+        engine.ingest_segments(lines(spark, [("/v", f"text {i}", 1.0, 2.0), ("/v", f"other {i}", 10.0 + i, None)]))
+        got = {r.text for r in engine.store.read("media_segments").collect()}
+        assert got == {f"text {i}", *(f"other {k}" for k in range(i + 1))}
+    writes = engine.store.writes("media_segments")
+    assert writes[0].endswith("-all") and len(writes) == 3
+    again = store.PointStore(spark, engine.store.folder)
+    assert again.read("media_segments").count() == 7
+    assert spark.read.parquet(f"{engine.store.folder}/media_segments/{writes[-1]}").count() == 2
+
+
+def test_a_write_that_did_not_end_is_not_seen(spark, engine):
+    engine.ingest_segments(lines(spark, [("/v", "a", 1.0, 2.0)]))
+    lines(spark, [("/v", "b", 3.0, 4.0)]).write.parquet(f"{engine.store.folder}/media_segments/_tmp-x")
+    assert engine.store.read("media_segments").count() == 1
+
+
+class Told:
+    """Stands in for all models."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def probe(self, media):
+        return media.withColumn("probe", F.when(F.col("path").contains("broken"), F.lit("no json")).otherwise(F.lit('{"format": {"duration": "31.5"}}')))
+
+    def embedded(self, media):
+        srt = "1\n00:00:01,000 --> 00:00:02,000\nfrom inside\n"
+        return media.where("path like '%inside%'").select("path", F.lit(srt).cast("binary").alias("content"))
+
+    def recognised(self, media):
+        assert {r.path for r in media.collect()} == {"/m/broken.mkv", "/m/speech.mkv"}
+        segments = media.where("path like '%speech%'").select("path", F.lit(0).alias("segment"), F.lit("hello there friend").alias("text"), F.lit(0.0).alias("start"), F.lit(3.0).alias("end"))
+        words = segments.select("path", "segment", F.posexplode(F.array(*[F.lit(x) for x in (" hello.", " there", " friend")])).alias("word_idx", "word"))
+        return segments, words.select("*", F.col("word_idx").cast("double").alias("start"), (F.col("word_idx") + 1).cast("double").alias("end"))
+
+    def describe(self, frames):
+        return frames.withColumn("action", F.when(F.col("frame_idx") == 1, "Error: no model").when(F.col("frame_idx") == 0, "a red car"))
+
+    def faces(self, frames):
+        vector = F.array_repeat(F.lit(1.0), 128)
+        return frames.select("video_path", "timestamp", F.when(F.col("frame_idx") == 0, vector).alias("embedding"))
+
+    def voices(self, media):
+        return media.select(F.col("path").alias("media_path"), F.lit(0.0).alias("start"), F.lit(5.0).alias("end"), F.lit("S0").alias("speaker_label"), F.array_repeat(F.lit(2.0), 256).alias("embedding"))
+
+
+def test_ingestion_through_all_models(spark, tmp_path):
+    told = Told(spark)
+    engine = Engine(spark, str(tmp_path / "s"), adapters=Adapters(told, told, told, told, told, told), settings=Settings())
+    files = spark.createDataFrame([("/m/beside.mkv", "video"), ("/m/inside.mkv", "unknown"), ("/m/speech.mkv", "unknown"), ("/m/broken.mkv", "VIDEO"), (None, None)], "file_path string, media_type string")
+    srt = "1\n00:00:01,000 --> 00:00:02,000\n{}\n"
+    listing = [("/m/beside.ta.srt", srt.format("in Tamil")), ("/m/beside.srt", srt.format("in English")), ("/m/inside.srt", "no cues")]
+    listing = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in listing], "path string, content binary")
+    assert engine.ingest_files(files, listing) == {"segments": 4, "voices": 4, "frames": 9, "faces": 3}
+    got = {(r.video_path, r.text) for r in engine.store.read("media_segments").collect()}
+    assert got == {("/m/beside.mkv", "in Tamil"), ("/m/inside.mkv", "from inside"), ("/m/speech.mkv", "hello."), ("/m/speech.mkv", "there friend")}
+    assert {r.duration for r in engine.store.read("assets").collect()} == {31.5, 0.0}
+    assert engine.store.read("media_frames").count() == 3 and engine.store.rejected_frames().count() == 3
+    assert engine.store.read("faces").count() == 3 and engine.store.read("voice_segments").count() == 4
+    assert engine.call_tool("ingest_media", {"file_path": "/no.mkv"}) == "Ingestion result for /no.mkv: File not found: /no.mkv (media_type_hint=unknown)"
+
+
+def test_settings_of_the_environment():
+    given = Settings.from_env({"frame_interval": "5", "LANGUAGE": "en", "ENABLE_VOICE_ANALYSIS": "false", "WHISPER_MODEL_MAP": '{"en": ["x"]}', "OTHER": "1"})
+    assert (given.frame_interval, given.language, given.voices, given.models_for("en")) == (5.0, "en", False, ["x"])
+    assert Settings.from_env({}) == Settings()
+    with pytest.raises(ValueError):
+        Settings.from_env({"BATCH_SIZE": "many"})
+
+
+def test_a_file_is_chosen_among_like_ones(spark, tmp_path):
+    for name in ("Silver Lake (1999).mkv", "Golden Hill (2001).mp4", "notes.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    exact = str(tmp_path / "Silver Lake (1999).mkv")
+    assert chosen_path(spark, f'"{exact}"') == exact
+    assert chosen_path(spark, str(tmp_path / "Silver Lakes 1999.mkv"), lambda _: "1") == exact
+    assert chosen_path(spark, str(tmp_path / "#"), lambda _: "2") == exact  # none is like it: all in order
+    for choice in ("", "9", "x"):
+        with pytest.raises(SystemExit):
+            chosen_path(spark, str(tmp_path / "Silver.mkv"), lambda _: choice)
+    with pytest.raises(SystemExit):
+        chosen_path(spark, str(tmp_path / "none" / "x.mkv"))
+
+
+def test_cache_of_vectors(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    assert cached(spark, folder).count() == 0
+    rows = spark.createDataFrame([("a", [1.0]), ("a", [1.0]), ("b", None), (None, [2.0])], "key string, embedding array<float>")
+    for _ in range(2):
+        keep(rows, folder)
+    assert [tuple(r) for r in cached(spark, folder).collect()] == [("a", [1.0])]
+    assert [r.key for r in missing(rows.where("key is not null"), cached(spark, folder), "key").collect()] == ["b"]

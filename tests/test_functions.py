@@ -43,7 +43,7 @@ def test_title_of_null(spark):
     ("path", "hint", "kind"),
     [
         ("/a/Show.S01E02.mkv", "unknown", "tv"),
-        ("/a/Show.S01E02.mkv", "MOVIE", "movie"),
+        ("/a/Show.S01E02.mkv", "MOVIE", "tv"),
         ("/a/Movie (2010).mkv", "nonsense", "movie"),
         ("/a/2012.mkv", None, "video"),
         ("/a/x.M4V", "unknown", "personal"),

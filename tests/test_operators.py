@@ -190,8 +190,9 @@ def plain_dbscan(rows, eps, least):
     return label
 
 
-@pytest.mark.parametrize(("eps", "pivots"), [(0.5, 1), (0.5, 12), (0.25, 5)])
-def test_dbscan_against_plain(spark, eps, pivots):
+@pytest.mark.parametrize(("eps", "block"), [(0.5, 4096), (0.5, 12), (0.25, 5)])
+def test_dbscan_against_plain(spark, monkeypatch, eps, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
     rng = np.random.default_rng(4)
     rows = {}
     for c in range(6):
@@ -200,7 +201,7 @@ def test_dbscan_against_plain(spark, eps, pivots):
     for i in range(8):
         rows[len(rows)] = rows[i]
     df = spark.createDataFrame(list(rows.items()), "id long, embedding array<float>").repartition(3)
-    got = {r.id: r.cluster for r in cluster.dbscan(df, eps=eps, pivots=pivots).collect()}
+    got = {r.id: r.cluster for r in cluster.dbscan(df, eps=eps).collect()}
     assert got == plain_dbscan(rows, eps, 3)
 
 
@@ -220,3 +221,38 @@ def test_latest(spark):
 def test_batches(spark):
     sizes = [len(b) for b in search.batches(spark.range(40), 16)]
     assert sizes == [16, 16, 8]
+
+
+def test_blocks_far_apart_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 10)
+    rows = [(i, float(i), [float(i), 0.0]) for i in range(200)]
+    points = spark.createDataFrame([(i, 1, v) for i, _, v in rows], "id long, weight long, v array<double>")
+    dealt = cluster._pairs_of_blocks(points, 1.5, 1)
+    blocks = dealt.select("i").distinct().count()
+    assert blocks >= 15 and dealt.select("i", "j").distinct().count() <= 3 * blocks
+    assert dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= 60
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclid"])
+def test_batched_search_in_passes(spark, monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    base = np.round(rng.standard_normal((120, 4)), 1)
+    rows = [(f"p{i:03d}", [float(x) for x in base[i % 90]]) for i in range(120)] + [("null", None), ("short", [1.0]), ("zero", [0.0] * 4), ("nan", [float("nan")] * 4)]
+    points = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 120, 7)] + [(900, [1.0]), (901, None)], "query_id int, vector array<float>")
+    whole = {(r.query_id, r["rank"]): (r.id, r.score) for r in search.top_k_batched(points, asked, 4, metric=metric, block=3).collect()}
+    monkeypatch.setattr(search, "SENT_NUMBERS", 20)
+    assert whole == {(r.query_id, r["rank"]): (r.id, r.score) for r in search.top_k_batched(points, asked, 4, metric=metric).collect()}
+    for query_id, vector in asked.where("query_id < 900").collect():
+        one = search.top_k(points, vector, 4, metric=metric).collect()
+        assert [(r.id, r.score) for r in one] == [whole[query_id, k] for k in range(1, 5)]
+    assert whole[900, 1][0] == "short" and (901, 1) not in whole
+    assert search.top_k_batched(points.limit(0), asked, 2).count() == 0 and search.top_k_batched(points, asked.limit(0), 2).count() == 0
+
+
+def test_names_without_a_match_get_the_first(spark):
+    names = spark.createDataFrame([(f"n{i:02d}.mkv",) for i in range(30)] + [(None,)], "name string")
+    got = search.close_names(spark.createDataFrame([(1, "####"), (2, "n07.mkv")], "query_id int, query string"), names, n=3, cutoff=0.6, first=10)
+    rows = got.orderBy("query_id", "rank").collect()
+    assert [r.name for r in rows if r.query_id == 1] == [f"n{i:02d}.mkv" for i in range(10)] and all(r.ratio is None for r in rows if r.query_id == 1)
+    assert rows[10].name == "n07.mkv" and rows[10].ratio == 1.0 and len(rows) == 13
