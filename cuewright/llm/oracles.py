@@ -75,5 +75,34 @@ WHERE length(regexp_replace(s.seg_text, '^\s+|\s+$', '', 'g')) > 600
 }
 
 
+_MEDIA = "trim(media_path, ' \"''`' || chr(9) || chr(10) || chr(13))"
+_TURNS = ORACLES["p3_found"].strip()
+_OPENED = _TURNS[: _TURNS.rindex("SELECT last_value")]
+SOURCE = r"coalesce(nullif(regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g'), ''), 'unknown')"
+STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SIZES = ORACLES["p7_found"].strip()
+ORACLES |= {
+    "p3_times": f"""{_OPENED.rstrip()},
+t AS (SELECT last_value(opens IGNORE NULLS) OVER (PARTITION BY media_path ORDER BY start_time, voice_id ROWS UNBOUNDED PRECEDING) AS turn_voice_id, voice_id, spk FROM c)
+SELECT turn_voice_id, min({_MEDIA}) AS media_path, min(spk)::INT AS speaker_no, min(round(start_time * 1000)::BIGINT) AS start_ms, max(round(end_time * 1000)::BIGINT) AS end_ms, count(*) AS n_rows
+FROM t JOIN speaker_segments USING (voice_id) GROUP BY turn_voice_id""",
+    "p4_checks": f"""
+SELECT 'media_segments' AS origin, segment_id AS item_id, 0 AS item_no, sha1({STRIPPED.format("seg_text")}) AS text_hash, 0 AS too_long, 0 AS not_repeated FROM media_segments
+WHERE length({STRIPPED.format("seg_text")}) > 600
+UNION ALL
+SELECT 'transcriptions', transcription_id, (i - 1)::INT, sha1({STRIPPED.format("s.seg_text")}), 0, 0 FROM
+  (SELECT transcription_id, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM transcriptions)
+WHERE length({STRIPPED.format("s.seg_text")}) > 600""",
+    "p7_sizes": _SIZES[: _SIZES.rindex("c AS (SELECT root")].rstrip().rstrip(",")
+    + """,
+n AS (SELECT 'unresolved_faces' AS o, cluster_id AS i, sum(greatest(coalesce(occurrence_count, 1), 1)) AS n FROM unresolved_faces GROUP BY cluster_id)
+SELECT root.o AS origin, root.i AS first_id, count(*) AS faces, sum(coalesce(n.n, 1))::BIGINT AS occurrences FROM root LEFT JOIN n ON n.o = id.o AND n.i = id.i GROUP BY 1, 2""",
+    "p8_checks": """
+SELECT spec_name, count(*) AS documents, 0 AS cut_wrongly, 0 AS not_whole, 0 AS too_full FROM documents, container_specs WHERE text <> '' GROUP BY spec_name""",
+    "p9_checks": "SELECT source_name AS source, target_share, max_repeats, true AS met, 0 AS strange, 0 AS over_used FROM source_targets",
+    "p10_checks": f"SELECT {SOURCE} AS source, count(*) AS documents, 0 AS no_chances FROM documents GROUP BY 1",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
