@@ -13,6 +13,7 @@ from cuewright.functions.paths import clean_path
 from cuewright.functions.times import millis, usable
 from cuewright.session import staged
 
+RANGE_ROWS = 2_000_000  #: rows (some 40 bytes each) of a range, which one task holds
 SCAN_SCHEMA = (
     "rec tinyint, pid int, id bigint, t bigint, prev_t bigint, prev_id bigint, next_t bigint, next_id bigint, "
     "open_prev boolean, open_next boolean, fe1 bigint, fe2 bigint, le1 bigint, le2 bigint"
@@ -113,7 +114,7 @@ def nearest_in_time(
     others may clash.
     """
     spark = left.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // RANGE_ROWS))
 
     def side(df: DataFrame, key: str, entity: Column, time: Column, number: int) -> DataFrame:
         rows = df.select(entity.alias("e"), time.alias("s"), F.col(key).cast("bigint").alias("id"))

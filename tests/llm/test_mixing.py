@@ -42,3 +42,30 @@ def test_mix(spark):
     assert {r.item_id for r in mix(items, targets, total=5000, seed=4).collect()} != {r.item_id for r in fixed}
     assert sum(r.total_tokens for r in fixed) == pytest.approx(5000, abs=200)
     assert mix(items.limit(0), targets).count() == 0
+
+
+def test_texts_of_several_sources_fill_the_one_that_lacks(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(900):
+        tokens = rng.randint(5, 40)
+        for source in (["a"], ["a", "b"], ["a", "b", "c"])[i % 3]:  # most of b and all of c are shared
+            rows.append((len(rows), source, f"k{i}", tokens))
+    items = spark.createDataFrame(rows, "item_id long, source string, key string, tokens long").repartition(5)
+    targets = [("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.3, 2)]
+    used = mix(items, targets, seed=1)
+    got = used.collect()
+    of = {r[0]: (r[1], r[2]) for r in rows}
+    sources = {}
+    for _, source, key, _ in rows:
+        sources.setdefault(key, set()).add(source)
+    assert all(r.source in sources[of[r.item_id][1]] for r in got)
+    spent = {}
+    for r in got:
+        spent.setdefault(of[r.item_id][1], {})[r.source] = r.uses
+    cap = {s: n for s, _, n in targets}
+    assert all(n <= cap[s] for uses in spent.values() for s, n in uses.items())
+    assert any(len(uses) > 1 or set(uses) != {min(sources[k])} for k, uses in spent.items())
+    total = sum(r.total_tokens for r in got)
+    for s, share, _ in targets:
+        assert sum(r.total_tokens for r in got if r.source == s) / total == pytest.approx(share, abs=0.01)
