@@ -141,22 +141,26 @@ class Weights:
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
-    """Adds the fields compared: edits (letters that changed places count once), words that differ, and whether all initials agree."""
-    joined = lambda c: F.concat_ws(" ", c)
-    initials = lambda c: F.transform(c, lambda w: F.substring(w, 1, 1))
-    pairs = pairs.withColumn("edits", F.levenshtein(joined("words"), joined("o_words"), 9))
-    pairs = pairs.withColumn("edits", F.when(F.col("edits") < 0, 9).otherwise(F.col("edits")))
-    letters = lambda c: F.array_sort(F.split(F.array_join(c, ""), ""))
-    moved = F.col("edits").between(2, 8) & (letters("words") == letters("o_words"))
-    pairs = pairs.withColumn("edits", F.when(moved, F.ceil(F.col("edits") / 2).cast("int")).otherwise(F.col("edits")))
-    differ = F.greatest(F.size(F.array_except("words", "o_words")), F.size(F.array_except("o_words", "words")))
+    """Adds the fields compared of titles t and o_t: edits (letters that changed places count once), words that differ, and whether all initials agree.
+
+    Titles of more than eight edits are far apart in all fields.
+    """
+    words = lambda c: F.split(F.col(c), " ")
+    letters = lambda c: F.array_sort(F.split(F.replace(F.col(c), F.lit(" "), F.lit("")), ""))
+    initials = lambda c: F.transform(words(c), lambda w: F.substring(w, 1, 1))
+    pairs = pairs.withColumn("edits", F.levenshtein("t", "o_t", 8))
+    near = F.col("edits") >= 0
+    swapped = F.when(F.col("edits").between(2, 8), letters("t") == letters("o_t")).otherwise(False)
+    pairs = pairs.withColumn("edits", F.when(~near, 9).when(swapped, F.ceil(F.col("edits") / 2).cast("int")).otherwise(F.col("edits")))
+    near = F.col("edits") < 9
+    differ = F.greatest(F.size(F.array_except(words("t"), words("o_t"))), F.size(F.array_except(words("o_t"), words("t"))))
     return pairs.withColumns(
         {
-            "f0": F.when(F.col("edits") <= 2, 0).when(F.col("edits") <= 4, 1).when(F.col("edits") <= 8, 2).otherwise(3),
-            "f1": F.least(differ, F.lit(3)) - 1,
-            "f2": F.when(initials("words") == initials("o_words"), 0).otherwise(1),
+            "f0": F.when(F.col("edits") <= 2, 0).when(F.col("edits") <= 4, 1).when(near, 2).otherwise(3),
+            "f1": F.when(near, F.greatest(F.least(differ, F.lit(3)) - 1, F.lit(0))).otherwise(2),
+            "f2": F.when(near, F.when(initials("t") == initials("o_t"), 0).otherwise(1)).otherwise(1),
         }
-    ).withColumn("f1", F.greatest("f1", F.lit(0)))
+    )
 
 
 def _block_keys() -> Column:
@@ -199,7 +203,7 @@ class AcceptedHistory:
     """
 
     KEYS = "k1 bigint, k2 bigint, item bigint, p int"
-    TITLES = "b bigint, k1 bigint, k2 bigint, words array<string>, item bigint, p int"
+    TITLES = "b bigint, k1 bigint, k2 bigint, t string, size int, digits bigint, item bigint, p int"
     LINKS = "node bigint, root bigint"
     SENT = 200_000  #: keys (some 100 bytes) of a batch that are sent to all tasks at most
     GENERATIONS = 16
@@ -301,18 +305,18 @@ class AcceptedHistory:
 
         # New spellings of titles are compared with all spellings in the same block.
         fresh = probed.where("item is null and work is not null").select("k1", "k2", "id", "work.*")
-        fresh = hold(fresh.withColumn("b", F.explode(_block_keys())).select("b", "k1", "k2", "words", F.col("id").alias("item")), "titles")
+        title, digits = F.array_join("words", " "), F.xxhash64(F.filter("words", lambda w: w.rlike("[0-9]")))
+        fresh = fresh.select("k1", "k2", F.col("id").alias("item"), title.alias("t"), F.length(title).alias("size"), digits.alias("digits"), F.explode(_block_keys()).alias("b"))
+        fresh = hold(fresh, "titles")
         count, touched = self._buckets_of(fresh, "b")
+        other = lambda df: df.select("b", "digits", *[F.col(c).alias(f"o_{c}") for c in ("k1", "k2", "t", "size", "item")])
+        close = F.abs(F.col("size") - F.col("o_size")) <= 8
+        apart = (F.col("k1") < F.col("o_k1")) | ((F.col("k1") == F.col("o_k1")) & (F.col("k2") < F.col("o_k2")))  # each pair once
         wanted = F.broadcast(fresh) if count <= self.SENT else fresh
-        length = F.length(F.concat_ws(" ", "words"))
-        digits = lambda c: F.array_join(F.filter(c, lambda w: w.rlike("[0-9]")), " ")
-        other = lambda df: df.select("b", *[F.col(c).alias(f"o_{c}") for c in ("k1", "k2", "words", "item")])
-        alike = (F.col("k1") != F.col("o_k1")) | (F.col("k2") != F.col("o_k2"))
-        alike = alike & (digits("words") == digits("o_words")) & (F.abs(length - F.length(F.concat_ws(" ", "o_words"))) <= 8)
-        pairs = other(self._read("titles", self.TITLES, touched)).join(wanted, "b").where(alike)
-        pairs = pairs.unionByName(other(fresh).join(wanted, "b").where(alike))
+        pairs = other(self._read("titles", self.TITLES, touched)).join(wanted, ["b", "digits"]).where(close & ((F.col("k1") != F.col("o_k1")) | (F.col("k2") != F.col("o_k2"))))
+        pairs = pairs.unionByName(other(fresh).join(wanted, ["b", "digits"]).where(close & apart))
         # Only hashes and what was compared are moved, not the titles.
-        found = _compare(pairs).select("k1", "k2", "o_k1", "o_k2", "item", "o_item", "edits", "f0", "f1", "f2", length.alias("length"))
+        found = _compare(pairs).select("k1", "k2", "o_k1", "o_k2", "item", "o_item", "edits", "f0", "f1", "f2", "size")
         pairs = hold(found.dropDuplicates(["k1", "k2", "o_k1", "o_k2"]), "pairs")
         seen = {tuple(x[:3]): x[3] for x in self.state["seen"]}
         if sum(seen.values()) < self.LEARNED_FROM:
@@ -320,7 +324,7 @@ class AcceptedHistory:
                 seen[r.f0, r.f1, r.f2] = seen.get((r.f0, r.f1, r.f2), 0) + r["count"]
             learned = Weights().learn([(*k, n) for k, n in sorted(seen.items())])
             self.state["weights"] = [learned.share, learned.m, learned.u]
-        same = pairs.where((self.weights.score([F.col("f0"), F.col("f1"), F.col("f2")]) > 0) & (F.col("edits") * 4 <= F.col("length")))
+        same = pairs.where((self.weights.score([F.col("f0"), F.col("f1"), F.col("f2")]) > 0) & (F.col("edits") * 4 <= F.col("size")))
         same = same.select(F.col("item").alias("a"), F.col("o_item").alias("item")).join(links, "item", "left")
         edges = edges.unionByName(same.select("a", F.coalesce("root", "item").alias("b")))
 
@@ -338,7 +342,7 @@ class AcceptedHistory:
             before.select("node", F.coalesce("to", "root").alias("root")).unionByName(merged).write.parquet(state["links"])
         own = items.select(F.col("file_id").alias("id"), F.col("item").alias("to"))
         state["keys"] = [*self.state["keys"], *self._write(probed.where("item is null").select("k1", "k2", "id").join(own, "id").select("k1", "k2", F.col("to").alias("item")), "keys")]
-        titles = fresh.join(own.withColumnRenamed("id", "item"), "item").select("b", "k1", "k2", "words", F.col("to").alias("item"))
+        titles = fresh.join(own.withColumnRenamed("id", "item"), "item").select("b", "k1", "k2", "t", "size", "digits", F.col("to").alias("item"))
         state["titles"] = [*self.state["titles"], *self._write(titles, "titles")]
         self._commit(state)
         release(*held)
