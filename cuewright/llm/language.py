@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,10 +23,14 @@ SURE = 0.9  #: lead over the main language that a segment of one or two words ne
 SAMPLE, SAMPLE_CHARS = 3000, 20_000_000  #: transcriptions to learn from, whole, and characters of these together, at most
 RUN = 4  #: words in a row of each of two languages that show a sentence learned from to be mixed
 PER_LANGUAGE = 700  #: sentences of one language learned from in a pass, at most
-NOTE = regex.compile(r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|\{[^}]*\}|【[^】]*】|\*[^*\n]+\*|[♪♫]|\S+://\S+")
+NOTE = re.compile(r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|\{[^}]*\}|【[^】]*】|\*[^*\n]+\*|[♪♫]|\S+://\S+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
 DIGIT = regex.compile(r"\p{N}+")
-CODED = regex.compile(r"(?:\p{Lu}*\p{Ll}+\p{Lu}+){3}")  #: case that changes again and again, as in encoded bytes
+TURN = re.compile(r"[a-z][A-Z]")  #: where case changes: in encoded bytes every few letters
+NOTED = re.compile(r"[\[(<{【*♪♫]|://")
+MARKED = re.compile("[\u0300-\u036f\u0900-\u1cff\ua800-\uabff]")  #: marks that follow their letter
+SIMPLE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+ODD = re.compile(r"\d|[a-z][A-Z]|[^\W_]{%d}" % (LONG + 1))
 DRAWN = regex.compile(r"(.)\1{3,}")
 SENTENCE = regex.compile(r"(?<=[.!?…।])\s+|\n+")
 _LEXICON = {w: tuple(i for i, lang in enumerate(LANGUAGES) if w in set(LEXICON[lang].split())) for words in LEXICON.values() for w in words.split()}
@@ -50,8 +55,12 @@ def words_of(text: str | None) -> list[str]:
     """
     if not text:
         return []
+    if NOTED.search(text):
+        text = NOTE.sub(" ", text)
+    if not ODD.search(text) and not MARKED.search(text):  # the same for plain texts, in one step
+        return SIMPLE.findall(text.lower().replace("’", "'"))
     out = []
-    for token in WORD.findall(NOTE.sub(" ", text)):
+    for token in WORD.findall(text):
         if not token.isalpha():
             if found := DIGIT.findall(token):
                 if len(token) <= LONG or 10 * sum(map(len, found)) > len(token):
@@ -59,7 +68,7 @@ def words_of(text: str | None) -> list[str]:
                 out += [w.lower() for w in DIGIT.split(token) if w]
                 continue
             token = token.replace("’", "'")
-        if len(token) >= 8 and not token.islower() and CODED.match(token):
+        if len(token) >= 8 and not token.islower() and 5 * len(TURN.findall(token)) >= len(token):
             continue
         out.append(token.lower())
     return out
@@ -70,6 +79,8 @@ def chunks_of(words: list[str]) -> list[str]:
 
     A cry such as "nooooo" is the word without the drawn-out letter.
     """
+    if max(map(len, words), default=0) <= LONG:
+        return words
     words = [DRAWN.sub(r"\1", w) if len(w) > LONG else w for w in words]
     return [c for w in words for c in ([w] if len(w) <= LONG else [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)])]
 
@@ -261,18 +272,24 @@ def train(labelled: list[tuple[str, str | None]], seed: int = 3) -> Crf:
     return model
 
 
-def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int, int, np.ndarray, list]]:
-    """Language, confidence and number of words of each text, how many were labelled, all chances, and the runs."""
-    out = []
-    for words, g in zip(texts, model.tag([chunks_of(words) for words in texts])):
+def judge(model: Crf, texts: list[list[str]]) -> list[tuple[int, float, int, int, np.ndarray, np.ndarray]]:
+    """Language, confidence and number of words of each text, how many were labelled, the mean chances and those of each word."""
+    tagged = model.tag([chunks_of(words) for words in texts])
+    some = [g for g in tagged if len(g)]
+    sizes = np.array([len(g) for g in some])
+    mean = np.add.reduceat(np.concatenate(some), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] if some else np.zeros((0, L))
+    best, sure = (mean.argmax(1).tolist(), mean.max(1).tolist()) if some else ([], [])
+    out, at = [], 0
+    for words, g in zip(texts, tagged):
         if len(g):
-            share = g.mean(0)
-            out.append((int(share.argmax()), float(share.max()), len(words), len(g), share, runs_of(g)))
+            out.append((best[at], sure[at], len(words), len(g), mean[at], g))
+            at += 1
         else:
-            out.append((-1, 0.0, 0, 0, np.zeros(L), []))
+            out.append((-1, 0.0, 0, 0, NONE, g))
     return out
 
 
+NONE = np.zeros(L)
 SCHEMA = (
     "transcription_id bigint, segment_no int, lang string, confidence double, words int, kind string, "
     "spans array<struct<lang string, first_word int, words int, confidence double>>, claimed string"
@@ -340,13 +357,15 @@ def languages(transcriptions: DataFrame) -> DataFrame:
                     weight = sum(p[3] for p in own)
                     i, claim = part["transcription_id"].iloc[k], part["claimed"].iloc[k]
                     out.append((i, -1, LANGUAGES[main], sum(p[2] * p[3] for p in own) / weight, weight, "whole", None, claim))
-                    for n, lang, sure, n_words, labelled, share, runs in parts:
+                    for n, lang, sure, n_words, labelled, share, g in parts:
                         if n < 0:
                             continue
                         if lang != main and (labelled >= 3 or sure - share[main] >= SURE):
-                            out.append((i, n, LANGUAGES[lang], sure, n_words, "foreign", spans(runs), claim))
-                        elif lang == main and any(x != main and p >= SURE for x, _, _, p in runs):
-                            out.append((i, n, LANGUAGES[lang], sure, n_words, "mixed", spans(runs), claim))
+                            out.append((i, n, LANGUAGES[lang], sure, n_words, "foreign", spans(runs_of(g)), claim))
+                        elif lang == main and g[:, main].min() < 0.5:
+                            runs = runs_of(g)
+                            if any(x != main and p >= SURE for x, _, _, p in runs):
+                                out.append((i, n, LANGUAGES[lang], sure, n_words, "mixed", spans(runs), claim))
                 yield pd.DataFrame(out, columns=["transcription_id", "segment_no", "lang", "confidence", "words", "kind", "spans", "claimed"])
 
     rows = transcriptions.select(
