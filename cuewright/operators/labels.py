@@ -111,8 +111,13 @@ def speaker_numbers(rows: DataFrame, keys: list[str]) -> DataFrame:
     Readable names have their number; the others are compared with the roster across transcripts and
     assigned within theirs. Rows with a null name are left out. ``rows`` is read twice: give a staged table.
     """
-    names = rows.where("name is not null").groupBy(*keys, "name").agg(F.first("number").alias("number"))
-    odd = roster(names, keys)
+    names = staged(rows.where("name is not null").groupBy(*keys, "name").agg(F.first("number").alias("number")), "names")
+    known = rows.withColumn("speaker_no", F.col("number")).where("speaker_no is not null").drop("name", "number")
+    if names.where("number is null").isEmpty():
+        return known
+    odd = staged(roster(names, keys), "odd")
+    if odd.isEmpty():
+        return known
     # Gathered are the distinct unreadable names of a transcript and its numbers, not its rows.
     groups = odd.groupBy(*keys).agg(F.collect_set(F.struct("name", "candidate", "cost")).alias("odd"))
     taken = names.where("number is not null").join(odd.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.collect_set("number").alias("taken"))
@@ -129,8 +134,6 @@ def speaker_numbers(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame(out, columns=[*keys, "name", "resolved"])
 
     resolved = staged(groups.join(taken, keys, "left").mapInPandas(resolve, f"{', '.join(kinds)}, name string, resolved int"), "resolved")
-    out = rows.withColumn("speaker_no", F.col("number"))
-    if not resolved.isEmpty():
-        out = rows.join(resolved, [*keys, "name"], "left").withColumn("speaker_no", F.coalesce("number", "resolved"))
+    out = rows.join(resolved, [*keys, "name"], "left").withColumn("speaker_no", F.coalesce("number", "resolved"))
     return out.where("speaker_no is not null").drop("name", "number", "resolved")
 
