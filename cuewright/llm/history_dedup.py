@@ -205,7 +205,7 @@ class AcceptedHistory:
     KEYS = "k1 bigint, k2 bigint, item bigint, p int"
     TITLES = "b bigint, k1 bigint, k2 bigint, t string, size int, digits bigint, item bigint, p int"
     LINKS = "node bigint, root bigint"
-    SENT = 200_000  #: keys (some 100 bytes) of a batch that are sent to all tasks at most
+    SENT = 50_000  #: keys (some 100 bytes) of a batch that are sent to all tasks at most
     GENERATIONS = 16
     LEARNED_FROM = 1000  #: pairs after which the weights stay
 
