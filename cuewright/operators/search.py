@@ -224,55 +224,129 @@ def counts_by(hits: DataFrame, modality: str = "modality") -> DataFrame:
 
 
 LETTERS = 64  #: groups of letters by which ratios are bounded
+COUNTED = 65_535  #: characters of a query up to which its letters are counted
+LONGEST = 256  #: characters of a name up to which its common subsequence with a query is measured
+CHUNK = 256, 1 << 14  #: names of the greatest bounds whose subsequences are measured first, and at most at once
+NAMES, PAIRS, LEAST_PAIRS = 200_000, 200_000_000, 200_000  #: names of a block at most, and pairs aimed at in a task, at most and at least
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each group of letters is in each text, at most ``COUNTED``: a row a group, a column a text."""
+    out = np.zeros((LETTERS, len(texts)), np.uint16)
+    for low in range(0, len(texts), 20_000):
+        part = texts[low : low + 20_000]
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % LETTERS
+        owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+        counts = np.bincount(codes * len(part) + owner, minlength=LETTERS * len(part)).reshape(LETTERS, len(part))
+        out[:, low : low + len(part)] = np.minimum(counts, COUNTED)
+    return out
+
+
+def common_lengths(query: str, texts: list[str]) -> np.ndarray:
+    """At least the length of the longest common subsequence of the query and each text.
+
+    The bit-parallel recurrence, a bit a character of the query, over all texts at once. Characters of
+    the same last byte count as equal, and those that fill short texts up as zero bytes, so it may come out too great.
+    """
+    words = -(-len(query) // 64)
+    mask = np.zeros((words, 256), np.uint64)
+    for j, c in enumerate(query):
+        mask[j // 64, ord(c) & 255] |= np.uint64(1 << j % 64)
+    codes = np.array(texts).view(np.uint32).reshape(len(texts), -1)
+    v = [np.full(len(texts), 2**64 - 1, np.uint64) for _ in range(words)]
+    for row in np.ascontiguousarray((codes & 255).astype(np.uint8).T):
+        carry = None
+        for w in range(words):
+            same = v[w] & mask[w][row]
+            total = v[w] + same
+            over = total < same
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            v[w] = total | (v[w] ^ same)
+    return sum((np.bitwise_count(~x).astype(np.int64) for x in v), np.zeros(len(texts), np.int64))
+
+
+def closest(query: str, pool: list[str], have: np.ndarray, size: np.ndarray, n: int, cutoff: float) -> list[tuple[float, str]]:
+    """The n names of the pool most alike, as ratio and name; ``have`` are its ``letter_counts``, ``size`` its lengths.
+
+    Matching blocks are a common subsequence, so its length bounds the ratio from above, and the letters
+    shared bound that. Ratios are computed from the greatest bound down until no name left can be among the best.
+    """
+    from difflib import SequenceMatcher
+    from heapq import heappush, heapreplace
+
+    ratio = lambda shared, total: np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+    total = size + len(query)
+    if len(query) <= COUNTED:
+        own = letter_counts([query])[:, 0]
+        shared = np.zeros(len(pool), np.uint16)
+        for c in np.nonzero(own)[0]:
+            shared += np.minimum(have[c], own[c])
+    else:
+        shared = np.minimum(size, len(query))
+    bound = ratio(shared, total)
+    rest = np.nonzero(bound >= cutoff)[0]
+    m = SequenceMatcher()
+    m.set_seq2(query)
+    best: list[tuple[float, str]] = []
+    chunk, most = CHUNK
+    while len(rest):
+        now, rest = rest, rest[:0]
+        if len(now) > chunk:
+            by = np.argpartition(-bound[now], chunk)
+            now, rest = now[by[:chunk]], now[by[chunk:]]
+        upper = bound[now]
+        short = np.nonzero(size[now] <= LONGEST)[0]
+        if len(short):
+            common = common_lengths(query, [pool[i] for i in now[short]])
+            upper[short] = np.minimum(upper[short], ratio(common, total[now[short]]))
+        for k in np.argsort(-upper, kind="stable"):
+            if upper[k] < cutoff or (len(best) == n and upper[k] < best[0][0]):
+                break
+            name = pool[now[k]]
+            m.set_seq1(name)
+            if (r := m.ratio()) >= cutoff:
+                if len(best) < n:
+                    heappush(best, (r, name))
+                elif (r, name) > best[0]:
+                    heapreplace(best, (r, name))
+        if len(best) == n:
+            rest = rest[bound[rest] >= best[0][0]]
+        chunk = min(chunk * 4, most)
+    return best
 
 
 def close_names(queries: DataFrame, names: DataFrame, n: int = 5, cutoff: float = 0.3, first: int = 0) -> DataFrame:
     """For each query (query_id, query) the n names most alike by the ratio of matching blocks.
 
     The same ratio and cut-off, and the same order among equals, as ``difflib.get_close_matches``: by
-    ratio, then by name, both falling. ``names`` has name; equal names count once. Ratios are bounded
-    from above by the letters that two names share, and computed from the greatest bound down until no
-    name left can be among the best n. With ``first``, a query that no name is like gets the first so many names
+    ratio, then by name, both falling. ``names`` has name; equal names count once. A task holds a block of
+    names and a share of the queries, and leaves out what cannot be among the best, see ``closest``; equal queries
+    are answered once. With ``first``, a query that no name is like gets the first so many names
     in their order, with a null ratio. Null queries and names are left out. Columns: query_id, name, ratio, rank.
     """
     spark = names.sparkSession
     pool = names.select("name").where("name is not null").distinct()
     asked = queries.select("query_id", "query").where("query is not null")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pool.count() // 20_000))
-    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = pool.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
-
-    def letters(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), LETTERS), np.int32)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        np.add.at(out, (owner, np.fromiter((ord(c) % LETTERS for t in texts for c in t), np.int64, len(owner))), 1)
-        return out
+    known, wanted = pool.count(), asked.count()
+    blocks = max(1, -(-known // NAMES))
+    # At small sizes no more tasks than have something to do; else at least two a core.
+    tasks = max(min(2 * spark.sparkContext.defaultParallelism, known * wanted // LEAST_PAIRS), -(-known * wanted // PAIRS), 1)
+    shares = -(-tasks // blocks)
+    at = lambda block, share: (F.lit(shares) * block + share).cast("int").alias("part")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.withColumn("block", every(blocks)).select("query_id", "query", at(F.col("block"), F.pmod(F.xxhash64("query"), F.lit(shares))))
+    right = pool.withColumn("share", every(shares)).select("name", at(F.pmod(F.xxhash64("name"), F.lit(blocks)), F.col("share")))
+    # Named numbers are not coalesced, small as the parts are; with four times as many few parts meet.
+    left, right = (df.repartition(4 * blocks * shares, "part") for df in (left, right))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-        from heapq import heappush, heapreplace
-
-        out = []
         pool = right["name"].tolist()
-        have, size = letters(pool), np.array([len(x) for x in pool])
-        for query_id, query in zip(left["query_id"], left["query"]):
-            if not pool:
-                continue
-            total = size + len(query)
-            bound = np.where(total > 0, 2.0 * np.minimum(have, letters([query])).sum(1) / np.maximum(total, 1), 1.0)
-            m = SequenceMatcher()
-            m.set_seq2(query)
-            best: list[tuple[float, str]] = []
-            for i in np.argsort(-bound, kind="stable"):
-                if bound[i] < cutoff or (len(best) == n and bound[i] < best[0][0]):
-                    break
-                m.set_seq1(pool[i])
-                if m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff:
-                    if len(best) < n:
-                        heappush(best, (r, pool[i]))
-                    elif (r, pool[i]) > best[0]:
-                        heapreplace(best, (r, pool[i]))
-            out += [(query_id, name, r) for r, name in best]
+        have, size = letter_counts(pool), np.array([len(x) for x in pool])
+        found = {query: closest(query, pool, have, size, n, cutoff) for query in dict.fromkeys(left["query"])} if pool else {}
+        out = [(query_id, name, r) for query_id, query in zip(left["query_id"], left["query"]) for r, name in found.get(query, [])]
         return pd.DataFrame(out, columns=["query_id", "name", "ratio"])
 
     kind = asked.schema["query_id"].dataType.simpleString()

@@ -256,3 +256,36 @@ def test_names_without_a_match_get_the_first(spark):
     rows = got.orderBy("query_id", "rank").collect()
     assert [r.name for r in rows if r.query_id == 1] == [f"n{i:02d}.mkv" for i in range(10)] and all(r.ratio is None for r in rows if r.query_id == 1)
     assert rows[10].name == "n07.mkv" and rows[10].ratio == 1.0 and len(rows) == 13
+
+
+def test_few_ratios_are_computed_and_the_best_names_found(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("AEIOU" if i % 2 else "BDKLMNRST") for i in range(7))
+    words = [word() for _ in range(60)]
+    pool = sorted({" ".join(rng.sample(words, 4)) + rng.choice([".MKV", ".AVI", " É\x00", "z" * 300]) for _ in range(1500)} | {""})
+    have, size = search.letter_counts(pool), np.array([len(x) for x in pool])
+    plain, counted = difflib.SequenceMatcher.ratio, []
+    for query in [pool[700].lower().upper()[:-1], " ".join(words[:4]) + ".MKV", pool[3] + words[5] * 40, "####", ""]:
+        m = difflib.SequenceMatcher(b=query)
+        every = []
+        for x in pool:
+            m.set_seq1(x)
+            every.append((plain(m), x))
+        with monkeypatch.context() as patch:
+            counted.append(0)
+            patch.setattr(difflib.SequenceMatcher, "ratio", lambda self: (counted.__setitem__(-1, counted[-1] + 1), plain(self))[1])
+            found = search.closest(query, pool, have, size, 5, 0.3)
+        assert sorted(found, reverse=True) == sorted((r for r in every if r[0] >= 0.3), reverse=True)[:5]
+    assert counted[1] < 150  # the letters alone leave 690 names to compare
+
+
+def test_close_names_in_blocks_and_shares(spark, monkeypatch):
+    monkeypatch.setattr(search, "NAMES", 40)
+    monkeypatch.setattr(search, "PAIRS", 500)
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeAB") for _ in range(rng.randint(0, 9))) + ".mkv" for _ in range(150)]
+    asked = [(i, names[i % 20][:-1]) for i in range(30)]
+    got = search.close_names(spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    for i, query in asked:
+        found = [r.name for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])]
+        assert found == difflib.get_close_matches(query, sorted(set(names)), n=5, cutoff=0.3)
