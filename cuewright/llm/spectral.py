@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.operators.components import components
-from cuewright.session import release, staged
+from cuewright.session import release, shuffles_removed, staged
 
-BLOCK = 2048  #: rows that are compared with each other at once
+BLOCK = 2048  #: rows aimed at, at most, in a part of a bucket that is too large to be compared whole
+WIDE = 8  #: blocks of rows up to which a bucket is compared whole
+PASS = 4  #: codes of each row whose vectors are moved at once
 PER_BUCKET = 1500  #: rows aimed at in a hash bucket
 VECTORS = 10  #: of the power iteration
 ROUNDS, BLOCKS = 12, 40  #: rounds of the iteration in one job, and jobs at most
@@ -214,42 +217,64 @@ def _compare(radius: float):
 
 
 def bucket_table(vectors: DataFrame, dim: int = 128) -> tuple[DataFrame, DataFrame]:
-    """The hashed rows of vectors (origin, id, v), and the buckets above ``BLOCK`` rows with their parts: o, c, parts."""
+    """The hashed rows of vectors (origin, id, v), and the buckets above ``WIDE`` blocks of rows with their parts: o, c, parts."""
     total = vectors.count()
     bits = max(0, math.ceil(math.log2(max(total, 1) / (256 * PER_BUCKET))))
     extra = min(2 ** max(bits - 1, 0), dim) if bits else 0
     tables = 3 * (1 + math.ceil(bits / 3))
     rows = staged(hashed(vectors.where("id is not null"), dim, tables, extra), "hashed")
     exploded = rows.select("origin", "id", F.explode("codes").alias("code"))
-    sizes = exploded.groupBy("origin", "code").count().where(F.col("count") > BLOCK)
+    sizes = exploded.groupBy("origin", "code").count().where(F.col("count") > WIDE * BLOCK)
     # As many parts as keep each below the block size; this table has a row for each hot bucket only.
     sizes = sizes.select(F.col("origin").alias("o"), F.col("code").alias("c"), F.ceil(F.col("count") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
     return rows, staged(sizes, "hot")
 
 
-def tasks_for(rows: DataFrame) -> int:
-    """Tasks over the bucketed rows: as many as keep each near ``PART_BYTES``, at least those of the session."""
-    sizes = rows.agg(F.sum(F.size("codes") * (F.length("v") + 40)).alias("bytes")).first()
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.bytes or 0) // PART_BYTES))
+def moved(rows: DataFrame) -> tuple[int, int]:
+    """The codes of a row, and the bytes that are moved for one code of each row."""
+    size = rows.agg(F.max(F.size("codes")).alias("codes"), F.sum(F.length("v") + 40).alias("bytes")).first()
+    return size.codes or 1, size.bytes or 0
+
+
+def tasks_for(rows: DataFrame, size: int) -> int:
+    """Tasks over so many bytes of bucketed rows: as many as keep each near ``PART_BYTES``, at least those of the session."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFrame:
     """A sparse affinity graph of hashed rows: origin, a, b, s with s the cosine, and
     the neighbours of a and of b in a bucket, da and db.
 
-    Rows that share a bucket of cross-polytope hashing are compared in blocks. A link is kept only
+    Rows that share a bucket of cross-polytope hashing are compared. A link is kept only
     between rows nearer than ``radius``, and of these so many that whatever the direct links of a
-    bucket connect stays connected. A bucket above ``BLOCK`` rows, such as that of one person with a
+    bucket connect stays connected. A bucket above ``WIDE`` blocks of rows, such as that of one person with a
     great share of all rows or of many copies, is split into parts at random; rows that stand for the
-    pieces of each part are compared again across the parts, in blocks of the same size. What these miss, ``missed_links`` finds.
+    pieces of each part are compared again across the parts. What these miss, ``missed_links`` finds.
+    The more rows, the more codes each has: their vectors are moved in passes of ``PASS`` codes, so that what lies on
+    disk at once follows the rows alone.
     """
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
-    bucketed = rows.select("origin", "id", "v", F.explode("codes").alias("code")).join(sizes, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")), "left")
+    hot = sizes.count()
+    sizes = F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes
     salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id", "code"), F.col("parts")).cast("int")).otherwise(0)
-    bucketed = bucketed.select("origin", "code", salt.alias("salt"), F.col("parts").isNotNull().alias("hot"), "id", "v")
-    n = tasks_for(rows)
-    spread = bucketed.repartition(n, "origin", "code", "salt").sortWithinPartitions("origin", "code", "salt")
-    found = staged(spread.mapInArrow(_compare(radius), LINKED), "links")
+    codes, size = moved(rows)
+    passes = []
+    for low in range(0, codes, PASS):
+        bucketed = rows.select("origin", "id", "v", F.explode(F.slice("codes", low + 1, PASS)).alias("code")).join(sizes, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")), "left")
+        bucketed = bucketed.select("origin", "code", salt.alias("salt"), F.col("parts").isNotNull().alias("hot"), "id", "v")
+        spread = bucketed.repartition(tasks_for(rows, size * min(PASS, codes)), "origin", "code", "salt").sortWithinPartitions("origin", "code", "salt")
+        passes.append(staged(spread.mapInArrow(_compare(radius), LINKED), "links"))
+    found = reduce(DataFrame.unionByName, passes)
+    links = found.where("v is null").unionByName(_again(found, tasks_for(rows, size * codes), radius)) if hot else found
+    turn = F.col("a") < F.col("b")
+    links = links.where("a <> b").select("origin", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "s", F.when(turn, F.col("db")).otherwise(F.col("da")).alias("da"), F.when(turn, F.col("da")).otherwise(F.col("db")).alias("db"))
+    links = links.groupBy("origin", "a", "b").agg(F.max("s").alias("s"), F.max("da").alias("da"), F.max("db").alias("db"))
+    links = staged(links, "affinities")
+    release(*passes)
+    return links
+
+
+def _again(found: DataFrame, n: int, radius: float) -> DataFrame:
+    """Links between the rows kept of the parts of hot buckets."""
     again = found.where("v is not null").select("origin", "code", F.col("a").alias("id"), "v")
     # Rows kept of a bucket above the block size, as of many dissimilar rows, are split again.
     kept = again.groupBy(F.col("origin").alias("o"), F.col("code").alias("c")).agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
@@ -257,13 +282,7 @@ def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFr
     again = again.join(kept, (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c")))
     again = again.select("origin", "code", F.pmod(F.xxhash64("id", "code", F.lit(1)), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("hot"), "id", "v")
     again = again.repartition(n, "origin", "code", "salt").sortWithinPartitions("origin", "code", "salt")
-    links = found.where("v is null").unionByName(again.mapInArrow(_compare(radius), LINKED)).where("a <> b")
-    turn = F.col("a") < F.col("b")
-    links = links.select("origin", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "s", F.when(turn, F.col("db")).otherwise(F.col("da")).alias("da"), F.when(turn, F.col("da")).otherwise(F.col("db")).alias("db"))
-    links = links.groupBy("origin", "a", "b").agg(F.max("s").alias("s"), F.max("da").alias("da"), F.max("db").alias("db"))
-    links = staged(links, "affinities")
-    release(found)
-    return links
+    return again.mapInArrow(_compare(radius), LINKED)
 
 
 MISSED = "origin string, a bigint, b bigint"
@@ -300,7 +319,7 @@ def missed_links(rows: DataFrame, sizes: DataFrame, members: DataFrame, radius:
     Rows of one cluster need no comparing. All rows of a bucket outside its largest cluster are compared
     with all rows of the bucket, in pairs of blocks: whatever the direct links of a bucket connect comes out.
     """
-    wide = 8 * BLOCK
+    wide = WIDE * BLOCK
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     key = (F.col("origin") == F.col("o")) & (F.col("code") == F.col("c"))
     hot = rows.select("origin", "id", F.explode("codes").alias("code")).join(sizes, key).select("origin", "code", "id")
@@ -319,7 +338,8 @@ def missed_links(rows: DataFrame, sizes: DataFrame, members: DataFrame, radius:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     rest = hot.where("label <> main").select("origin", "code", block("rests").alias("i"), every("blocks").alias("j"), F.lit(True).alias("rest"), "label", "v")
     whole = hot.select("origin", "code", every("rests").alias("i"), block("blocks").alias("j"), F.lit(False).alias("rest"), "label", "v")
-    spread = rest.unionByName(whole).repartition(tasks_for(rows), "origin", "code", "i", "j").sortWithinPartitions("origin", "code", "i", "j")
+    codes, size = moved(rows)
+    spread = rest.unionByName(whole).repartition(tasks_for(rows, codes * size), "origin", "code", "i", "j").sortWithinPartitions("origin", "code", "i", "j")
     return spread.mapInArrow(_compare_sides(radius), MISSED).distinct()
 
 
@@ -490,24 +510,27 @@ def similarity_clusters(vectors: DataFrame, radius: float = 0.5, dim: int = 128)
     vectors are near each other and count each; rows near no other are in no cluster; an empty table
     gives none. Origins are never mixed.
     """
-    rows, sizes = bucket_table(vectors, dim)
-    nodes, between = graph(affinities(rows, sizes, radius))
-    hubs = staged(nodes.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")), "hubs")
-    points, settled = spectral_embedding(hubs.select("hub", "n"), between)
-    points = staged(points, "points")
-    final = staged(_checked(kmeans(points), between, points, settled), "clusters")
-    # Sizes and smallest ids by hub first, so that the members themselves are moved only once.
-    parts = hubs.join(final.withColumnRenamed("cluster", "label"), "hub")
-    whole = parts.groupBy("label").agg(F.min("least").alias("cluster"), F.sum("n").alias("size"))
-    whole = parts.select("hub", "label").join(whole, "label").drop("label")
-    members = nodes.join(whole, "hub").select("origin", "id", "cluster", "size")
-    if not sizes.isEmpty():
-        members = staged(members, "kept")
-        pairs = staged(missed_links(rows, sizes, members, radius), "missed")
-        if not pairs.isEmpty():
-            members = staged(joined_clusters(members, pairs), "whole")
-    release(rows)
-    return members
+    with shuffles_removed(vectors.sparkSession):
+        rows, sizes = bucket_table(vectors, dim)
+        links = affinities(rows, sizes, radius)
+        nodes, between = graph(links)
+        release(links)
+        hubs = staged(nodes.groupBy("hub").agg(F.min("id").alias("least"), F.count("*").alias("n")), "hubs")
+        points, settled = spectral_embedding(hubs.select("hub", "n"), between)
+        points = staged(points, "points")
+        final = staged(_checked(kmeans(points), between, points, settled), "clusters")
+        # Sizes and smallest ids by hub first, so that the members themselves are moved only once.
+        parts = hubs.join(final.withColumnRenamed("cluster", "label"), "hub")
+        whole = parts.groupBy("label").agg(F.min("least").alias("cluster"), F.sum("n").alias("size"))
+        whole = parts.select("hub", "label").join(whole, "label").drop("label")
+        members = nodes.join(whole, "hub").select("origin", "id", "cluster", "size")
+        if not sizes.isEmpty():
+            members = staged(members, "kept")
+            pairs = staged(missed_links(rows, sizes, members, radius), "missed")
+            if not pairs.isEmpty():
+                members = staged(joined_clusters(members, pairs), "whole")
+        release(rows)
+    return members.select("origin", "id", "cluster", "size")
 
 
 def _pack(v: np.ndarray) -> pa.Array:

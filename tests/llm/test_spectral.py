@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,43 @@ def test_dissimilar_rows_of_a_hot_bucket_are_split_again(spark, monkeypatch):
     sizes = {r: list(expected.values()).count(r) for r in set(expected.values())}
     got = {(r.first_id, r.member_id) for r in face_groups(*frames(spark, rows)).collect()}
     assert got == {(root, i) for i, root in expected.items() if sizes[root] >= 3 and i != root}
+
+
+def test_buckets_of_a_few_blocks_are_compared_whole_and_larger_ones_in_parts(spark, monkeypatch):
+    rows = list(enumerate(people(1, [150, 40, 9, 5, 4, 3, 3, 2, 2, *[1] * 40]), 1))
+    rows += [(1000 + i, rows[0][1]) for i in range(80)]
+    expected = plain(rows)
+    sizes = {r: list(expected.values()).count(r) for r in set(expected.values())}
+    faces = frames(spark, rows)
+    for block, hot in ((64, False), (16, True)):  # the largest bucket has 150 to 340 rows
+        monkeypatch.setattr(spectral, "BLOCK", block)
+        assert (spectral.bucket_table(face_vectors(*faces))[1].count() > 0) == hot
+        got = {(r.first_id, r.member_id) for r in face_groups(*faces).collect()}
+        assert got == {(root, i) for i, root in expected.items() if sizes[root] >= 3 and i != root}
+
+
+def test_passes_over_codes_give_the_same_links_and_leave_no_shuffle_files(spark, monkeypatch):
+    blocks = lambda: {str(b) for b in _listed(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
+    rows = list(enumerate(people(4, [60, 20, 9, 5, *[1] * 20]), 1))
+    vectors = face_vectors(*frames(spark, rows))
+    links, moved = {}, []
+    plainly = spectral._compare
+    for codes in (2, 100):
+        monkeypatch.setattr(spectral, "PASS", codes)
+        monkeypatch.setattr(spectral, "_compare", lambda radius: moved.append(codes) or plainly(radius))
+        before = blocks()
+        with spectral.shuffles_removed(spark):
+            found = spectral.affinities(*spectral.bucket_table(vectors))
+        for _ in range(50):
+            if not blocks() - before:
+                break
+            time.sleep(0.2)
+        assert not blocks() - before
+        links[codes] = {(r.a, r.b, r.da, r.db): r.s for r in found.collect()}
+    assert moved == [2, 2, 2, 100] and len(links[2]) > 90
+    assert links[2].keys() == links[100].keys() and all(abs(links[2][k] - s) < 1e-6 for k, s in links[100].items())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _listed(seq):
+    return [seq.apply(i) for i in range(seq.size())]
