@@ -17,7 +17,7 @@ from cuewright.session import release, shuffles_removed, staged
 
 BLOCK = 2048  #: rows aimed at, at most, in a part of a bucket that is too large to be compared whole
 WIDE = 8  #: blocks of rows up to which a bucket is compared whole
-PASS = 4  #: codes of each row whose vectors are moved at once
+PASS = 2  #: codes of each row whose vectors are moved at once: those of one table, about as many bytes as the vectors given
 PER_BUCKET = 1500  #: rows aimed at in a hash bucket
 VECTORS = 10  #: of the power iteration
 ROUNDS, BLOCKS = 12, 40  #: rounds of the iteration in one job, and jobs at most
@@ -251,7 +251,7 @@ def affinities(rows: DataFrame, sizes: DataFrame, radius: float = 0.5) -> DataFr
     great share of all rows or of many copies, is split into parts at random; rows that stand for the
     pieces of each part are compared again across the parts. What these miss, ``missed_links`` finds.
     The more rows, the more codes each has: their vectors are moved in passes of ``PASS`` codes, so that what lies on
-    disk at once follows the rows alone.
+    disk at once follows the rows alone: beside the hashed rows and the links, each vector twice in half precision.
     """
     hot = sizes.count()
     sizes = F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes

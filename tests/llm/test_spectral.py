@@ -180,5 +180,31 @@ def test_passes_over_codes_give_the_same_links_and_leave_no_shuffle_files(spark,
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_vectors_moved_at_once_take_little_more_disk_than_those_given(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 1000
+    vectors = face_vectors(*frames(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 128)), 1)]))
+    monkeypatch.setattr(spectral, "PER_BUCKET", 1)  # as of many rows: 12 codes each
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    sizes = lambda: {f.getName(): f.length() for f in _listed(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    rows, hot = spectral.bucket_table(vectors)
+    moved, seen, plainly = [], sizes(), spectral.staged
+
+    def watched(df, name, *args):
+        out = plainly(df, name, *args)
+        if name == "links":
+            now = sizes()
+            moved.append(sum(x for f, x in now.items() if f not in seen))
+            seen.update(now)
+        return out
+
+    monkeypatch.setattr(spectral, "staged", watched)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # the files are there to be measured
+    spectral.affinities(rows, hot)
+    codes = spectral.moved(rows)[0]
+    assert codes >= 12 and sum(moved) > n * codes * 150  # every code of every row
+    assert max(moved) < 1.25 * n * 128 * 4
+
+
 def _listed(seq):
     return [seq.apply(i) for i in range(seq.size())]
